@@ -2,28 +2,19 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Characters that NFKC leaves alone on their own; text made of these only
-# never enters the Arrow stage. Combining marks lie outside, so a sequence
-# that would compose is always sent there.
+# skips the call. Combining marks lie outside, so a sequence that would
+# compose never skips it.
 _STABLE = r"^[\x00-\x7FÀ-ÿЀ-џ一-鿿]*$"
 
 
-@F.pandas_udf(T.StringType())
-def _compose(text: pd.Series) -> pd.Series:
-    return text.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
-
-
 def nfkc(text: Column) -> Column:
-    """NFKC form. Stable rows travel to Python as nulls only."""
-    unstable = F.when(~text.rlike(_STABLE), text)
-    return F.coalesce(_compose(unstable), text)
+    """NFKC form, by the ICU library Spark ships, inside the JVM."""
+    composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
+    return F.when(text.rlike(_STABLE), text).when(text.isNotNull(), composed)
 
 
 def fold(text: Column) -> Column:

@@ -31,11 +31,13 @@ def lookup_alias(values: DataFrame, index: DataFrame, entities: DataFrame) -> Da
 
 def query_ngrams(queries: DataFrame, index: DataFrame) -> DataFrame:
     """(query_id, norm) for each token run whose length some name has."""
-    lengths = index.agg(F.array_sort(F.collect_set("tokens")).alias("lengths"))
-    tokens = tx.with_normalized(queries, "text", "qnorm").select("query_id", F.split("qnorm", " ").alias("tokens"))
-    lengths_in_use = lengths.select("lengths").scalar()
-    grams = F.flatten(F.transform(lengths_in_use, lambda n: tx.ngrams(F.col("tokens"), n)))
-    return tokens.select("query_id", F.explode(F.array_distinct(grams)).alias("norm")).filter("norm <> ''")
+    lengths = index.agg(F.collect_set("tokens").alias("lengths")).select("lengths").scalar()
+    tokens = tx.with_normalized(queries, "text", "qnorm").select(
+        "query_id", F.split("qnorm", " ").alias("tokens"), lengths.alias("lengths")
+    )
+    by_length = tokens.select("query_id", "tokens", F.explode("lengths").alias("n"))
+    grams = F.array_distinct(tx.ngrams(F.col("tokens"), F.col("n")))
+    return by_length.select("query_id", F.explode(grams).alias("norm")).filter("norm <> ''")
 
 
 def match_aliases(queries: DataFrame, index: DataFrame) -> DataFrame:

@@ -157,13 +157,14 @@ VIEWS: dict[str, str] = {
 }
 
 
-def with_views(body: str, extra: dict[str, str] | None = None, recursive: bool = False) -> str:
+def with_views(body: str, extra: dict[str, str] | None = None) -> str:
     """``body`` preceded by the views it names, in dependency order."""
     known = {**VIEWS, **(extra or {})}
     needed: list[str] = []
     open_names: set[str] = set()
 
     def visit(sql: str) -> None:
+        sql = re.sub(r"'[^']*'", "''", sql)
         for name in known:
             if name not in open_names and re.search(rf"\b{name}\b", sql):
                 open_names.add(name)
@@ -173,6 +174,12 @@ def with_views(body: str, extra: dict[str, str] | None = None, recursive: bool =
     visit(body)
     if not needed:
         return body
-    head = ",\n".join(f"{name} AS ({known[name].strip()})" for name in needed)
-    word = "WITH RECURSIVE" if recursive else "WITH"
+    def clause(name: str) -> str:
+        sql = known[name].strip()
+        if sql.startswith("RECURSIVE"):
+            return f"{name} AS ({sql.removeprefix('RECURSIVE')})"
+        return f"{name} AS MATERIALIZED ({sql})"
+
+    head = ",\n".join(clause(name) for name in needed)
+    word = "WITH RECURSIVE" if any(known[n].strip().startswith("RECURSIVE") for n in needed) else "WITH"
     return f"{word} {head}\n{body.strip()}"

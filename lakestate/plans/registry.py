@@ -13,7 +13,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None, extra: dict[str, str] | None = None, recursive: bool = False):
+def query(name: str, sql: str | None = None, extra: dict[str, str] | None = None):
     """Register ``fn(lake) -> DataFrame`` under ``name`` with its check."""
 
     def register(fn: Callable[[Lake], DataFrame]):
@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None, extra: dict[str, str] | None = None
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = with_views(sql, extra, recursive)
+            ORACLES[name] = with_views(sql, extra)
         return fn
 
     return register
