@@ -144,7 +144,7 @@ VIEWS: dict[str, str] = {
           user_id || ':' || json_extract_string(props, '$.k') AS mutation_id, props AS payload
         FROM events""",
     "access_events": """
-        SELECT (epoch_us(ts) // 1000) AS at, 'user-' || user_id AS subject,
+        SELECT (epoch_us(ts) // 1000) AS at_ms, 'user-' || user_id AS subject,
           CASE event_type WHEN 'view' THEN 'context.compile' WHEN 'click' THEN 'records.read'
             WHEN 'purchase' THEN 'blob.read' ELSE 'context.search' END AS operation,
           CASE WHEN event_type = 'error' THEN 'deny' ELSE 'allow' END AS outcome,
