@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lakestate.functions import text as tx
 from lakestate.operators import identity
+from lakestate.session import pinned
 
 # BM25 parameters, record surcharge, kind priors, fusion constant.
 K1, B = 1.2, 0.75
@@ -176,7 +177,8 @@ def prior_rank(queries: DataFrame, records: DataFrame, index: DataFrame) -> Data
         "record_id", "entity_id", tx.record_cost(F.col("text")).alias("cost"), base.cast("bigint").alias("base"),
         tx.terms(tx.normalize(F.col("text"))).alias("terms"),
     )
-    shared = (
+    # Read for both kinds of query below, so counted once and written.
+    shared = pinned(
         own.select("record_id", "entity_id", "cost", "base", F.explode("terms").alias("term"))
         .join(query_terms(queries), "term")
         .groupBy("query_id", "record_id", "entity_id", "cost", "base")

@@ -348,9 +348,9 @@ def opaque_epoch_guard(lake: Lake) -> DataFrame:
     return op.diff(op.opaque(_left(lake), SECRET, "e1"), op.opaque(_right(lake), SECRET, "e2"))
 
 
-@query("opaque_violations", "SELECT opaque_key, 'size' AS rule FROM left_tags WHERE ciphertext_bytes > 80", OPAQUE)
+@query("opaque_violations", "SELECT opaque_key, 'size' AS rule FROM left_tags WHERE ciphertext_bytes > 74", OPAQUE)
 def opaque_violations(lake: Lake) -> DataFrame:
-    return op.violations(op.opaque(_left(lake), SECRET, "e1"), 80)
+    return op.violations(op.opaque(_left(lake), SECRET, "e1"), 74)
 
 
 @query(
