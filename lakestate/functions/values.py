@@ -94,3 +94,28 @@ def hmac_tag(key: bytes, domain: str, purpose: str, value: Column) -> Column:
     message = F.encode(F.to_json(F.array(F.lit(domain), F.lit(purpose), value)), "UTF-8")
     first = F.unhex(F.sha2(F.concat(F.lit(inner), message), 256))
     return F.sha2(F.concat(F.lit(outer), first), 256)
+
+
+_PARTS = 4
+
+
+def digest_parts(text: Column) -> list[Column]:
+    """Four 28-bit parts of a row's SHA-256, as numbers that can be summed."""
+    h = F.sha2(text, 256)
+    return [F.conv(F.substring(h, 1 + 8 * i, 7), 16, 10).cast("decimal(38,0)").alias(f"p{i}") for i in range(_PARTS)]
+
+
+def sum_parts() -> list[Column]:
+    return [F.sum(f"p{i}").alias(f"p{i}") for i in range(_PARTS)]
+
+
+def mixed_digest(count: str) -> Column:
+    """Digest of a whole group from its row count and part sums.
+
+    Independent of row order and combined before the shuffle, so a group of any
+    size costs one row per task.
+    """
+    return F.sha2(F.concat_ws("|", F.col(count).cast("string"), *[F.col(f"p{i}").cast("string") for i in range(_PARTS)]), 256)
+
+
+PART_NAMES = [f"p{i}" for i in range(_PARTS)]

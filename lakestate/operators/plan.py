@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakestate.functions import values as vl
 from lakestate.operators import resolve as rs
 
 KEYS = ["entity_id", "property"]
@@ -41,30 +42,22 @@ def mutations(canonical: DataFrame, snapshots: DataFrame, bindings: DataFrame) -
 
 
 def proposals(entities: DataFrame, moves: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Per entity a status and a digest over sorted mutations and conflicts.
-
-    An entity has as many mutations as it has bound fields, a configured and
-    small number, so its digest list is short.
-    """
-    move = F.struct("provider", "external_id", "external", "property", "next_json", "previous_json")
-    per_move = moves.groupBy("entity_id").agg(
-        F.array_sort(F.collect_list(F.sha2(F.to_json(move), 256))).alias("moves"), F.count(F.lit(1)).alias("n_mutations")
+    """Per entity a status and an order-independent digest of its
+    mutations and conflicts, clocks left out."""
+    move = F.to_json(F.struct("provider", "external_id", "external", "property", "next_json", "previous_json"))
+    doubt = F.concat_ws("|", "property", "reason")
+    rows = moves.select("entity_id", F.lit(1).alias("m"), F.lit(0).alias("c"), *vl.digest_parts(move)).unionByName(
+        resolved.filter("status = 'conflict'").select("entity_id", F.lit(0).alias("m"), F.lit(1).alias("c"), *vl.digest_parts(doubt))
     )
-    doubt = F.sha2(F.concat_ws("|", "property", "reason"), 256)
-    per_conflict = resolved.filter("status = 'conflict'").groupBy("entity_id").agg(
-        F.array_sort(F.collect_set(doubt)).alias("doubts"), F.count(F.lit(1)).alias("n_conflicts")
+    sums = rows.groupBy("entity_id").agg(
+        F.sum("m").alias("n_mutations"), F.sum("c").alias("n_conflicts"), F.count(F.lit(1)).alias("n"), *vl.sum_parts()
     )
-    none = F.array().cast("array<string>")
     return (
         entities.select("entity_id").distinct()
-        .join(per_move, "entity_id", "left")
-        .join(per_conflict, "entity_id", "left")
-        .select(
-            "entity_id",
-            F.coalesce("n_mutations", F.lit(0)).alias("n_mutations"),
-            F.coalesce("n_conflicts", F.lit(0)).alias("n_conflicts"),
-            F.sha2(F.concat_ws("/", F.coalesce("moves", none), F.lit("#"), F.coalesce("doubts", none)), 256).alias("digest"),
-        )
+        .join(sums, "entity_id", "left")
+        .na.fill(0)
+        .withColumn("digest", vl.mixed_digest("n"))
+        .drop("n", *vl.PART_NAMES)
         .withColumn(
             "status",
             F.when(F.col("n_conflicts") > 0, F.lit("blocked")).when(F.col("n_mutations") == 0, F.lit("noop")).otherwise(F.lit("ready")),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakestate.functions import text as tx
+from lakestate.functions.ordering import with_ordinal
 from lakestate.operators import identity
 from lakestate.session import pinned
 
@@ -13,6 +14,7 @@ from lakestate.session import pinned
 K1, B = 1.2, 0.75
 KIND_PRIOR = {"state": 18, "decision": 16, "commitment": 14, "relationship": 10, "event": 6, "artifact": 4}
 FUSION = 60
+PART_ROWS = 4096
 
 
 def searchable(records: DataFrame, names: DataFrame) -> DataFrame:
@@ -307,18 +309,26 @@ def state_records(state: DataFrame, conflicts: DataFrame, flavour: str, descript
         "entity_id", "property", text.alias("text"),
     )
     entry = F.struct("provider", "external_id", "value_json")
-    # Distinct candidates only differ by source; agreeing copies are counted once
-    # per (provider, external id, value) and each is one short phrase.
     phrases = F.transform(
         F.array_sort(F.collect_list(entry)), lambda e: F.concat(e["provider"], F.lit("="), context_value(e["value_json"]))
     )
-    listed = conflicts.groupBy(*scope, "entity_id", "property").agg(F.array_join(phrases, "; ").alias("listed"))
+    # A conflict names all its candidates. One with very many is told in numbered
+    # parts of at most PART_ROWS, so no list grows with the data and none is lost.
+    group = [*scope, "entity_id", "property"]
+    placed = with_ordinal(
+        conflicts.select(*group, "provider", "external_id", "value_json"), group, ["provider", "external_id", "value_json"]
+    ).withColumn("part", F.floor((F.col("ordinal") - 1) / PART_ROWS))
+    listed = placed.groupBy(*group, "part").agg(F.array_join(phrases, "; ").alias("listed"))
     told = F.concat(
         F.lit("Unresolved conflict for "), F.col("label"), F.lit(": "), F.col("listed"),
         F.lit(". Do not assert a single value." if clocks else "."),
     )
     doubts = labelled(listed).select(
-        *scope, F.concat_ws(":", F.lit(f"{flavour}-conflict"), "entity_id", "property").alias("record_id"),
+        *scope,
+        F.concat_ws(
+            ":", F.lit(f"{flavour}-conflict"), "entity_id", "property",
+            F.when(F.col("part") > 0, (F.col("part") + 1).cast("string")),
+        ).alias("record_id"),
         "entity_id", "property", told.alias("text"),
     )
     return facts.unionByName(doubts)

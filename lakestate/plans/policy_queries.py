@@ -620,7 +620,7 @@ def keyset_page(lake: Lake) -> DataFrame:
 )
 def byte_bounded_pages(lake: Lake) -> DataFrame:
     rows = _left(lake).withColumn("leaf", mk.leaf_id(F.col("key"), 8))
-    return fd.byte_bounded_pages(rows, "leaf", "key", "payload_bytes", 4, 180)
+    return fd.byte_bounded_pages(rows, ["leaf"], "key", "payload_bytes", 4, 180)
 
 
 @query("entities_scoped", "SELECT o.observation_id FROM observations o WHERE o.entity_id IN (SELECT 'entity://customer/' || c_custkey FROM customer WHERE c_acctbal < 0)")

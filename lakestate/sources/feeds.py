@@ -130,10 +130,11 @@ def keyset_page(df: DataFrame, key: str, after: str, n: int) -> DataFrame:
     return df.filter(F.col(key) > after).orderBy(key).limit(n + 1)
 
 
-def byte_bounded_pages(df: DataFrame, scope: str, key: str, size: str, max_rows: int, max_bytes: int) -> DataFrame:
+def byte_bounded_pages(df: DataFrame, scope: list[str], key: str, size: str, max_rows: int, max_bytes: int) -> DataFrame:
     """A page number for every row: pages of a scope are filled in key order up to
-    a row and a byte limit. The scope is a tree leaf, so its rows are few: n / 2^bits."""
-    lists = df.groupBy(scope).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(size).cast("bigint").alias("b")))).alias("rows"))
+    a row and a byte limit. The scope is a tree leaf, or a leaf and further digits of
+    the key hash, so that its rows are few: n / 2^24 with a 16-bit leaf and two digits."""
+    lists = df.groupBy(*scope).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(size).cast("bigint").alias("b")))).alias("rows"))
     start = F.struct(
         F.lit(0).alias("page"), F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("bytes"),
         F.array().cast("array<struct<k:string,page:int>>").alias("out"),
@@ -148,5 +149,5 @@ def byte_bounded_pages(df: DataFrame, scope: str, key: str, size: str, max_rows:
             F.concat(s["out"], F.array(F.struct(r["k"].alias("k"), page.alias("page")))).alias("out"),
         )
 
-    paged = lists.select(scope, F.aggregate("rows", start, step)["out"].alias("out"))
-    return paged.select(scope, F.explode("out").alias("r")).select(scope, F.col("r.k").alias(key), "r.page")
+    paged = lists.select(*scope, F.aggregate("rows", start, step)["out"].alias("out"))
+    return paged.select(*scope, F.explode("out").alias("r")).select(*scope, F.col("r.k").alias(key), "r.page")
