@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lakestate.functions import text as tx
 from lakestate.functions.ordering import with_ordinal
 from lakestate.operators import identity
-from lakestate.session import pinned
+from lakestate.session import pinned, written
 
 # BM25 parameters, record surcharge, kind priors, fusion constant.
 K1, B = 1.2, 0.75
@@ -21,6 +21,10 @@ def searchable(records: DataFrame, names: DataFrame) -> DataFrame:
     """Records with the terms of their owner's names and their own text.
 
     ``names`` has (entity_id, value); an owner's few names are joined in order.
+
+    The result is placed by record once. Counting terms per record and summing
+    scores per (query, record) are then local to a partition: the exploded
+    terms are never shuffled while the query side is small enough to broadcast.
     """
     owner = names.groupBy("entity_id").agg(
         F.array_join(F.array_sort(F.collect_set("value")), " ").alias("owner")
@@ -30,6 +34,7 @@ def searchable(records: DataFrame, names: DataFrame) -> DataFrame:
         records.select("record_id", "entity_id", "text")
         .join(owner, "entity_id", "left")
         .select("record_id", "entity_id", tx.record_cost(F.col("text")).alias("cost"), tx.term_list(tx.normalize(full)).alias("terms"))
+        .repartition("record_id")
     )
 
 
@@ -68,22 +73,26 @@ def _term_score(avg: Column) -> Column:
 def bm25(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """B2 over one corpus: statistics are global, so they are computed once.
 
-    Document frequency is a count per term over the postings of asked terms
-    only. The average length is a one-row subquery, not a join.
+    Document frequencies of the asked terms are counted first and joined to the
+    query side, which is written so that its size is known: below the broadcast
+    threshold scoring needs no shuffle at all, above it one join on the term.
+    The average length is a one-row subquery, not a join.
     """
     asked = query_terms(queries)
+    held = docs.select(F.explode(F.array_distinct("terms")).alias("term"))
+    df = held.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     size = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("avgdl"))
-    hit = postings(docs).join(asked.select("term").distinct(), "term", "left_semi")
     n, avgdl = size.select("n").scalar(), size.select("avgdl").scalar()
-    idf = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select(
-        "term", _idf(n, F.col("df")).alias("idf")
+    weights = written(
+        asked.join(df, "term").withColumn("n", n).select(
+            "query_id", "term", _idf(F.col("n"), F.col("df")).alias("idf"), avgdl.alias("avgdl")
+        ),
+        "weights",
     )
-    weighted = hit.withColumn("avgdl", avgdl).join(idf, "term")
-    scored = weighted.select("record_id", "entity_id", "cost", "term", _term_score(F.col("avgdl")).alias("part"))
+    hit = postings(docs).join(weights, "term")
     return (
-        scored.join(asked, "term")
-        .groupBy("query_id", "record_id", "entity_id", "cost")
-        .agg(F.round(F.sum("part"), 6).alias("score"))
+        hit.groupBy("query_id", "record_id", "entity_id", "cost")
+        .agg(F.round(F.sum(_term_score(F.col("avgdl"))), 6).alias("score"))
         .filter("score > 0")
     )
 
@@ -160,7 +169,8 @@ def _cost_prefix(rows: DataFrame, scope: list[str], limit: Column, order: list,
 
 
 def prior_rank(queries: DataFrame, records: DataFrame, index: DataFrame) -> DataFrame:
-    """Direct mention, term overlap, currency, importance and kind prior.
+    """Direct mention, term overlap, currency, importance and kind prior,
+    for the records a query's budget has room for.
 
     A query that names entities ranks their records and those one hop away. A
     query that names none ranks everything; its rows without any shared term
@@ -178,11 +188,12 @@ def prior_rank(queries: DataFrame, records: DataFrame, index: DataFrame) -> Data
     own = records.select(
         "record_id", "entity_id", tx.record_cost(F.col("text")).alias("cost"), base.cast("bigint").alias("base"),
         tx.terms(tx.normalize(F.col("text"))).alias("terms"),
-    )
+    ).repartition("record_id")
     # Read for both kinds of query below, so counted once and written.
     shared = pinned(
         own.select("record_id", "entity_id", "cost", "base", F.explode("terms").alias("term"))
-        .join(query_terms(queries), "term")
+        .join(query_terms(queries).join(queries.select("query_id", "budget_tokens"), "query_id"), "term")
+        .filter("cost <= budget_tokens")
         .groupBy("query_id", "record_id", "entity_id", "cost", "base")
         .agg(F.count(F.lit(1)).alias("overlap"))
     )
@@ -193,6 +204,8 @@ def prior_rank(queries: DataFrame, records: DataFrame, index: DataFrame) -> Data
         reach = named
     inside = (
         rows.join(reach, "entity_id")
+        .join(queries.select("query_id", "budget_tokens"), "query_id")
+        .filter("cost <= budget_tokens")
         .join(shared.select("query_id", "record_id", "overlap"), ["query_id", "record_id"], "left")
         .select("query_id", *rows.columns, F.coalesce("direct", F.lit(0)).alias("direct"), F.coalesce("overlap", F.lit(0)).alias("overlap"))
     )
