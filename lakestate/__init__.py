@@ -1 +1 @@
-"""Semantic-state analytics as Spark DataFrame jobs."""
+"""State analytics as Spark DataFrame jobs."""

@@ -13,12 +13,11 @@ from lakestate.operators import identity as idn
 from lakestate.operators import journal as jn
 from lakestate.operators import merkle as mk
 from lakestate.operators import policy as po
-from lakestate.operators import recordset as xs
 from lakestate.operators import temporal as tp
 from lakestate.plans.feed_queries import ARTIFACT, ARTIFACT_PROBES, INGEST, SLOTS, _tables, AT
-from lakestate.plans.record_queries import _left, _leaf_sql, _tree_views, _views, BITS
+from lakestate.plans.record_queries import _left, _views, BITS
 from lakestate.plans.registry import query
-from lakestate.plans.retrieval_queries import BM25, GRAPH, _direct, _edge_texts
+from lakestate.plans.retrieval_queries import GRAPH, _direct, _edge_texts
 from lakestate.sources import feeds as fd
 from lakestate.sources import files as fl
 from lakestate.sources.adapters import SCHEMAS, Lake

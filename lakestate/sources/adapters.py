@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakestate.functions import text as tx
 from lakestate.session import prepare
 
 DAY = "INTERVAL 1 DAY"
