@@ -7,10 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lakestate.llm import common, grammar, packing, simhash
+from lakestate.llm import automaton, chunking, common, grammar, packing, quality, repetition, secret_scan, simhash, toxicity, weighted
 from lakestate.session import run_dir
 
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,14 +25,54 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grammar.read_tokens(spark, path)
 
 
+def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules with suffix arrays over every document."""
+    columns = ["doc_id", *repetition.COUNTS, "base_failed", "kept"]
+    return repetition.rules(common.documents(spark, sf_dir)).select(*columns)
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document."""
+    return secret_scan.scan(common.documents(spark, sf_dir), public_tokenizers.path(RANKS))
+
+
+def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that an earlier one has."""
+    return chunking.dedup(common.documents(spark, sf_dir))
+
+
+def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded by the tokenization automaton."""
+    return automaton.encode_and_decode(common.documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
+
+
+def op7_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by boosted trees."""
+    docs = common.documents(spark, sf_dir)
+    return quality.score(docs, quality.learn(docs, common.labels(spark, sf_dir)))
+
+
+def op8_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text."""
+    return weighted.fingerprints(common.documents(spark, sf_dir))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by two Kneser-Ney models."""
+    docs = common.documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.learn(docs, common.labels(spark, sf_dir)))
+
+
 def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces, packed into sequences of 2048 tokens."""
     return packing.pack(common.documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), capacity=2048, end_id=0)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_simhash": op1_simhash,
-    "op2_token_files": op2_token_files,
-    "op10_best_fit": op10_best_fit,
+    f.__name__: f
+    for f in (
+        op1_simhash, op2_token_files, op3_repetition, op4_secrets, op5_chunk_dedup, op6_bpe_automaton, op7_quality_trees,
+        op8_weighted_sampling, op9_toxicity, op10_best_fit,
+    )
 }
 ORACLES: dict[str, str] = {}
