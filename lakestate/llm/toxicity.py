@@ -1,30 +1,36 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Texts are read as characters: lower case, everything but letters and digits one
-blank. Two models of order ``ORDER``, one of the toxic and one of the ordinary
-labelled texts, have their own discounted counts and share everything below: the
-lower orders are Kneser-Ney continuation probabilities counted over both. So an
-expression that is rare, or unseen in one class, is smoothed with what both
-classes know of it, and where neither class has seen one the shared factor
-cancels: only the classes' backoff weights are compared.
-
-Counts cover all labelled training texts and are Spark tables of n-grams, as
-large as the texts make them. For scoring, the log-ratio of each n-gram and each
-context is put into a hash table with a fixed number of slots (``GRAM_SLOTS``,
-``CONTEXT_SLOTS``; 8-bit tags tell strangers, the more frequent entry keeps a
-slot), which is all that is broadcast: 25 MB whatever the corpus. A text's score
-is a logistic function of its log-likelihood difference, normalised by length
-and by the root of the length; its three coefficients are fitted on a bounded
-sample of training texts that the counts leave out.
-
-Null and empty texts have no characters: their score is that of a zero
-difference. Repeated rows get equal scores; an empty table gives no rows. Without
-labelled rows of both kinds the score is the smoothed share of toxic rows.
+Texts are lower-cased; letters and digits make words, anything else is one
+blank. Each class, toxic and ordinary, has two models with its own discounted
+counts: one of words, and one of characters of order ``ORDER`` that reads each
+word with the blank after it. What the discounts leave goes to backoffs that the
+classes share: the joint vocabulary for words, and for characters the lower
+orders' continuation probabilities, counted over both classes. So an expression
+that is rare, or unseen in one class, is smoothed with what both know of it, and
+where neither class has seen one the shared factor cancels: only the backoff
+weights are compared.
+
+A word's evidence is the sum of both models' log-likelihood differences, within
+``LIMIT`` either way. A text's is the log of the mean likelihood ratio of its
+words: normalised by length, and, unlike the mean of the logs, not drowned where
+a few toxic words stand among many ordinary ones. A logistic function, fitted on
+a bounded sample of training texts that the counts leave out, makes it a score.
+
+Counts cover all other labelled training texts and are Spark tables of n-grams
+and words, as large as the texts make them. For scoring, their log-ratios are put
+into hash tables with a fixed number of slots (``GRAM_SLOTS`` and so on; 8-bit
+tags tell strangers, the more frequent entry keeps a slot), which is all that is
+broadcast: about 45 MB whatever the corpus.
+
+Null and empty texts have no words and a difference of zero. Repeated rows get
+equal scores; an empty table gives no rows. Without labelled rows of both kinds
+the score is the smoothed share of toxic rows.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,13 +43,16 @@ from lakestate.session import pinned
 
 ORDER = 5
 DISCOUNT = 0.75
-GRAM_SLOTS, CONTEXT_SLOTS = 22, 20  # powers of two
+GRAM_SLOTS, CONTEXT_SLOTS, WORD_SLOTS = 22, 20, 22  # powers of two
+#: Largest evidence of a word, in nats.
+LIMIT = 8.0
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
 #: One in so many training rows is left to the calibration, of which at most SAMPLE_ROWS are read.
 CALIBRATION, SAMPLE_ROWS = 5, 20_000
-#: Distinct n-grams a task holds before it hands them on.
+#: Distinct n-grams, or words, a task holds before it hands them on.
 HELD_GRAMS = 2_000_000
+HELD_WORDS = 500_000
 _OTHER = re.compile(r"[\W_]+")
 
 
@@ -98,37 +107,60 @@ def _strings(grams: np.ndarray) -> list[str]:
     return [flat[i : i + ORDER] for i in range(0, len(flat), ORDER)]
 
 
+def _merged(held: list) -> list:
+    grams, numbers = np.concatenate([g for g, _ in held]), np.concatenate([n for _, n in held])
+    _, first, which = np.unique(_hashes_of(grams), return_index=True, return_inverse=True)
+    return [(grams[first], np.stack([np.bincount(which, numbers[:, k], len(first)).astype(np.int64) for k in (0, 1)], axis=1))]
+
+
+def _rows(word: bool, names: list[str], toxic, ordinary) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({
+        "word": pa.array([word] * len(names)), "gram": pa.array(names, pa.string()), "toxic": pa.array(toxic, pa.int64()), "ordinary": pa.array(ordinary, pa.int64()),
+    })
+
+
 def counts(rows: DataFrame) -> DataFrame:
-    """``gram``, ``toxic``, ``ordinary`` over all rows (toxic 0/1, text). Each task adds up its own first."""
+    """``word`` (or character n-gram), ``gram``, ``toxic``, ``ordinary`` over all rows (toxic 0/1, text).
 
-    def merge(held: list) -> list:
-        grams, numbers = np.concatenate([g for g, _ in held]), np.concatenate([n for _, n in held])
-        _, first, which = np.unique(_hashes_of(grams), return_index=True, return_inverse=True)
-        return [(grams[first], np.stack([np.bincount(which, numbers[:, k], len(first)).astype(np.int64) for k in (0, 1)], axis=1))]
+    Each task adds up its own first.
+    """
+
+    def grams_of(held: list) -> pa.RecordBatch:
+        ((grams, numbers),) = _merged(held)
+        return _rows(False, _strings(grams), numbers[:, 0], numbers[:, 1])
 
-    def out(held: list) -> pa.RecordBatch:
-        ((grams, numbers),) = merge(held)
-        return pa.RecordBatch.from_pydict({"gram": pa.array(_strings(grams), pa.string()), "toxic": pa.array(numbers[:, 0]), "ordinary": pa.array(numbers[:, 1])})
+    def words_of(words: list[Counter]) -> pa.RecordBatch:
+        names = list(words[0] | words[1])
+        return _rows(True, names, [words[1][w] for w in names], [words[0][w] for w in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
+        words = [Counter(), Counter()]
         size = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append(_counted(batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_pylist()))
+            kinds, some = batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_pylist()
+            for kind, text in zip(kinds.tolist(), some, strict=True):
+                words[kind].update(plain(text).split())
+            held.append(_counted(kinds, some))
             size += len(held[-1][0])
+            if len(words[0]) + len(words[1]) > HELD_WORDS:
+                yield words_of(words)
+                words = [Counter(), Counter()]
             if size > HELD_GRAMS:
-                held = merge(held)
+                held = _merged(held)
                 size = len(held[0][0])
                 if size > HELD_GRAMS // 2:
-                    yield out(held)
+                    yield grams_of(held)
                     held, size = [], 0
         if held:
-            yield out(held)
+            yield grams_of(held)
+        if words[0] or words[1]:
+            yield words_of(words)
 
-    found = rows.select("toxic", "text").mapInArrow(run, "gram string, toxic bigint, ordinary bigint")
-    return found.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    found = rows.select("toxic", "text").mapInArrow(run, "word boolean, gram string, toxic bigint, ordinary bigint")
+    return found.groupBy("word", "gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
 def _hashes_of(grams: np.ndarray) -> np.ndarray:
@@ -188,6 +220,23 @@ def ratios(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
     return seen, unseen
 
 
+def word_ratios(words: DataFrame) -> tuple[DataFrame, float]:
+    """Log-ratios of words (``gram``, ``weight``, ``ratio``), and that of any unseen word."""
+    has = lambda c: F.sum(F.when(F.col(c) > 0, 1).otherwise(0))
+    sums = words.agg(
+        F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), has("toxic").alias("k_toxic"), has("ordinary").alias("k_ordinary"), F.count(F.lit(1)).alias("all")
+    ).first()
+    if not sums["toxic"] or not sums["ordinary"]:
+        return words.select("gram", (F.col("toxic") + F.col("ordinary")).alias("weight"), F.lit(0.0).alias("ratio")), 0.0
+    left = {c: DISCOUNT * sums[f"k_{c}"] / sums[c] for c in ("toxic", "ordinary")}
+
+    def probability(c: str):
+        return F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / float(sums[c]) + left[c] / float(sums["all"])
+
+    ratio = F.log(probability("toxic")) - F.log(probability("ordinary"))
+    return words.select("gram", (F.col("toxic") + F.col("ordinary")).alias("weight"), ratio.alias("ratio")), float(np.log(left["toxic"] / left["ordinary"]))
+
+
 class Slots:
     """Ratios by hash: 2 ** ``bits`` slots with an 8-bit tag each; tag 0 is an empty slot."""
 
@@ -207,16 +256,19 @@ class Slots:
         return np.where(found, self.ratios[slot], np.float32(0)), found
 
 
-def slots(table: DataFrame, order: int, bits: int) -> Slots:
-    """A table of ratios as slots. At most 2 ** ``bits`` rows reach the driver."""
+def slots(table: DataFrame, order: int | None, bits: int) -> Slots:
+    """A table of ratios as slots; ``order`` None for words. At most 2 ** ``bits`` rows reach the driver."""
 
     def step(batch: pa.RecordBatch) -> dict:
-        grams = np.frombuffer("".join(batch.column(0).to_pylist()).encode("utf-32-le"), "<u4").reshape(-1, order)
-        slot, tag = Slots.place(_hashes_of(grams), bits)
+        names = batch.column(0).to_pylist()
+        if order is None:
+            hashes = _word_hashes(np.frombuffer(" ".join([*names, ""]).encode("utf-32-le"), "<u4").astype(np.uint64))[0]
+        else:
+            hashes = _hashes_of(np.frombuffer("".join(names).encode("utf-32-le"), "<u4").reshape(-1, order))
+        slot, tag = Slots.place(hashes, bits)
         return {"slot": pa.array(slot.astype(np.int32)), "tag": pa.array(tag.astype(np.int32)), "weight": batch.column(1), "ratio": batch.column(2)}
 
     placed = table.mapInArrow(per_batch(step), "slot int, tag int, weight bigint, ratio double")
-    # The heaviest entry keeps the slot, all in one long: weight, then the tag; the ratio follows as its own maximum key.
     rank = F.struct("weight", "tag", F.col("ratio").cast("float").alias("ratio"))
     kept = placed.groupBy("slot").agg(F.max(rank).alias("top")).select("slot", "top.tag", "top.ratio").toArrow()
     out = Slots(bits)
@@ -226,17 +278,40 @@ def slots(table: DataFrame, order: int, bits: int) -> Slots:
     return out
 
 
-def differences(batch: list[str], seen: Slots, unseen: Slots) -> np.ndarray:
-    """Per text: log-likelihood difference by length, and by the root of the length."""
-    points, numbers = _points(batch)
-    at, text = _scored_positions(numbers)
-    ratio, found = seen.get(_hashes(points, ORDER)[at])
-    rest = np.flatnonzero(~found)
-    ratio = ratio.astype(np.float64)
-    ratio[rest] = unseen.get(_hashes(points, ORDER - 1)[at[rest]])[0]
-    total = np.bincount(text, ratio, len(batch))
-    length = np.maximum(numbers - (ORDER - 1), 1)
-    return np.stack([total / length, total / np.sqrt(length)], axis=1)
+def _word_hashes(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of code points, each with one blank behind it, and where the words start."""
+    blank = points == 32
+    starts = np.concatenate([[0], np.flatnonzero(blank)[:-1] + 1]) if len(points) else np.empty(0, np.int64)
+    place = np.arange(len(points)) - np.repeat(starts, np.diff(np.append(starts, len(points))))
+    parts = mixed(points | place.astype(np.uint64) << np.uint64(24))
+    parts[blank] = 0
+    with np.errstate(over="ignore"):
+        return (mixed(np.add.reduceat(parts, starts)) if len(starts) else parts), starts
+
+
+class Evidence:
+    """The three tables that are broadcast, and the ratio of an unseen word."""
+
+    def __init__(self, seen: Slots, unseen: Slots, words: Slots, unseen_word: float):
+        self.seen, self.unseen, self.words, self.unseen_word = seen, unseen, words, unseen_word
+
+    def differences(self, batch: list[str]) -> np.ndarray:
+        """Per text: the log of the mean likelihood ratio of its words; 0 without words."""
+        points, numbers = _points(batch)
+        at, text = _scored_positions(numbers)
+        ratio, found = self.seen.get(_hashes(points, ORDER)[at])
+        ratio = ratio.astype(np.float64)
+        rest = np.flatnonzero(~found)
+        ratio[rest] = self.unseen.get(_hashes(points, ORDER - 1)[at[rest]])[0]
+        own = points[at + (ORDER - 1)]
+        hashes, starts = _word_hashes(own)
+        by_word, known = self.words.get(hashes)
+        evidence = np.add.reduceat(ratio, starts) + np.where(known, by_word, self.unseen_word) if len(starts) else ratio
+        real = np.flatnonzero(own[starts] != 32)  # an empty text has but its last blank
+        owner = text[starts[real]]
+        total = np.bincount(owner, np.exp(np.clip(evidence[real], -LIMIT, LIMIT)), len(batch))
+        words = np.bincount(owner, minlength=len(batch))
+        return np.where(words > 0, np.log(np.where(words > 0, total, 1.0) / np.maximum(words, 1)), 0.0)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-3) -> np.ndarray:
@@ -264,13 +339,13 @@ def fold():
 
 
 class Model:
-    """Slots of both tables and the calibration."""
+    """The evidence and the calibration."""
 
-    def __init__(self, seen: Slots, unseen: Slots, weights: np.ndarray):
-        self.seen, self.unseen, self.weights = seen, unseen, weights
+    def __init__(self, evidence: Evidence, weights: np.ndarray):
+        self.evidence, self.weights = evidence, weights
 
     def score(self, batch: list[str]) -> np.ndarray:
-        raw = self.weights[0] + differences(batch, self.seen, self.unseen) @ self.weights[1:]
+        raw = self.weights[0] + self.weights[1] * self.evidence.differences(batch)
         return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
 
 
@@ -281,21 +356,20 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     known = known.filter((fold() != HELD_OUT) & F.col("toxic").isin(0, 1)).dropDuplicates(["doc_id"])
     part = F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATION))
     training = texts(docs).join(known.filter(part != 0), "doc_id").select("toxic", "text")
-    grams = pinned(counts(training))
-    seen_rows, unseen_rows = ratios(grams)
-    seen, unseen = slots(seen_rows, ORDER, GRAM_SLOTS), slots(unseen_rows, ORDER - 1, CONTEXT_SLOTS)
+    counted = pinned(counts(training))
+    seen, unseen = ratios(counted.filter("not word").drop("word"))
+    by_word, unseen_word = word_ratios(counted.filter("word").drop("word"))
+    evidence = Evidence(slots(seen, ORDER, GRAM_SLOTS), slots(unseen, ORDER - 1, CONTEXT_SLOTS), slots(by_word, None, WORD_SLOTS), unseen_word)
+    shared = docs.sparkSession.sparkContext.broadcast(evidence)
     sample = known.filter(part == 0).withColumn("h", F.xxhash64("doc_id", F.lit(1))).orderBy("h", "doc_id").limit(sample_rows).drop("h")
-    model = docs.sparkSession.sparkContext.broadcast((seen, unseen))
 
     def step(batch: pa.RecordBatch) -> dict:
-        x = differences(batch.column(1).to_pylist(), *model.value)
-        return {"toxic": batch.column(0), "a": pa.array(x[:, 0]), "b": pa.array(x[:, 1])}
+        return {"toxic": batch.column(0), "x": pa.array(shared.value.differences(batch.column(1).to_pylist()))}
 
     chosen = texts(docs).join(F.broadcast(sample), "doc_id").select("toxic", "text")
-    found = chosen.mapInArrow(per_batch(step), "toxic int, a double, b double").limit(2 * sample_rows).toPandas()
-    order = np.lexsort((found["toxic"], found["b"], found["a"]))
-    x, y = found[["a", "b"]].to_numpy(np.float64)[order], found["toxic"].to_numpy(np.float64)[order]
-    return Model(seen, unseen, logistic(x, y))
+    found = chosen.mapInArrow(per_batch(step), "toxic int, x double").limit(2 * sample_rows).toPandas()
+    order = np.lexsort((found["toxic"], found["x"]))
+    return Model(evidence, logistic(found[["x"]].to_numpy(np.float64)[order], found["toxic"].to_numpy(np.float64)[order]))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
