@@ -209,5 +209,5 @@ def one_of_each(docs: DataFrame, words: int = STAGE_WORDS, wide: int = WIDE, wid
         rooted = pinned(roots(links(groups.select("fp"), distance, segments, dense=dense)))
         # The group's fingerprint from now on is that of its smallest id.
         held = groups.join(rooted, F.col("fp") == F.col("node"), "left").select(F.coalesce("root", "fp").alias("root"), "fp", "first")
-        groups = pinned(held.groupBy("root").agg(F.min_by("fp", F.coalesce("first", F.lit((1 << 63) - 1))).alias("fp"), F.min("first").alias("first")))
+        groups = pinned(held.groupBy("root").agg(F.min_by("fp", F.coalesce("first", F.lit((1 << 63) - 1))).alias("fp"), F.min("first").alias("first")).select("fp", "first"))
     return kept_rows(docs, groups.select(F.col("first").alias("doc_id")))
