@@ -27,6 +27,7 @@ gives no rows.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import re
 
@@ -116,19 +117,17 @@ def _keys(fps: DataFrame, segments: list[tuple[int, range, int]], ball: bool) ->
     A pair is found from both sides; of a ball only the values not below one's
     own are asked, so that one of the two sides remains.
     """
-    fp = F.col("fp")
-    asked = []
-    for number, bits, radius in segments:
-        whole = F.lit(_signed(sum(1 << b for b in bits)))
-        own = F.shiftrightunsigned(fp.bitwiseAND(whole), bits.start)
-        masks = _ball(bits, radius if ball else 0)
-        flips = F.array(*[F.lit(_signed(m) if bits.start == 0 else m >> bits.start) for m in masks])
-        values = F.filter(F.transform(flips, lambda m, own=own: own.bitwiseXOR(m)), lambda v, own=own: v >= own)
-        asked.append(fps.select(F.lit(number).alias("segment"), F.explode(values).alias("value"), "fp"))
-    out = asked[0]
-    for more in asked[1:]:
-        out = out.unionByName(more)
-    return out
+    asked = [_asked(fps, number, bits, radius if ball else 0) for number, bits, radius in segments]
+    return functools.reduce(DataFrame.unionByName, asked)
+
+
+def _asked(fps: DataFrame, number: int, bits: range, radius: int) -> DataFrame:
+    """One segment's values within ``radius`` bits, none below one's own."""
+    own = F.shiftrightunsigned(F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in bits)))), bits.start)
+    flips = F.array(*[F.lit(m >> bits.start).cast("bigint") for m in _ball(bits, radius)])
+    # The lambdas take one argument: a second one would be the position.
+    values = F.filter(F.transform(flips, lambda m: own.bitwiseXOR(m)), lambda v: v >= own)
+    return fps.select(F.lit(number).alias("segment"), F.explode(values).alias("value"), "fp")
 
 
 def _near(a: str, b: str, distance: int):

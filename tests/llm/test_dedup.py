@@ -67,6 +67,24 @@ def test_links_connect_whatever_is_close(spark, limit):
     assert linked(spark, values, bucket_limit=limit) == slow_components(values, 2)
 
 
+def test_entries_and_asked_values(spark):
+    rng = random.Random(8)
+    values = [rng.getrandbits(64) for _ in range(40)] + [0, (1 << 64) - 1]
+    fps = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp bigint")
+    for distance, count in ((2, 2), (8, 4), (5, 3)):
+        plan = simhash._segments(distance, count)
+        mask = (1 << 64) - 1
+        table = {(r.segment, r.value, r.fp & mask) for r in simhash._keys(fps, plan, False).collect()}
+        assert table == {(n, (v >> bits.start) & ((1 << len(bits)) - 1), v) for n, bits, _ in plan for v in values}
+        asked = {(r.segment, r.value, r.fp & mask) for r in simhash._keys(fps, plan, True).collect()}
+        for n, bits, radius in plan:
+            width = (1 << len(bits)) - 1
+            for v in values[:5] + values[-2:]:
+                own = (v >> bits.start) & width
+                near = [own ^ sum(1 << b for b in some) for r in range(radius + 1) for some in itertools.combinations(range(len(bits)), r)]
+                assert {x for s, x, f in asked if (s, f) == (n, v)} == {x for x in near if x >= own}
+
+
 def test_links_of_other_distances(spark):
     rng = random.Random(5)
     centres = [rng.getrandbits(64) for _ in range(8)]
