@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # String tokens are matched first and kept whole; whole-valued doubles lose ".0".
@@ -46,7 +46,7 @@ def pointer_path(pointer: Column) -> Column:
         part.rlike(r"^\d+$"), F.concat(F.lit("["), part, F.lit("]"))
     ).otherwise(F.concat(F.lit("['"), F.replace(part, F.lit("'"), F.lit("\\'")), F.lit("']")))
     unescaped = F.transform(
-        F.split(F.substring(pointer, 2, 1 << 20), "/"),
+        F.split(pointer.substr(F.lit(2), F.length(pointer)), "/"),
         lambda part: F.replace(F.replace(part, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~")),
     )
     parts = F.when(pointer.startswith("/"), unescaped).otherwise(F.split(pointer, r"\."))
@@ -72,14 +72,6 @@ def parse_clock(text: Column) -> Column:
     return F.date_trunc("millisecond", text.try_cast("timestamp"))
 
 
-def clock_ms(ts: Column) -> Column:
-    return F.unix_millis(ts)
-
-
-def sorted_refs(refs: Column) -> Column:
-    return F.array_sort(F.array_distinct(refs))
-
-
 def epoch_key(secret: bytes, epoch_id: str) -> bytes:
     """HKDF-SHA256 (one block) of the epoch secret; runs once on the driver."""
     extracted = hmac.new(b"\x00" * 32, secret, hashlib.sha256).digest()
@@ -96,26 +88,21 @@ def hmac_tag(key: bytes, domain: str, purpose: str, value: Column) -> Column:
     return F.sha2(F.concat(F.lit(outer), first), 256)
 
 
-_PARTS = 4
-
-
-def digest_parts(text: Column) -> list[Column]:
-    """Four 28-bit parts of a row's SHA-256, as numbers that can be summed."""
-    h = F.sha2(text, 256)
-    return [F.conv(F.substring(h, 1 + 8 * i, 7), 16, 10).cast("decimal(38,0)").alias(f"p{i}") for i in range(_PARTS)]
+def group_digest(rows: DataFrame, keys: list[str], text: Column, name: str = "digest") -> DataFrame:
+    """One SHA-256 per group, over the SHA-256 of each row's text; independent of row order.
 
-
-def sum_parts() -> list[Column]:
-    return [F.sum(f"p{i}").alias(f"p{i}") for i in range(_PARTS)]
-
-
-def mixed_digest(count: str) -> Column:
-    """Digest of a whole group from its row count and part sums.
-
-    Independent of row order and combined before the shuffle, so a group of any
-    size costs one row per task.
+    Row hashes are sorted and hashed in 65,536 strands by their first digits, and
+    the strands' hashes in order once more, so no list holds more than a group's
+    65,536th part of rows or 65,536 strands.
     """
-    return F.sha2(F.concat_ws("|", F.col(count).cast("string"), *[F.col(f"p{i}").cast("string") for i in range(_PARTS)]), 256)
+    hashed = rows.select(*keys, F.sha2(text, 256).alias("__row"))
+    strands = hashed.groupBy(*keys, F.substring("__row", 1, 4).alias("__strand")).agg(
+        F.sha2(F.array_join(F.array_sort(F.collect_list("__row")), ""), 256).alias("__hash")
+    )
+    ordered = F.array_sort(F.collect_list(F.struct("__strand", "__hash")))
+    return strands.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(ordered, lambda s: s["__hash"]), ""), 256).alias(name))
 
 
-PART_NAMES = [f"p{i}" for i in range(_PARTS)]
+def json_list(*parts: Column | str) -> Column:
+    """The parts as a JSON list of texts: unambiguous, and NULL is kept."""
+    return F.to_json(F.array(*[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts]))

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from functools import reduce
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lakestate.functions.ordering import with_sequence
+from lakestate.session import pinned
 
 # Feed order of the record kinds.
 KIND_ORDER = {"entity": 1, "alias": 2, "observation": 3, "relation": 4, "retraction": 5}
@@ -63,8 +66,9 @@ def append_batch(spark: SparkSession, root: str, batch_id: str, batch: DataFrame
     marker file of their batch exists; writing the same batch again after a
     crash overwrites its own folder only.
     """
+    batch = pinned(batch)
     base = read_published(spark, root, batch.schema)
-    verdict = classify(batch, base)
+    verdict = pinned(classify(batch, base))
     refused = verdict.filter("action = 'collision'").limit(1).count() > 0
     counts = verdict.groupBy("action").agg(F.count(F.lit(1)).alias("n"))
     if refused:
@@ -72,8 +76,9 @@ def append_batch(spark: SparkSession, root: str, batch_id: str, batch: DataFrame
     fresh = batch.dropDuplicates(["kind", "record_id"]).join(
         verdict.filter("action = 'inserted'").select("kind", "record_id"), ["kind", "record_id"], "left_semi"
     )
-    fresh.write.mode("overwrite").parquet(f"{root}/data/batch={batch_id}")
-    spark.range(1).select(F.lit(batch_id).alias("batch")).coalesce(1).write.mode("overwrite").parquet(f"{root}/published/{batch_id}")
+    folder = quote(batch_id, safe="")
+    fresh.write.mode("overwrite").parquet(f"{root}/data/batch={folder}")
+    spark.range(1).select(F.lit(batch_id).alias("batch")).coalesce(1).write.mode("overwrite").parquet(f"{root}/published/{folder}")
     return counts.withColumn("published", F.lit(True))
 
 
@@ -83,12 +88,13 @@ def read_published(spark: SparkSession, root: str, schema) -> DataFrame:
 
     try:
         marks = spark.read.schema("batch string").parquet(f"{root}/published/*")
-        data = spark.read.option("basePath", f"{root}/data").schema(schema).parquet(f"{root}/data")
-    except AnalysisException:
+        data = spark.read.option("basePath", f"{root}/data").schema(StructType([*schema.fields, StructField("batch", StringType())])).parquet(f"{root}/data")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
-    return data.withColumn("batch", F.regexp_extract(F.input_file_name(), r"batch=([^/]+)", 1)).join(
-        F.broadcast(marks), "batch", "left_semi"
-    ).drop("batch")
+    # The partition column: folders of other batches are pruned, and escaped ids come back as they were.
+    return data.join(marks, "batch", "left_semi").drop("batch")
 
 
 def changes_after(feed: DataFrame, after: int, limit: int) -> DataFrame:

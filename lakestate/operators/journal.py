@@ -80,7 +80,7 @@ def replays(messages: DataFrame, key: str, clock: str) -> DataFrame:
     return messages.join(first, key).filter(F.struct(clock, "event_id") > F.col("first")).select("event_id", key)
 
 
-def epoch_violations(epochs: DataFrame, max_recipients: int = 64) -> DataFrame:
+def epoch_violations(epochs: DataFrame) -> DataFrame:
     """V9: ids, clocks, predecessors and recipient snapshots of epoch records."""
     known = epochs.select(
         "principal", F.col("epoch_id").alias("predecessor_epoch_id"), F.col("created_at").alias("before"), F.lit(True).alias("found")
@@ -94,7 +94,6 @@ def epoch_violations(epochs: DataFrame, max_recipients: int = 64) -> DataFrame:
             F.when(F.col("predecessor_epoch_id").isNotNull() & F.col("found").isNull(), F.lit("unknown-predecessor")),
             F.when(F.col("created_at") < F.col("before"), F.lit("older-than-predecessor")),
             F.when(n == 0, F.lit("no-recipients")),
-            F.when(n > max_recipients, F.lit("too-many-recipients")),
             F.when(n != F.size(F.array_distinct("recipients")), F.lit("repeated-recipient")),
         )
     )

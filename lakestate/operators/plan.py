@@ -41,23 +41,21 @@ def mutations(canonical: DataFrame, snapshots: DataFrame, bindings: DataFrame) -
     )
 
 
-def proposals(entities: DataFrame, moves: DataFrame, resolved: DataFrame) -> DataFrame:
+def proposals(entities: DataFrame, moves: DataFrame, resolved: DataFrame, doubts: DataFrame) -> DataFrame:
     """Per entity a status and an order-independent digest of its
-    mutations and conflicts, clocks left out."""
-    move = F.to_json(F.struct("provider", "external_id", "external", "property", "next_json", "previous_json"))
-    doubt = F.concat_ws("|", "property", "reason")
-    rows = moves.select("entity_id", F.lit(1).alias("m"), F.lit(0).alias("c"), *vl.digest_parts(move)).unionByName(
-        resolved.filter("status = 'conflict'").select("entity_id", F.lit(0).alias("m"), F.lit(1).alias("c"), *vl.digest_parts(doubt))
-    )
-    sums = rows.groupBy("entity_id").agg(
-        F.sum("m").alias("n_mutations"), F.sum("c").alias("n_conflicts"), F.count(F.lit(1)).alias("n"), *vl.sum_parts()
-    )
+    mutations, with the revisions they build on, and of all candidates of its
+    conflicts (``doubts``, in long form); clocks left out."""
+    material = moves.select(
+        "entity_id",
+        vl.json_list(F.lit("mutation"), "provider", "external_id", "external", "property", "next_json", "previous_json", "base_revision").alias("text"),
+    ).unionByName(doubts.select("entity_id", vl.json_list(F.lit("conflict"), "property", "reason", "provider", "external_id", "value_json").alias("text")))
+    n_moves = moves.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n_mutations"))
+    n_doubts = resolved.filter("status = 'conflict'").groupBy("entity_id").agg(F.count(F.lit(1)).alias("n_conflicts"))
     return (
         entities.select("entity_id").distinct()
-        .join(sums, "entity_id", "left")
-        .na.fill(0)
-        .withColumn("digest", vl.mixed_digest("n"))
-        .drop("n", *vl.PART_NAMES)
+        .join(n_moves, "entity_id", "left").join(n_doubts, "entity_id", "left").na.fill(0)
+        .join(vl.group_digest(material, ["entity_id"], F.col("text")), "entity_id", "left")
+        .withColumn("digest", F.coalesce("digest", F.sha2(F.lit(""), 256)))
         .withColumn(
             "status",
             F.when(F.col("n_conflicts") > 0, F.lit("blocked")).when(F.col("n_mutations") == 0, F.lit("noop")).otherwise(F.lit("ready")),
@@ -66,9 +64,10 @@ def proposals(entities: DataFrame, moves: DataFrame, resolved: DataFrame) -> Dat
 
 
 def plan_drift(expected: DataFrame, recomputed: DataFrame) -> DataFrame:
-    """Entities whose plan changed since it was proposed."""
+    """Entities whose plan changed since it was proposed, appeared or vanished."""
     now = recomputed.select("entity_id", F.col("digest").alias("actual"))
-    return expected.select("entity_id", F.col("digest").alias("expected")).join(now, "entity_id").filter("expected <> actual")
+    then = expected.select("entity_id", F.col("digest").alias("expected"))
+    return then.join(now, "entity_id", "full_outer").filter(~F.col("expected").eqNullSafe(F.col("actual")))
 
 
 def apply_mutations(snapshots: DataFrame, moves: DataFrame, revision: str) -> DataFrame:
@@ -92,12 +91,21 @@ def stale_mutations(moves: DataFrame, snapshots: DataFrame) -> DataFrame:
     return moves.join(now, place).filter(~F.col("revision").eqNullSafe(F.col("base_revision"))).select(*place)
 
 
-def outcomes(before: DataFrame, left_over: DataFrame) -> DataFrame:
-    """Converged, not-converged, blocked or noop per entity after applying."""
+def outcomes(before: DataFrame, left_over: DataFrame, drifted: DataFrame | None = None, dry_run: bool = False) -> DataFrame:
+    """Blocked, noop, drifted, dry-run, converged or not-converged per entity.
+
+    ``drifted`` has the entities whose plan no longer holds when it is to be
+    applied; ``left_over`` the mutations that a new plan still has.
+    """
     rest = left_over.groupBy("entity_id").agg(F.count(F.lit(1)).alias("rest"))
-    return before.join(rest, "entity_id", "left").select(
-        "entity_id",
-        F.when(F.col("status") != "ready", F.col("status"))
-        .when(F.col("rest").isNull(), F.lit("converged"))
-        .otherwise(F.lit("not-converged")).alias("outcome"),
-    )
+    joined = before.join(rest, "entity_id", "left")
+    if drifted is not None:
+        joined = joined.join(drifted.select("entity_id", F.lit(True).alias("moved")), "entity_id", "left")
+    else:
+        joined = joined.withColumn("moved", F.lit(None).cast("boolean"))
+    outcome = F.when(F.col("status") != "ready", F.col("status")).when(F.col("moved"), F.lit("drifted"))
+    if dry_run:
+        outcome = outcome.otherwise(F.lit("dry-run"))
+    else:
+        outcome = outcome.when(F.col("rest").isNull(), F.lit("converged")).otherwise(F.lit("not-converged"))
+    return joined.select("entity_id", outcome.alias("outcome"))

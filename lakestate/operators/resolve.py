@@ -58,6 +58,8 @@ def _with_rank(rows: DataFrame, rules: DataFrame | None) -> DataFrame:
     """Place of the provider in the property's rule; 0 without a rule, dropped when not listed."""
     if rules is None:
         return rows.withColumn("rank", F.lit(0)).withColumn("trusted", F.lit(None).cast("string"))
+    if "position" in rules.columns:
+        rules = last_rules(rules, "position")
     listed = rules.select(
         "entity_id", "property", F.when(F.col("kind") == "provider", F.col("providers")).alias("providers")
     )
@@ -111,6 +113,8 @@ def _winner() -> Column:
 def resolve(cands: DataFrame, rules: DataFrame | None, keys: list[str]) -> DataFrame:
     """One row per key with the winning value or the status ``conflict``.
 
+    ``rules`` has one rule per property, or a ``position`` that tells the last.
+
     Only aggregations that combine before the shuffle: candidates shrink to
     one row per (key, provider, clock), then per (key, provider), and only
     then meet the rules, so a hot key never reaches a join or a sort whole.

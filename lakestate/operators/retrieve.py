@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakestate.functions import text as tx
-from lakestate.functions.ordering import with_ordinal
 from lakestate.operators import identity
 from lakestate.session import pinned, written
 
@@ -14,7 +13,6 @@ from lakestate.session import pinned, written
 K1, B = 1.2, 0.75
 KIND_PRIOR = {"state": 18, "decision": 16, "commitment": 14, "relationship": 10, "event": 6, "artifact": 4}
 FUSION = 60
-PART_ROWS = 4096
 
 
 def searchable(records: DataFrame, names: DataFrame) -> DataFrame:
@@ -276,18 +274,14 @@ def corpus_cost(records: DataFrame) -> DataFrame:
     return records.agg(F.count(F.lit(1)).alias("n_records"), F.sum(tx.record_cost(F.col("text"))).alias("tokens"))
 
 
-def fuse(rankings: list[DataFrame], k: int) -> DataFrame:
-    """Reciprocal-rank fusion of the first k rows of each ranking.
-
-    The constant rank limit is applied before the shuffle.
-    """
+def fuse(rankings: list[DataFrame]) -> DataFrame:
+    """Reciprocal-rank fusion of whole rankings."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "record_id")
     parts = None
     for ranking in rankings:
         part = (
             ranking.select("query_id", "record_id", "score")
             .withColumn("rank", F.row_number().over(order))
-            .filter(F.col("rank") <= k)
             .select("query_id", "record_id", (1 / (FUSION + F.col("rank"))).alias("part"))
         )
         parts = part if parts is None else parts.unionByName(part)
@@ -298,9 +292,10 @@ def state_records(state: DataFrame, conflicts: DataFrame, flavour: str, descript
     """Resolved and conflicted properties as texts.
 
     ``state`` has the canonical rows, ``conflicts`` the candidate rows in long
-    form. A conflict names its candidates in source order.
+    form. A conflict is one record per distinct candidate, whatever their
+    number; the record's id holds a digest of the candidate's source and value.
     """
-    from lakestate.functions.values import context_value, iso_ms
+    from lakestate.functions.values import context_value, digest, iso_ms, json_list
 
     def labelled(df: DataFrame) -> DataFrame:
         if descriptors is None:
@@ -321,27 +316,15 @@ def state_records(state: DataFrame, conflicts: DataFrame, flavour: str, descript
         *scope, F.concat_ws(":", F.lit(f"{flavour}-state"), "entity_id", "property").alias("record_id"),
         "entity_id", "property", text.alias("text"),
     )
-    entry = F.struct("provider", "external_id", "value_json")
-    phrases = F.transform(
-        F.array_sort(F.collect_list(entry)), lambda e: F.concat(e["provider"], F.lit("="), context_value(e["value_json"]))
-    )
-    # A conflict names all its candidates. One with very many is told in numbered
-    # parts of at most PART_ROWS, so no list grows with the data and none is lost.
-    group = [*scope, "entity_id", "property"]
-    placed = with_ordinal(
-        conflicts.select(*group, "provider", "external_id", "value_json"), group, ["provider", "external_id", "value_json"]
-    ).withColumn("part", F.floor((F.col("ordinal") - 1) / PART_ROWS))
-    listed = placed.groupBy(*group, "part").agg(F.array_join(phrases, "; ").alias("listed"))
+    # Fixed value: the conflict's wording.
     told = F.concat(
-        F.lit("Unresolved conflict for "), F.col("label"), F.lit(": "), F.col("listed"),
+        F.lit("Unresolved conflict for "), F.col("label"), F.lit(": "), F.col("provider"), F.lit("="), context_value(F.col("value_json")),
         F.lit(". Do not assert a single value." if clocks else "."),
     )
-    doubts = labelled(listed).select(
+    candidates = conflicts.select(*scope, "entity_id", "property", "provider", "external_id", "value_json").distinct()
+    doubts = labelled(candidates).select(
         *scope,
-        F.concat_ws(
-            ":", F.lit(f"{flavour}-conflict"), "entity_id", "property",
-            F.when(F.col("part") > 0, (F.col("part") + 1).cast("string")),
-        ).alias("record_id"),
+        F.concat_ws(":", F.lit(f"{flavour}-conflict"), "entity_id", "property", digest(json_list("provider", "external_id", "value_json"))).alias("record_id"),
         "entity_id", "property", told.alias("text"),
     )
     return facts.unionByName(doubts)

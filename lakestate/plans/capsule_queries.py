@@ -27,11 +27,10 @@ VIEWS = _capsule_views()
          coalesce(label, replace(property, '.', ' ')) || ': ' || replace(value_json, '"', '') || '.' AS text
        FROM resolved LEFT JOIN property_texts USING (property) WHERE status = 'resolved'
        UNION ALL
-       SELECT 'capsule-conflict:' || n.entity_id || ':' || n.property, n.entity_id,
-         'Unresolved conflict for ' || any_value(coalesce(label, replace(n.property, '.', ' '))) || ': '
-           || string_agg(n.provider || '=' || replace(n.value_json, '"', ''), '; ' ORDER BY n.provider, n.external_id, n.value_json) || '.'
+       SELECT DISTINCT 'capsule-conflict:' || n.entity_id || ':' || n.property || ':' || sha256(CAST(to_json([n.provider, n.external_id, n.value_json]) AS VARCHAR)), n.entity_id,
+         'Unresolved conflict for ' || coalesce(label, replace(n.property, '.', ' ')) || ': ' || n.provider || '=' || replace(n.value_json, '"', '') || '.'
        FROM newest n JOIN resolved r USING (probe_id, entity_id, property) LEFT JOIN property_texts l ON l.property = n.property
-       WHERE r.status = 'conflict' GROUP BY n.entity_id, n.property
+       WHERE r.status = 'conflict'
        UNION ALL
        SELECT 'graph-relation:' || relation_id, from_id, f.name || ' ' || coalesce(words, relation_type) || ' ' || t.name || '.'
        FROM live JOIN first_names f ON f.entity_id = from_id JOIN first_names t ON t.entity_id = to_id LEFT JOIN relation_texts USING (relation_type)""",
@@ -49,6 +48,23 @@ def capsule_corpus(lake: Lake) -> DataFrame:
     return states.select("record_id", "entity_id", "text").unionByName(links.select("record_id", "entity_id", "text"))
 
 
+@query(
+    "capsule_material",
+    """SELECT entity_id, 'state' AS section, CAST(to_json([property, value_json, provider, external_id]) AS VARCHAR) AS text FROM resolved WHERE status = 'resolved'
+       UNION ALL
+       SELECT n.entity_id, 'conflict', CAST(to_json([n.property, CASE WHEN r.rank = 0 THEN 'ambiguous-freshest' ELSE 'ambiguous-authority' END, n.observation_id, n.value_json]) AS VARCHAR)
+       FROM newest n JOIN resolved r USING (probe_id, entity_id, property) WHERE r.status = 'conflict'
+       UNION ALL
+       SELECT from_id, 'relation', CAST(to_json([relation_type, to_id, relation_id]) AS VARCHAR) FROM live
+       UNION ALL
+       SELECT DISTINCT entity_id, 'retraction', CAST(to_json([retraction_id]) AS VARCHAR) FROM applied""",
+    VIEWS,
+)
+def capsule_material(lake: Lake) -> DataFrame:
+    """Every row that capsules are made of, but for the entities themselves."""
+    return cp.materialize(_tables(lake), AT)[0].filter("section <> 'entity'").select("entity_id", "section", "text")
+
+
 @query("capsule_related", "SELECT DISTINCT from_id AS entity_id, to_id AS related_id FROM live", VIEWS)
 def capsule_related(lake: Lake) -> DataFrame:
     return cp.related(cp.materialize(_tables(lake), AT)[0])
@@ -56,11 +72,10 @@ def capsule_related(lake: Lake) -> DataFrame:
 
 @query(
     "configuration_version",
-    """SELECT sha256(concat_ws('|', CAST(count(*) AS VARCHAR), CAST(sum(a) AS VARCHAR), CAST(sum(b) AS VARCHAR), CAST(sum(c) AS VARCHAR), CAST(sum(d) AS VARCHAR))) AS version FROM (
-         SELECT CAST('0x' || substr(h, 1, 7) AS BIGINT) AS a, CAST('0x' || substr(h, 9, 7) AS BIGINT) AS b,
-           CAST('0x' || substr(h, 17, 7) AS BIGINT) AS c, CAST('0x' || substr(h, 25, 7) AS BIGINT) AS d FROM (
+    """SELECT sha256(string_agg(d, '' ORDER BY s)) AS version FROM (
+         SELECT left(h, 4) AS s, sha256(string_agg(h, '' ORDER BY h)) AS d FROM (
            SELECT sha256('{"entity_id":"' || entity_id || '","property":"' || property || '","kind":"provider","providers":["'
-             || string_agg(provider, '","' ORDER BY rank) || '"]}') AS h FROM authority_rules GROUP BY entity_id, property))""",
+             || string_agg(provider, '","' ORDER BY rank) || '"]}') AS h FROM authority_rules GROUP BY entity_id, property) GROUP BY 1)""",
 )
 def configuration_version(lake: Lake) -> DataFrame:
     return cp.configuration_version(lake.authority_rules())

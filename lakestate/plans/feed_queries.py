@@ -13,6 +13,7 @@ from lakestate.operators import ingest as ig
 from lakestate.operators import journal as jn
 from lakestate.operators import plan as pl
 from lakestate.operators import recordset as xs
+from lakestate.operators import resolve as rs
 from lakestate.operators import temporal as tp
 from lakestate.operators import validate as va
 from lakestate.plans.registry import query
@@ -41,7 +42,7 @@ PLAN = {
         SELECT entity_id, property, CASE WHEN count(DISTINCT value_json) = 1 THEN 'resolved' ELSE 'conflict' END AS status,
           CASE WHEN count(DISTINCT value_json) = 1 THEN min(value_json) END AS value_json FROM newest GROUP BY 1, 2""",
     "moves": """
-        SELECT b.entity_id, b.provider, b.external, r.value_json AS next_json, s.value_json AS previous_json
+        SELECT b.entity_id, b.provider, b.external_id, b.external, r.property, r.value_json AS next_json, s.value_json AS previous_json, s.revision AS base_revision
         FROM resolved r JOIN bindings b ON b.entity_id = r.entity_id AND b.canonical = r.property AND b.writable
         LEFT JOIN snapshots s ON s.entity_id = b.entity_id AND s.provider = b.provider AND s.external = b.external
         WHERE r.status = 'resolved' AND r.value_json IS DISTINCT FROM s.value_json""",
@@ -49,6 +50,14 @@ PLAN = {
         SELECT e.entity_id, (SELECT count(*) FROM moves m WHERE m.entity_id = e.entity_id) AS n_mutations,
           (SELECT count(*) FROM resolved r WHERE r.entity_id = e.entity_id AND r.status = 'conflict') AS n_conflicts
         FROM (SELECT DISTINCT entity_id FROM bindings) e""",
+    "materials": """
+        SELECT entity_id, sha256(CAST(to_json(['mutation', provider, external_id, external, property, next_json, previous_json, base_revision]) AS VARCHAR)) AS h FROM moves
+        UNION ALL
+        SELECT n.entity_id, sha256(CAST(to_json(['conflict', n.property, CASE WHEN n.rank = 0 THEN 'ambiguous-freshest' ELSE 'ambiguous-authority' END,
+          n.provider, n.external_id, n.value_json]) AS VARCHAR)) FROM newest n JOIN resolved r USING (entity_id, property) WHERE r.status = 'conflict'""",
+    "digests": """
+        SELECT entity_id, sha256(string_agg(d, '' ORDER BY s)) AS digest FROM (
+          SELECT entity_id, left(h, 4) AS s, sha256(string_agg(h, '' ORDER BY h)) AS d FROM materials GROUP BY 1, 2) GROUP BY 1""",
 }
 
 
@@ -88,16 +97,29 @@ def _rules(lake: Lake) -> DataFrame:
     )
 
 
-def _moves(lake: Lake, snapshots: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def _planned(lake: Lake, snapshots: DataFrame | None = None, bindings: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Mutations and proposals."""
     snapshots = _snapshots(lake) if snapshots is None else snapshots
-    resolved = pinned(pl.resolve_snapshots(snapshots, _bindings(lake), _rules(lake)))
-    canonical = resolved.filter("status = 'resolved'")
-    return resolved, pl.mutations(canonical, snapshots, _bindings(lake))
+    bindings = _bindings(lake) if bindings is None else bindings
+    cands = pinned(rs.candidates_from_snapshots(snapshots, bindings))
+    resolved = pinned(rs.resolve(cands, _rules(lake), pl.KEYS))
+    moves = pl.mutations(resolved.filter("status = 'resolved'"), snapshots, bindings)
+    return moves, pl.proposals(bindings, moves, resolved, rs.conflict_candidates(resolved, cands, pl.KEYS))
 
 
-def _proposals(lake: Lake, snapshots: DataFrame | None = None) -> DataFrame:
-    resolved, moves = _moves(lake, snapshots)
-    return pl.proposals(_bindings(lake), moves, resolved)
+def _moves(lake: Lake, snapshots: DataFrame | None = None) -> DataFrame:
+    return _planned(lake, snapshots)[0]
+
+
+def _proposals(lake: Lake, snapshots: DataFrame | None = None, bindings: DataFrame | None = None) -> DataFrame:
+    return _planned(lake, snapshots, bindings)[1]
+
+
+def _changed(lake: Lake, who: str, column: str, value: str) -> DataFrame:
+    """Snapshots in which billing's segment of some customers has another value or revision."""
+    ids = lake.table("customer").filter(who).select(F.concat(F.lit("entity://customer/"), F.col("c_custkey").cast("string")).alias("entity_id"), F.lit(True).alias("hit"))
+    hit = F.col("hit") & (F.col("provider") == "billing") & (F.col("external") == "segment")
+    return _snapshots(lake).join(ids, "entity_id", "left").withColumn(column, F.when(hit, F.lit(value)).otherwise(F.col(column))).drop("hit")
 
 
 @query("snapshot_resolution", "SELECT entity_id, property, status, value_json FROM resolved", PLAN)
@@ -107,16 +129,17 @@ def snapshot_resolution(lake: Lake) -> DataFrame:
 
 @query("writeback_mutations", "SELECT entity_id, provider, external, next_json, previous_json FROM moves", PLAN)
 def writeback_mutations(lake: Lake) -> DataFrame:
-    return _moves(lake)[1].select("entity_id", "provider", "external", "next_json", "previous_json")
+    return _moves(lake).select("entity_id", "provider", "external", "next_json", "previous_json")
 
 
 @query(
     "writeback_proposals",
-    """SELECT entity_id, n_mutations, n_conflicts, CASE WHEN n_conflicts > 0 THEN 'blocked' WHEN n_mutations = 0 THEN 'noop' ELSE 'ready' END AS status FROM plans""",
+    """SELECT entity_id, n_mutations, n_conflicts, coalesce(digest, sha256('')) AS digest,
+         CASE WHEN n_conflicts > 0 THEN 'blocked' WHEN n_mutations = 0 THEN 'noop' ELSE 'ready' END AS status FROM plans LEFT JOIN digests USING (entity_id)""",
     PLAN,
 )
 def writeback_proposals(lake: Lake) -> DataFrame:
-    return _proposals(lake).drop("digest")
+    return _proposals(lake)
 
 
 @query(
@@ -137,6 +160,33 @@ def writeback_drift(lake: Lake) -> DataFrame:
     return pl.plan_drift(before, after).select("entity_id")
 
 
+@query(
+    "writeback_drift_revision",
+    """SELECT 'entity://customer/' || c_custkey AS entity_id FROM customer WHERE c_acctbal < 0 AND c_nationkey < 10 AND c_mktsegment <> 'HOUSEHOLD'""",
+)
+def writeback_drift_revision(lake: Lake) -> DataFrame:
+    """Billing's segment got a new revision; plans that would overwrite it no longer hold."""
+    return pl.plan_drift(pinned(_proposals(lake)), _proposals(lake, _changed(lake, "true", "revision", "r9"))).select("entity_id")
+
+
+@query(
+    "writeback_drift_candidate",
+    """SELECT 'entity://customer/' || c_custkey AS entity_id FROM customer WHERE c_acctbal < 0 AND c_nationkey >= 10 AND c_mktsegment <> 'HOUSEHOLD'""",
+)
+def writeback_drift_candidate(lake: Lake) -> DataFrame:
+    """One candidate of each conflict got another value; the conflict stays."""
+    who = "c_acctbal < 0 AND c_nationkey >= 10 AND c_mktsegment <> 'HOUSEHOLD'"
+    return pl.plan_drift(pinned(_proposals(lake)), _proposals(lake, _changed(lake, who, "value_json", '"OTHER"'))).select("entity_id")
+
+
+@query("writeback_drift_vanished", "SELECT 'entity://customer/' || c_custkey AS entity_id FROM customer WHERE c_nationkey = 3")
+def writeback_drift_vanished(lake: Lake) -> DataFrame:
+    """The bindings of one nation's customers are gone."""
+    gone = lake.table("customer").filter("c_nationkey = 3").select(F.concat(F.lit("entity://customer/"), F.col("c_custkey").cast("string")).alias("entity_id"))
+    after = _proposals(lake, bindings=_bindings(lake).join(gone, "entity_id", "left_anti"))
+    return pl.plan_drift(pinned(_proposals(lake)), after).select("entity_id")
+
+
 @query(
     "writeback_convergence",
     """SELECT entity_id, CASE WHEN n_conflicts > 0 THEN 'blocked' WHEN n_mutations = 0 THEN 'noop' ELSE 'converged' END AS outcome FROM plans""",
@@ -144,12 +194,40 @@ def writeback_drift(lake: Lake) -> DataFrame:
 )
 def writeback_convergence(lake: Lake) -> DataFrame:
     """Apply every mutation to the snapshots and plan again."""
-    resolved, moves = _moves(lake)
-    moves = pinned(moves)
-    before = pinned(pl.proposals(_bindings(lake), moves, resolved))
+    moves, before = _planned(lake)
+    moves, before = pinned(moves), pinned(before)
     ready = moves.join(before.filter("status = 'ready'").select("entity_id"), "entity_id", "left_semi")
     after = pinned(pl.apply_mutations(_snapshots(lake), ready, "r2"))
-    return pl.outcomes(before, _moves(lake, after)[1])
+    return pl.outcomes(before, _moves(lake, after))
+
+
+OUTCOMES = """SELECT p.entity_id, CASE WHEN n_conflicts > 0 THEN 'blocked' WHEN n_mutations = 0 THEN 'noop'
+         WHEN c_acctbal < 0 AND c_nationkey < 10 AND c_mktsegment <> 'HOUSEHOLD' THEN 'drifted' ELSE '{last}' END AS outcome
+       FROM plans p JOIN customer c ON p.entity_id = 'entity://customer/' || c_custkey"""
+
+
+def _outcomes_after_drift(lake: Lake, dry_run: bool) -> DataFrame:
+    """Billing's segments got a new revision between plan and application."""
+    moves, before = _planned(lake)
+    moves, before = pinned(moves), pinned(before)
+    later = pinned(_changed(lake, "true", "revision", "r9"))
+    drifted = pinned(pl.plan_drift(before, _proposals(lake, later)))
+    steady = before.filter("status = 'ready'").join(drifted, "entity_id", "left_anti").select("entity_id")
+    ready = pinned(moves.join(steady, "entity_id", "left_semi"))
+    if pl.stale_mutations(ready, later).limit(1).count():
+        raise AssertionError("a steady plan builds on a revision that is gone")
+    after = later if dry_run else pinned(pl.apply_mutations(later, ready, "r10"))
+    return pl.outcomes(before, _moves(lake, after), drifted, dry_run)
+
+
+@query("writeback_outcomes", OUTCOMES.format(last="converged"), PLAN)
+def writeback_outcomes(lake: Lake) -> DataFrame:
+    return _outcomes_after_drift(lake, False)
+
+
+@query("writeback_dry_run", OUTCOMES.format(last="dry-run"), PLAN)
+def writeback_dry_run(lake: Lake) -> DataFrame:
+    return _outcomes_after_drift(lake, True)
 
 
 @query("foreign_snapshots", "SELECT 'entity://customer/' || c_custkey AS entity_id FROM customer WHERE c_nationkey >= 20")

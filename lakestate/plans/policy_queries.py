@@ -723,9 +723,17 @@ def stream_dedupe(lake: Lake) -> DataFrame:
     return lake.spark.read.parquet(f"{out}/rows").select("mutation_id")
 
 
-@query("stream_unfinished")
+@query(
+    "stream_unfinished",
+    """SELECT mutation_id, epoch_ms(occurred) AS requested_at FROM journal v,
+         (SELECT least(max(occurred) FILTER (WHERE asked), max(occurred) FILTER (WHERE NOT asked)) - INTERVAL 1 MINUTE AS closed FROM journal)
+       WHERE asked AND occurred + INTERVAL 1 HOUR < closed AND NOT EXISTS (
+         SELECT 1 FROM journal d WHERE NOT d.asked AND d.mutation_id = v.mutation_id AND d.occurred BETWEEN v.occurred AND v.occurred + INTERVAL 1 HOUR)""",
+    {"journal": """SELECT concat_ws(':', user_id, json_extract_string(props, '$.k')) AS mutation_id, event_type = 'view' AS asked, date_trunc('millisecond', ts) AS occurred
+       FROM events WHERE event_type IN ('view', 'click', 'error')"""},
+)
 def stream_unfinished(lake: Lake) -> DataFrame:
-    """Requests unanswered for an hour of event time."""
+    """Requests unanswered for an hour of event time, once no late answer can come."""
     out = run_dir(lake.spark, "unfinished")
     jobs.unfinished_stream(_Streamed(lake.spark, lake.root).journal_events(), "1 HOUR", out).awaitTermination()
-    return lake.spark.read.parquet(f"{out}/rows")
+    return lake.spark.read.parquet(f"{out}/rows").select("mutation_id", F.unix_millis("requested_at").alias("requested_at"))

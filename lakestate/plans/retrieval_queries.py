@@ -325,12 +325,12 @@ def corpus_cost(lake: Lake) -> DataFrame:
          SELECT query_id, record_id, rn FROM ranking
          UNION ALL SELECT query_id, record_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, record_id) FROM (
            SELECT a.query_id, t.record_id, count(*) AS score FROM asked a JOIN tfs t USING (term) GROUP BY 1, 2))
-       WHERE rn <= 100 GROUP BY 1, 2""",
+       GROUP BY 1, 2""",
     TEXT,
 )
 def rank_fusion(lake: Lake) -> DataFrame:
     docs, queries = _docs(lake), lake.text_queries()
-    return rt.fuse([rt.bm25(queries, docs), rt.lexical(queries, docs)], 100)
+    return rt.fuse([rt.bm25(queries, docs), rt.lexical(queries, docs)])
 
 
 # -- state as text, as-of retrieval, evaluation --------------------------------
@@ -415,12 +415,10 @@ COMPILED = {
             || '. validAt=2000-06-30T23:59:59.000Z. knownAt=2000-06-30T23:59:59.000Z.' AS text
         FROM resolved JOIN labels_of USING (property) WHERE status = 'resolved'
         UNION ALL
-        SELECT 'temporal-conflict:' || n.entity_id || ':' || n.property, n.entity_id, n.property,
-          'Unresolved conflict for ' || any_value(label) || ': '
-            || string_agg(n.provider || '=' || replace(n.value_json, '"', ''), '; ' ORDER BY n.provider, n.external_id, n.value_json)
-            || '. Do not assert a single value.'
+        SELECT DISTINCT 'temporal-conflict:' || n.entity_id || ':' || n.property || ':' || sha256(CAST(to_json([n.provider, n.external_id, n.value_json]) AS VARCHAR)), n.entity_id, n.property,
+          'Unresolved conflict for ' || label || ': ' || n.provider || '=' || replace(n.value_json, '"', '') || '. Do not assert a single value.'
         FROM newest n JOIN resolved r USING (probe_id, entity_id, property) JOIN labels_of l ON l.property = n.property
-        WHERE r.status = 'conflict' GROUP BY n.entity_id, n.property""",
+        WHERE r.status = 'conflict'""",
 }
 
 
@@ -630,11 +628,10 @@ GRAPH_COMPILE = {
           l.label || ': ' || replace(s.value_json, '"', '') || '.'
         FROM reached q JOIN state_props s USING (entity_id) JOIN property_texts l USING (property) WHERE status = 'resolved'
         UNION ALL
-        SELECT q.query_id, 'graph-conflict:' || n.entity_id || ':' || n.property, n.entity_id,
-          'Unresolved conflict for ' || any_value(l.label) || ': '
-            || string_agg(n.provider || '=' || replace(n.value_json, '"', ''), '; ' ORDER BY n.provider, n.external_id, n.value_json) || '.'
+        SELECT DISTINCT q.query_id, 'graph-conflict:' || n.entity_id || ':' || n.property || ':' || sha256(CAST(to_json([n.provider, n.external_id, n.value_json]) AS VARCHAR)), n.entity_id,
+          'Unresolved conflict for ' || l.label || ': ' || n.provider || '=' || replace(n.value_json, '"', '') || '.'
         FROM reached q JOIN newest n USING (entity_id) JOIN resolved r ON r.entity_id = n.entity_id AND r.property = n.property
-        JOIN property_texts l ON l.property = n.property WHERE r.status = 'conflict' GROUP BY q.query_id, n.entity_id, n.property""",
+        JOIN property_texts l ON l.property = n.property WHERE r.status = 'conflict'""",
     "owners": """
         SELECT entity_id, array_to_string(list_sort(list(DISTINCT value)), ' ') AS owner FROM aliases GROUP BY 1""",
     "docs": """

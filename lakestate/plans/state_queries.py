@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lakestate.operators import resolve as rs
 from lakestate.operators import temporal as tp
 from lakestate.plans.registry import query
+from lakestate.session import pinned
 from lakestate.sources.adapters import Lake
 
 PROBES = [
@@ -198,6 +199,19 @@ def authority_order(lake: Lake) -> DataFrame:
     )
 
 
+@query(
+    "authority_duplicate_rules",
+    """SELECT probe_id, entity_id, property, status, value_json, provider, n_candidates FROM resolved""",
+    STATE,
+)
+def authority_duplicate_rules(lake: Lake) -> DataFrame:
+    """Every rule was preceded by one that trusted another provider; the last counts."""
+    rules = lake.authority_rules().withColumn("position", F.lit(2))
+    earlier = rules.withColumn("position", F.lit(1)).withColumn("providers", F.array(F.lit("p4"), F.lit("p3")))
+    resolved = rs.resolve(pinned(_candidates(lake)), rules.unionByName(earlier), rs.KEYS)
+    return resolved.select("probe_id", "entity_id", "property", "status", "value_json", "provider", "n_candidates")
+
+
 @query(
     "conflict_candidates",
     """SELECT n.probe_id, n.entity_id, n.property, n.observation_id, n.provider, n.value_json

@@ -73,40 +73,16 @@ SCHEMAS = {
 }
 
 
-# Keys of the tables that carry much work per row.
-SPREAD_KEYS = {
-    "orders": ["o_orderkey"],
-    "lineitem": ["l_orderkey", "l_linenumber"],
-    "events": ["event_id"],
-    "documents": ["doc_id"],
-    "conversations": ["conv_id", "turn"],
-    "pages": ["page_id"],
-}
-
-
 class Lake:
     """Lazy tables over one folder of the given Parquet files."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = prepare(spark)
         self.root = root.rstrip("/")
-        self._scan_tasks: dict[str, int] = {}
 
     def table(self, name: str) -> DataFrame:
-        """The given table; spread over the cores when its files give too few scan tasks.
-
-        A table of many files or row groups is read as it is. One that would be
-        scanned by fewer tasks than there are cores is small, and is hashed on
-        its key first, so that the work behind the scan is not done by one task.
-        Filters and column choice still reach the scan.
-        """
-        df = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}.parquet")
-        cores = self.spark.sparkContext.defaultParallelism
-        if name not in SPREAD_KEYS:
-            return df
-        if name not in self._scan_tasks:
-            self._scan_tasks[name] = df.rdd.getNumPartitions()
-        return df.repartition(cores, *SPREAD_KEYS[name]) if self._scan_tasks[name] < cores else df
+        """The given table, scanned as its files are split."""
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}.parquet")
 
     # -- bitemporal records ------------------------------------------------
 

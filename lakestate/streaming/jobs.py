@@ -31,7 +31,9 @@ def _upto(spark: SparkSession, root: str, schema: str, batch_id: int) -> DataFra
     """Rows written by batches before this one (``batch`` names the writer)."""
     try:
         rows = spark.read.option("basePath", root).schema(schema + ", batch bigint").parquet(root)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         rows = spark.createDataFrame([], schema + ", batch bigint")
     return rows.filter(F.col("batch") < batch_id)
 
