@@ -78,14 +78,17 @@ def epoch_key(secret: bytes, epoch_id: str) -> bytes:
     return hmac.new(extracted, f"record-tags/{epoch_id}".encode() + b"\x01", hashlib.sha256).digest()
 
 
-def hmac_tag(key: bytes, domain: str, purpose: str, value: Column) -> Column:
-    """HMAC-SHA256 over [domain, purpose, value], with built-ins only."""
+def hmac_pads(key: bytes) -> tuple[bytes, bytes]:
+    """Inner and outer block of an HMAC key."""
     block = key.ljust(64, b"\x00")
-    inner = bytes(b ^ 0x36 for b in block)
-    outer = bytes(b ^ 0x5C for b in block)
+    return bytes(b ^ 0x36 for b in block), bytes(b ^ 0x5C for b in block)
+
+
+def hmac_tag(inner: Column, outer: Column, domain: str, purpose: str, value: Column) -> Column:
+    """HMAC-SHA256 over [domain, purpose, value] with the key's pads as columns, with built-ins only."""
     message = F.encode(F.to_json(F.array(F.lit(domain), F.lit(purpose), value)), "UTF-8")
-    first = F.unhex(F.sha2(F.concat(F.lit(inner), message), 256))
-    return F.sha2(F.concat(F.lit(outer), first), 256)
+    first = F.unhex(F.sha2(F.concat(inner, message), 256))
+    return F.sha2(F.concat(outer, first), 256)
 
 
 def group_digest(rows: DataFrame, keys: list[str], text: Column, name: str = "digest") -> DataFrame:

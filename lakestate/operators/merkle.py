@@ -145,23 +145,49 @@ def diff_work(left: DataFrame, right: DataFrame, bits: int, left_leaves: DataFra
 def add(nodes: DataFrame, old: DataFrame, new: DataFrame, bits: int, version: int) -> DataFrame:
     """Nodes that a batch of new descriptors changes, with the given version.
 
-    Only leaves the batch touches are hashed again, and only their paths are
-    walked up; siblings come from the stored nodes.
+    Old descriptors are cut to the leaves that the batch touches before anything
+    else is done with them. The paths above are walked in one task: they have
+    at most ``bits`` times 2^16 rows (2^16 leaves), whatever the record set.
     """
-    touched = new.select(leaf_id(F.col("key"), bits).alias("leaf")).distinct()
-    together = recordset.subtract(new, old).unionByName(old)
-    fresh = together.withColumn("leaf", leaf_id(F.col("key"), bits)).join(F.broadcast(touched), "leaf", "left_semi").drop("leaf")
-    changed = leaves(fresh, bits).select(F.lit(0).alias("level"), F.col("leaf").cast("bigint").alias("node_index"), "hash", "n")
-    out, empties = [pinned(changed)], empty_hashes(bits)
-    for level in range(1, bits + 1):
-        below = out[-1]
-        # Each changed node needs only its one sibling from the stored level.
-        siblings = nodes.filter(F.col("level") == level - 1).select(*below.columns).join(
-            F.broadcast(below.select(F.col("node_index").bitwiseXOR(F.lit(1)).alias("node_index"))), "node_index", "left_semi"
-        ).join(F.broadcast(below.select("node_index")), "node_index", "left_anti")
-        # At most 2^16 rows; written, as the next level reads them three times.
-        out.append(pinned(_parents(below.unionByName(siblings), level, empties[level - 1], [])))
-    return reduce(DataFrame.unionByName, out).withColumn("version", F.lit(version))
+    touched = pinned(new.select(leaf_id(F.col("key"), bits).alias("leaf")).distinct())
+    near = old.withColumn("leaf", leaf_id(F.col("key"), bits)).join(F.broadcast(touched), "leaf", "left_semi").drop("leaf")
+    near = pinned(near)
+    together = recordset.subtract(new, near).unionByName(near)
+    changed = leaves(together, bits).select(F.lit(0).alias("level"), F.col("leaf").cast("bigint").alias("node_index"), "hash", F.col("n").cast("bigint").alias("n"))
+    steps = F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("level") if bits else F.lit(0).alias("level")
+    on_path = touched.select(steps, "leaf").select(
+        "level", F.expr("shiftright(cast(leaf AS bigint), level) ^ 1").alias("node_index")
+    ).distinct()
+    beside = nodes.select(F.col("level").cast("int").alias("level"), F.col("node_index").cast("bigint").alias("node_index"), "hash", F.col("n").cast("bigint").alias("n")).join(
+        F.broadcast(on_path), ["level", "node_index"], "left_semi"
+    )
+    rows = changed.withColumn("fresh", F.lit(True)).unionByName(beside.withColumn("fresh", F.lit(False)))
+    walked = rows.repartition(1).mapInPandas(_walker(bits, empty_hashes(bits)), "level int, node_index bigint, hash string, n bigint")
+    return walked.withColumn("version", F.lit(version))
+
+
+def _walker(bits: int, empties: list[str]):
+    """Hashes upwards from changed leaves; the other nodes given are siblings on their paths."""
+
+    def walk(batches):
+        import hashlib
+
+        import pandas as pd
+
+        own: dict[tuple[int, int], tuple[str, int]] = {}
+        beside: dict[tuple[int, int], tuple[str, int]] = {}
+        for batch in batches:
+            for level, index, digest, n, fresh in batch[["level", "node_index", "hash", "n", "fresh"]].itertuples(index=False):
+                (own if fresh else beside)[int(level), int(index)] = (digest, int(n))
+        for level in range(1, bits + 1):
+            for parent in {i >> 1 for at, i in own if at == level - 1}:
+                pair = [own.get((level - 1, c)) or beside.get((level - 1, c)) or (empties[level - 1], 0) for c in (2 * parent, 2 * parent + 1)]
+                digest = hashlib.sha256(f"node:{pair[0][0]}{pair[1][0]}".encode()).hexdigest()
+                own[level, parent] = (digest, pair[0][1] + pair[1][1])
+        out = [(level, i, digest, n) for (level, i), (digest, n) in own.items()]
+        yield pd.DataFrame(out, columns=["level", "node_index", "hash", "n"])
+
+    return walk
 
 
 def nodes_as_of(versioned: DataFrame, version: int) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakestate.functions.values import epoch_key, hmac_tag
+from lakestate.functions.values import epoch_key, hmac_pads, hmac_tag
 from lakestate.operators import recordset
 
 # Fixed value: order of the URL-safe alphabet, mapped to ranks of a binary sort.
@@ -13,13 +13,23 @@ ALPHABET = "_-0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 RANKS = "".join(chr(0x30 + i) for i in range(len(ALPHABET)))
 
 
+def epoch_keys(spark: SparkSession, secret: bytes, epoch_ids: list[str]) -> DataFrame:
+    """Pads of the epochs' keys: one row per epoch, as data, so that no plan holds key material."""
+    rows = [(epoch, *map(bytearray, hmac_pads(epoch_key(secret, epoch)))) for epoch in epoch_ids]
+    return spark.createDataFrame(rows, "epoch_id string, inner_pad binary, outer_pad binary")
+
+
 def opaque(recs: DataFrame, secret: bytes, epoch_id: str, kind: str = "record") -> DataFrame:
     """What may be shown of each record: keyed tags and a size."""
-    key = epoch_key(secret, epoch_id)
-    return recs.select(
-        F.lit(epoch_id).alias("epoch_id"), F.lit(kind).alias("object_kind"),
-        hmac_tag(key, "opaque", "key", F.col("key")).alias("opaque_key"),
-        hmac_tag(key, "opaque", "content", F.col("payload_digest")).alias("content_tag"),
+    keys = epoch_keys(recs.sparkSession, secret, [epoch_id])
+    return opaque_by_epoch(recs.withColumn("epoch_id", F.lit(epoch_id)), keys, kind)
+
+
+def opaque_by_epoch(recs: DataFrame, keys: DataFrame, kind: str = "record") -> DataFrame:
+    """X17 for records of many epochs at once; ``keys`` has one row per epoch."""
+    tag = lambda purpose, value: hmac_tag(F.col("inner_pad"), F.col("outer_pad"), "opaque", purpose, F.col(value))
+    return recs.join(keys, "epoch_id").select(
+        "epoch_id", F.lit(kind).alias("object_kind"), tag("key", "key").alias("opaque_key"), tag("content", "payload_digest").alias("content_tag"),
         (F.col("payload_bytes") + 28).alias("ciphertext_bytes"),
     ).withColumn(
         "fingerprint",

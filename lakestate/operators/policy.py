@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakestate.functions import text as tx
-from lakestate.functions.values import entity_refs
+from lakestate.functions.values import entity_refs, json_list
 from lakestate.operators import identity as idn
 from lakestate.operators import retrieve as rt
 from lakestate.session import pinned
 
+# Fixed value: the code of a refusal without a rule.
 NO_RULE = "no-matching-policy-rule"
 
 
@@ -208,7 +209,7 @@ def secure_compile(queries: DataFrame, grants: DataFrame, index: DataFrame, enti
     top = by_score.groupBy("subject", "query_id").agg(F.max(F.struct("score", "tied", "entity_id")).alias("t"))
     resolution = pinned(
         top.select(
-            "subject", "query_id", F.concat_ws("|", "subject", "query_id").alias("ask_id"),
+            "subject", "query_id", json_list("subject", "query_id").alias("ask_id"),
             F.when(F.col("t.tied") == 1, F.lit("resolved")).otherwise(F.lit("ambiguous")).alias("status"),
             F.when(F.col("t.tied") == 1, F.col("t.entity_id")).alias("entity_id"),
         )

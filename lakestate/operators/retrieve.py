@@ -151,21 +151,27 @@ def related_candidates(named: DataFrame, records: DataFrame) -> DataFrame:
     return named.select("query_id", "entity_id").unionByName(reached).distinct()
 
 
-def _cost_prefix(rows: DataFrame, scope: list[str], limit: Column, order: list, salts: int) -> DataFrame:
-    """The first ``limit`` rows of each (scope, cost), cut in salted groups first
-    so that no task sees a hot group whole."""
-    salted = Window.partitionBy(*scope, "cost", "salt").orderBy(*order)
-    whole = Window.partitionBy(*scope, "cost").orderBy(*order)
+def _cost_prefix(rows: DataFrame, scope: list[str], limit: Column, order: list, most: int) -> DataFrame:
+    """The first ``limit`` rows of each (scope, cost).
+
+    No limit exceeds ``most``. As that is a constant, Spark keeps so many rows of
+    each group in every task before the shuffle, and no task sees a hot group
+    whole.
+    """
+    window = Window.partitionBy(*scope, "cost").orderBy(*order)
     return (
-        rows.withColumn("salt", F.pmod(F.xxhash64("record_id"), F.lit(salts)))
-        .withColumn("place", F.row_number().over(salted))
-        .filter(F.col("place") <= limit)
-        .withColumn("place", F.row_number().over(whole))
+        rows.withColumn("place", F.row_number().over(window))
+        .filter(F.col("place") <= F.lit(max(1, most)))
         .filter(F.col("place") <= limit)
-        .drop("salt", "place")
+        .drop("place")
     )
 
 
+def _largest_budget(queries: DataFrame) -> int:
+    """One number through the driver: the largest budget of all queries."""
+    return int(queries.agg(F.max("budget_tokens").alias("b")).first()["b"] or 0)
+
+
 def prior_rank(queries: DataFrame, records: DataFrame, index: DataFrame) -> DataFrame:
     """Direct mention, term overlap, currency, importance and kind prior,
     for the records a query's budget has room for.
@@ -208,10 +214,8 @@ def prior_rank(queries: DataFrame, records: DataFrame, index: DataFrame) -> Data
         .select("query_id", *rows.columns, F.coalesce("direct", F.lit(0)).alias("direct"), F.coalesce("overlap", F.lit(0)).alias("overlap"))
     )
     open_queries = queries.join(named, "query_id", "left_anti")
-    budget = queries.agg(F.max("budget_tokens").alias("b")).select("b").scalar()
-    tail = _cost_prefix(
-        rows.withColumn("most", F.floor(budget / F.col("cost"))), [], F.col("most"), [F.desc("base"), F.asc("record_id")], 32
-    )
+    budget = _largest_budget(queries)
+    tail = _cost_prefix(rows, [], F.floor(F.lit(budget) / F.col("cost")), [F.desc("base"), F.asc("record_id")], budget // tx.LEAST_COST)
     tail_list = tail.agg(F.collect_list(F.struct(*rows.columns)).alias("rows")).select("rows").scalar()
     met = shared.join(open_queries.select("query_id"), "query_id", "left_semi")
     unmet = (
@@ -228,15 +232,15 @@ def prior_rank(queries: DataFrame, records: DataFrame, index: DataFrame) -> Data
     )
 
 
-def fill_budget(ranked: DataFrame, queries: DataFrame, salts: int = 32, max_picks: int | None = None) -> DataFrame:
+def fill_budget(ranked: DataFrame, queries: DataFrame, max_picks: int | None = None) -> DataFrame:
     """Walk each ranking, take what fits, skip what does not.
 
     ``ranked`` has (query_id, record_id, cost, score). Among rows of equal cost
     the picks are always the first ones, as what is left only shrinks, so at
-    most floor(budget / cost) rows per (query, cost) can matter. That cut runs
-    twice, first in salted groups and then across them, so that no task sees
-    a hot group whole; it leaves about budget * ln(budget) rows per query for
-    the fold.
+    most floor(budget / cost) rows per (query, cost) can matter. That cut runs in
+    every task before the one shuffle and once after it; it leaves about
+    budget * ln(budget) rows per query for the fold. Without ``max_picks`` a cost
+    is at least ``tx.LEAST_COST``, as that of any record is.
     """
     limit = F.floor(F.col("budget_tokens") / F.col("cost"))
     if max_picks is not None:
@@ -246,7 +250,8 @@ def fill_budget(ranked: DataFrame, queries: DataFrame, salts: int = 32, max_pick
         .join(queries.select("query_id", "budget_tokens"), "query_id")
         .filter(F.col("cost") <= F.col("budget_tokens"))
     )
-    cut = _cost_prefix(rows, ["query_id"], limit, [F.desc("score"), F.asc("record_id")], salts)
+    most = max_picks if max_picks is not None else _largest_budget(queries) // tx.LEAST_COST
+    cut = _cost_prefix(rows, ["query_id"], limit, [F.desc("score"), F.asc("record_id")], most)
     # -score first, so that the natural order of the array is the rank order.
     item = F.struct((-F.col("score")).alias("neg"), "record_id", "cost")
     lists = cut.groupBy("query_id", "budget_tokens").agg(F.array_sort(F.collect_list(item)).alias("items"))

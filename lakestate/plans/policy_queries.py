@@ -36,16 +36,27 @@ def principals(lake: Lake) -> DataFrame:
     return po.normalize_principals(lake.principals()).select("subject", F.array_join("scopes", ",").alias("scopes"))
 
 
+SEGMENTS = ["automobile", "building", "furniture", "household", "machinery"]
+ASKER = "'reader-' || list_value('automobile', 'building', 'furniture', 'household', 'machinery')[1 + o_orderkey % 5]"
+
+
+def _asker():
+    """The reader that asks about an order: one of the five, by the order's key."""
+    return F.concat(F.lit("reader-"), F.element_at(F.array(*map(F.lit, SEGMENTS)), (F.col("o_orderkey") % 5 + 1).cast("int")))
+
+
 @query(
     "policy_decisions",
-    """SELECT p.subject, 'entity://customer/' || c_custkey AS entity_id, coalesce(g.effect, 'deny') AS outcome,
+    f"""SELECT a.subject, a.entity_id, o_orderkey, coalesce(g.effect, 'deny') AS outcome,
          CASE WHEN g.effect IS NULL THEN 'no-matching-policy-rule' WHEN g.effect = 'deny' THEN 'denied-by-rule' END AS code
-       FROM customer CROSS JOIN principals p LEFT JOIN grants g ON g.subject = p.subject AND g.entity_id = 'entity://customer/' || c_custkey""",
+       FROM (SELECT o_orderkey, {ASKER} AS subject, 'entity://customer/' || o_custkey AS entity_id FROM orders) a
+       LEFT JOIN grants g ON g.subject = a.subject AND g.entity_id = a.entity_id""",
 )
 def policy_decisions(lake: Lake) -> DataFrame:
-    """Every reader asks for every customer (five requests per row, exploded)."""
-    subjects = lake.principals().agg(F.collect_set("subject").alias("s")).select("s").scalar()
-    asks = _customer(lake).select("entity_id", subjects.alias("s")).select(F.explode("s").alias("subject"), "entity_id")
+    """For every order one reader asks for its customer."""
+    asks = lake.table("orders").select(
+        _asker().alias("subject"), F.concat(F.lit("entity://customer/"), F.col("o_custkey").cast("string")).alias("entity_id"), "o_orderkey"
+    )
     return po.decide(asks, lake.grants(), ["subject", "entity_id"])
 
 
@@ -199,20 +210,19 @@ def policy_replication_leaves(lake: Lake) -> DataFrame:
 
 @query(
     "policy_transfer",
-    """SELECT 'req-' || month(o_orderdate) AS request_id, p.subject, count(m.subject) AS n_found, count(*) - count(m.subject) AS n_unavailable,
+    f"""SELECT 'req-' || month(o_orderdate) AS request_id, p.subject, count(m.subject) AS n_found, count(*) - count(m.subject) AS n_unavailable,
          CAST(coalesce(sum(CASE WHEN m.subject IS NOT NULL THEN payload_bytes END), 0) AS BIGINT) AS bytes,
          CASE WHEN count(m.subject) > 20 THEN 'too-many-records' WHEN coalesce(sum(CASE WHEN m.subject IS NOT NULL THEN payload_bytes END), 0) > 900 THEN 'too-many-bytes' ELSE 'ok' END AS status
-       FROM orders CROSS JOIN principals p JOIN owned d ON d.key = 'observation:order-' || o_orderkey
+       FROM (SELECT *, {ASKER} AS subject FROM orders) p JOIN owned d ON d.key = 'observation:order-' || o_orderkey
        LEFT JOIN may m ON m.subject = p.subject AND m.entity_id = d.entity_id GROUP BY 1, 2""",
     OWNED,
 )
 def policy_transfer(lake: Lake) -> DataFrame:
-    """Every reader asks for every order, one request per month of the year."""
-    subjects = lake.principals().agg(F.collect_set("subject").alias("s")).select("s").scalar()
+    """Every order is asked for by one reader, in one request per reader and month of the year."""
     asks = lake.table("orders").select(
         F.concat(F.lit("req-"), F.month("o_orderdate").cast("string")).alias("request_id"),
-        F.concat(F.lit("observation:order-"), F.col("o_orderkey").cast("string")).alias("key"), subjects.alias("s"),
-    ).select("request_id", "key", F.explode("s").alias("subject"))
+        F.concat(F.lit("observation:order-"), F.col("o_orderkey").cast("string")).alias("key"), _asker().alias("subject"),
+    )
     return po.transfer(asks, po.replication_projection(_owned(lake), lake.grants()), 20, 900)
 
 
