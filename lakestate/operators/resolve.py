@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakestate.functions.ordering import as_of_lookup, locale, plain
-from lakestate.operators.temporal import Probe, active
+from lakestate.operators.temporal import Probe, active, change_points, known_live
+from lakestate.session import pinned
 
 KEYS = ["probe_id", "entity_id", "property"]
 
@@ -214,26 +215,17 @@ def state_timeline(observations: DataFrame, retractions: DataFrame, rules: DataF
     blocks, rows are summarised per block, and an interval reads the blocks
     above it; so the work is n log n even for one key with most of the rows.
     """
-    from lakestate.operators.temporal import effective_end, state_changes
-
     key = ["entity_id", "property"]
-    points = state_changes(observations, retractions, known_at)
-    live = (
-        effective_end(
-            observations.filter(F.col("recorded_at") <= F.lit(known_at).cast("timestamp")),
-            retractions,
-            [Probe("k", known_at, known_at)],
-        )
-        .filter(F.col("effective_end").isNull() | (F.col("valid_from") < F.col("effective_end")))
-        .select(*key, "value_json", "provider", "external_id", "revision", "valid_from", "effective_end",
-                F.col("recorded_at").alias("observed_at"))
+    live = pinned(
+        known_live(observations, retractions, known_at)
+        .select(*key, "value_json", "provider", "external_id", "revision", "valid_from", "effective_end", F.col("recorded_at").alias("observed_at"))
     )
-    place = lambda clock, name: points.select(*key, F.col("start").alias(clock), F.col("ordinal").alias(name))
-    sizes = points.groupBy(*key).agg(F.max("ordinal").alias("size"))
+    points = pinned(change_points(live))
+    starts = points.select(*key, F.col("start").alias("valid_from"), F.col("ordinal").alias("first"), "size")
+    ends = points.select(*key, F.col("start").alias("effective_end"), F.col("ordinal").alias("end"))
     tiled = (
-        live.join(place("valid_from", "first"), [*key, "valid_from"])
-        .join(place("effective_end", "end"), [*key, "effective_end"], "left")
-        .join(sizes, key)
+        live.join(starts, [*key, "valid_from"])
+        .join(ends, [*key, "effective_end"], "left")
         .withColumn("end", F.coalesce("end", F.col("size") + 1))
         .withColumn("tile", F.explode(_blocks(F.col("first"), F.col("end"))))
         .select(*key, "tile.level", "tile.block", "provider", "observed_at", "value_json", "external_id", "revision")
@@ -246,13 +238,12 @@ def state_timeline(observations: DataFrame, retractions: DataFrame, rules: DataF
         up, lambda k: F.struct(k.alias("level"), (F.col("ordinal") / F.pow(F.lit(2), k)).cast("bigint").alias("block"))
     )
     reads = (
-        points.join(sizes, key)
-        .withColumn("tile", F.explode(above))
-        .select(*key, "start", "tile.level", "tile.block")
+        points.withColumn("tile", F.explode(above))
+        .select(*key, "start", "until", "tile.level", "tile.block")
     )
-    interval = [*key, "start"]
+    interval = [*key, "start", "until"]
     seen = reads.join(summaries, block)
-    return _verdict(_best(seen, interval), interval).join(points.drop("ordinal"), interval)
+    return _verdict(_best(seen, interval), interval)
 
 
 def probe_timeline(timeline: DataFrame, probes: DataFrame) -> DataFrame:

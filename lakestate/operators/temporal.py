@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakestate.session import pinned
+
 RECORD_IDS = {"observation": "observation_id", "relation": "relation_id"}
 
 
@@ -183,21 +185,28 @@ def query_cutoff(text: Column) -> Column:
     return F.when(day != "", F.concat(day, F.lit(" 23:59:59"))).try_cast("timestamp")
 
 
-def state_changes(observations: DataFrame, retractions: DataFrame, known_at: str) -> DataFrame:
-    """Change points of every (entity, property) with the knowledge of one time."""
-    from lakestate.functions.ordering import with_ordinal
-
+def known_live(observations: DataFrame, retractions: DataFrame, known_at: str) -> DataFrame:
+    """Observations known at one time, with the end their retractions give them, empty windows left out."""
     known = effective_end(
         observations.filter(F.col("recorded_at") <= F.lit(known_at).cast("timestamp")),
         retractions,
         [Probe("k", known_at, known_at)],
     ).drop("probe_id", "valid_at", "known_at")
-    live = known.filter(F.col("effective_end").isNull() | (F.col("valid_from") < F.col("effective_end")))
-    points = live.select(
-        "entity_id", "property", F.explode(F.array_compact(F.array("valid_from", "effective_end"))).alias("start")
-    ).distinct()
-    placed = with_ordinal(points, ["entity_id", "property"], ["start"])
-    following = placed.select(
-        "entity_id", "property", (F.col("ordinal") - 1).alias("ordinal"), F.col("start").alias("until")
-    )
-    return placed.join(following, ["entity_id", "property", "ordinal"], "left")
+    return known.filter(F.col("effective_end").isNull() | (F.col("valid_from") < F.col("effective_end")))
+
+
+def change_points(live: DataFrame) -> DataFrame:
+    """Starts of every (entity, property) with their ordinal, the next one (``until``) and their number (``size``)."""
+    from lakestate.functions.ordering import with_ordinal
+
+    key = ["entity_id", "property"]
+    points = live.select(*key, F.explode(F.array_compact(F.array("valid_from", "effective_end"))).alias("start")).distinct()
+    placed = pinned(with_ordinal(points, key, ["start"]))
+    following = placed.select(*key, (F.col("ordinal") - 1).alias("ordinal"), F.col("start").alias("until"))
+    sizes = placed.groupBy(*key).agg(F.max("ordinal").alias("size"))
+    return placed.join(following, [*key, "ordinal"], "left").join(sizes, key)
+
+
+def state_changes(observations: DataFrame, retractions: DataFrame, known_at: str) -> DataFrame:
+    """Change points of every (entity, property) with the knowledge of one time."""
+    return change_points(known_live(observations, retractions, known_at)).drop("size")
