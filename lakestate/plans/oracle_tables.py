@@ -27,7 +27,7 @@ VIEWS: dict[str, str] = {
         FROM events""",
     "returned_lines": """
         SELECT DISTINCT l_orderkey, l_linenumber, l_shipdate FROM lineitem
-        WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND l_tax >= 0.07""",
+        WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND l_linenumber = 1""",
     "retractions": f"""
         SELECT 'return-' || l_orderkey || '-' || l_linenumber || '-' || strftime(l_shipdate, '%Y%m%d') || '/' || prefix AS retraction_id,
           'observation' AS target_kind, prefix || l_orderkey AS target_id,
@@ -53,7 +53,7 @@ VIEWS: dict[str, str] = {
         SELECT DISTINCT 'end-' || rid AS retraction_id, 'relation' AS target_kind, rid AS target_id,
           epoch_ms(r.l_shipdate) + 20 * {DAY} AS effective_from, epoch_ms(r.l_shipdate) + 25 * {DAY} AS recorded_at
         FROM relation_lines r JOIN lineitem l USING (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_shipdate)
-        WHERE l.l_discount >= 0.09""",
+        WHERE l.l_returnflag = 'R'""",
     "authority_rules": """
         SELECT 'entity://customer/' || c_custkey AS entity_id, 'Customer.lastOrderStatus' AS property, p AS provider, r AS rank
         FROM customer JOIN (VALUES ('BUILDING', 'p1', 1), ('BUILDING', 'p2', 2), ('MACHINERY', 'p5', 1)) v(seg, p, r)
@@ -90,7 +90,7 @@ VIEWS: dict[str, str] = {
           'Which widget or ring deliveries has the vendor ' || s_name || ' returned, and who offers them?' AS text FROM supplier
         UNION ALL SELECT 'n-' || n_nationkey, 'order status of ' || n_name || ' (country) today' FROM nation
         UNION ALL SELECT 'p-' || replace(p_name, ' ', '-'), 'Price of the article ' || min(p_brand) || ' ' || p_name FROM part GROUP BY p_name
-        UNION ALL SELECT 'c-' || c_custkey, 'spending and order status for ' || c_name FROM customer WHERE c_acctbal < 0""",
+        UNION ALL SELECT 'c-' || c_custkey, 'spending and order status for ' || c_name FROM customer""",
     "norm_queries": """
         SELECT query_id, text, trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS norm FROM identity_queries""",
     "context_records": """
