@@ -31,7 +31,7 @@ from lakestate.session import written
 
 SAMPLES = 64
 #: Texts that are fingerprinted together, in bytes.
-TOGETHER = 8 << 20
+TOGETHER = 4 << 20
 
 
 def _uniform(bits: np.ndarray) -> np.ndarray:
