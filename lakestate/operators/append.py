@@ -52,11 +52,22 @@ def unknown_refs(observations: DataFrame, aliases: DataFrame, relations: DataFra
     ])
 
 
+def retraction_changes(retractions: DataFrame, observations: DataFrame, relations: DataFrame) -> DataFrame:
+    """K3: feed rows of retractions. One of an observation touches its entity, one of a relation both ends."""
+    ends = F.explode(F.array_distinct(F.array("from_id", "to_id"))).alias("primary_entity_id")
+    owners = observations.select(F.lit("observation").alias("target_kind"), F.col("observation_id").alias("target_id"), F.col("entity_id").alias("primary_entity_id")).unionByName(
+        relations.select(F.lit("relation").alias("target_kind"), F.col("relation_id").alias("target_id"), ends)
+    )
+    return retractions.join(owners, ["target_kind", "target_id"]).select(
+        F.lit("retraction").alias("kind"), F.col("retraction_id").alias("record_id"), "primary_entity_id"
+    )
+
+
 def emit_changes(rows: DataFrame, last_seq: int) -> DataFrame:
     """K3: feed rows (kind, record_id, primary_entity_id) numbered after ``last_seq``
-    in kind order, then id, without gathering the rows in one task."""
+    in kind order, then id, then entity, without gathering the rows in one task."""
     order = F.create_map(*[F.lit(x) for kv in KIND_ORDER.items() for x in kv])[F.col("kind")]
-    return with_sequence(rows.withColumn("kind_order", order), ["kind_order", "record_id"], last_seq).drop("kind_order")
+    return with_sequence(rows.withColumn("kind_order", order), ["kind_order", "record_id", "primary_entity_id"], last_seq).drop("kind_order")
 
 
 def append_batch(spark: SparkSession, root: str, batch_id: str, batch: DataFrame) -> DataFrame:

@@ -185,6 +185,19 @@ def query_cutoff(text: Column) -> Column:
     return F.when(day != "", F.concat(day, F.lit(" 23:59:59"))).try_cast("timestamp")
 
 
+def scoped(asked: DataFrame, entities: DataFrame, aliases: DataFrame, observations: DataFrame, relations: DataFrame, retractions: DataFrame) -> DataFrame:
+    """Ids (kind, record_id) of everything held about the asked entities; relations count at
+    their start, retractions with what they retract."""
+    ids = asked.select("entity_id").distinct()
+    own = lambda df, kind, ident, who="entity_id": df.join(ids.withColumnRenamed("entity_id", who), who, "left_semi").select(
+        F.lit(kind).alias("kind"), F.col(ident).alias("record_id")
+    )
+    said, tied = own(observations, "observation", "observation_id"), own(relations, "relation", "relation_id", "from_id")
+    targets = said.unionByName(tied).select(F.col("kind").alias("target_kind"), F.col("record_id").alias("target_id"))
+    ended = retractions.join(targets, ["target_kind", "target_id"], "left_semi").select(F.lit("retraction").alias("kind"), F.col("retraction_id").alias("record_id"))
+    return own(entities, "entity", "entity_id").unionByName(own(aliases, "alias", "alias_id")).unionByName(said).unionByName(tied).unionByName(ended)
+
+
 def known_live(observations: DataFrame, retractions: DataFrame, known_at: str) -> DataFrame:
     """Observations known at one time, with the end their retractions give them, empty windows left out."""
     known = effective_end(

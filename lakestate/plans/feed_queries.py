@@ -373,16 +373,19 @@ def _feed_rows(lake: Lake) -> DataFrame:
         .unionByName(lake.aliases().select(F.lit("alias").alias("kind"), F.col("alias_id").alias("record_id"), F.col("entity_id").alias("primary_entity_id")))
         .unionByName(lake.observations().select(F.lit("observation").alias("kind"), F.col("observation_id").alias("record_id"), F.col("entity_id").alias("primary_entity_id")))
         .unionByName(lake.relations().select(F.lit("relation").alias("kind"), F.col("relation_id").alias("record_id"), F.col("from_id").alias("primary_entity_id")))
+        .unionByName(ap.retraction_changes(lake.retractions().unionByName(lake.relation_retractions()), lake.observations(), lake.relations()))
     )
 
 
 FEED = {
     "feed": """
-        SELECT kind, record_id, primary_entity_id, 1000 + row_number() OVER (ORDER BY o, record_id) AS seq FROM (
+        SELECT kind, record_id, primary_entity_id, 1000 + row_number() OVER (ORDER BY o, record_id, primary_entity_id) AS seq FROM (
           SELECT 1 AS o, 'entity' AS kind, entity_id AS record_id, entity_id AS primary_entity_id FROM entities
           UNION ALL SELECT 2, 'alias', alias_id, entity_id FROM aliases
           UNION ALL SELECT 3, 'observation', observation_id, entity_id FROM observations
-          UNION ALL SELECT 4, 'relation', relation_id, from_id FROM relations)"""
+          UNION ALL SELECT 4, 'relation', relation_id, from_id FROM relations
+          UNION ALL SELECT 5, 'retraction', retraction_id, o.entity_id FROM retractions r JOIN observations o ON o.observation_id = r.target_id
+          UNION ALL SELECT 5, 'retraction', retraction_id, unnest([e.from_id, e.to_id]) FROM relation_retractions r JOIN relations e ON e.relation_id = r.target_id)"""
 }
 
 

@@ -632,11 +632,24 @@ def byte_bounded_pages(lake: Lake) -> DataFrame:
     return fd.byte_bounded_pages(rows, ["leaf"], "key", "payload_bytes", 4, 180)
 
 
-@query("entities_scoped", "SELECT o.observation_id FROM observations o WHERE o.entity_id IN (SELECT 'entity://customer/' || c_custkey FROM customer WHERE c_acctbal < 0)")
+@query(
+    "entities_scoped",
+    """SELECT * FROM (WITH asked AS (SELECT 'entity://customer/' || c_custkey AS entity_id FROM customer WHERE c_acctbal < 0),
+         said AS (SELECT observation_id, entity_id FROM observations JOIN asked USING (entity_id)),
+         tied AS (SELECT relation_id FROM relations JOIN asked ON entity_id = from_id)
+       SELECT 'entity' AS kind, entity_id AS record_id FROM entities JOIN asked USING (entity_id)
+       UNION ALL SELECT 'alias', alias_id FROM aliases JOIN asked USING (entity_id)
+       UNION ALL SELECT 'observation', observation_id FROM said
+       UNION ALL SELECT 'relation', relation_id FROM tied
+       UNION ALL SELECT 'retraction', retraction_id FROM retractions r JOIN said ON observation_id = target_id
+       UNION ALL SELECT 'retraction', retraction_id FROM relation_retractions JOIN tied ON relation_id = target_id)""",
+)
 def entities_scoped(lake: Lake) -> DataFrame:
-    """The records of asked entities only."""
+    """The records of asked entities (customers in debt), of all five kinds."""
     asked = _customer(lake).filter("c_acctbal < 0").select("entity_id")
-    return lake.observations().join(asked, "entity_id", "left_semi").select("observation_id")
+    return tp.scoped(
+        asked, lake.entities(), lake.aliases(), lake.observations(), lake.relations(), lake.retractions().unionByName(lake.relation_retractions())
+    )
 
 
 @query(
