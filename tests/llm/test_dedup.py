@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
-from conftest import LONG, ODD, frame
+from odd_rows import LONG, ODD, frame
 
 from lakestate.llm import chunking, simhash, weighted
 

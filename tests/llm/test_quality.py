@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import ODD, frame
+from odd_rows import ODD, frame
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -232,6 +232,7 @@ def test_pipeline_stages(spark, staged):
     assert len(texts) == len(set(texts)) and distinct.count() <= good.count()
     assert shorter.count() == distinct.count() == masked.count()
     assert all(not slow_base(r.text) for r in masked.collect())
+    assert all(r.n_chars == len(r.text) for s in (shorter, masked) for r in s.collect())
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in masked.collect()}
 
 
