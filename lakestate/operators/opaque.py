@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakestate.functions.values import epoch_key, hmac_pads, hmac_tag
+from lakestate.functions.values import epoch_key, hmac_pads, hmac_tag, json_list
 from lakestate.operators import recordset
 
 # Fixed value: order of the URL-safe alphabet, mapped to ranks of a binary sort.
@@ -33,7 +33,7 @@ def opaque_by_epoch(recs: DataFrame, keys: DataFrame, kind: str = "record") -> D
         (F.col("payload_bytes") + 28).alias("ciphertext_bytes"),
     ).withColumn(
         "fingerprint",
-        F.sha2(F.concat_ws("|", "epoch_id", "object_kind", "opaque_key", "content_tag", F.col("ciphertext_bytes").cast("string")), 256),
+        F.sha2(json_list("epoch_id", "object_kind", "opaque_key", "content_tag", "ciphertext_bytes"), 256),
     )
 
 
@@ -45,7 +45,7 @@ def order_key(tag: Column) -> Column:
 def violations(descs: DataFrame, max_bytes: int) -> DataFrame:
     """V7: shape of tags, size bound, recomputed fingerprint."""
     want = F.sha2(
-        F.concat_ws("|", "epoch_id", "object_kind", "opaque_key", "content_tag", F.col("ciphertext_bytes").cast("string")), 256
+        json_list("epoch_id", "object_kind", "opaque_key", "content_tag", "ciphertext_bytes"), 256
     )
     checks = F.array_compact(
         F.array(

@@ -7,12 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakestate.functions.values import json_list
+
 DESCRIPTOR = ["key", "kind", "record_id", "payload_digest", "payload_bytes", "fingerprint"]
 
 
 def fingerprint(kind: Column, ident: Column, payload_digest: Column, size: Column) -> Column:
-    """Digest over everything a descriptor says but its key."""
-    return F.sha2(F.concat_ws("|", kind, ident, payload_digest, size.cast("string")), 256)
+    """Digest over everything a descriptor says but its key, as a JSON list."""
+    return F.sha2(json_list(kind, ident, payload_digest, size), 256)
 
 
 def records(rows: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ SECRET = b"bench-secret"
 
 DESC = """
     SELECT key, 'observation' AS kind, record_id, payload, sha256(payload) AS payload_digest, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
-      sha256('observation|' || record_id || '|' || sha256(payload) || '|' || strlen(payload)) AS fingerprint,
+      sha256(CAST(to_json(['observation', record_id, sha256(payload), CAST(strlen(payload) AS VARCHAR)]) AS VARCHAR)) AS fingerprint,
       CAST('0x' || substr(sha256(key), 1, 4) AS INTEGER) >> (16 - {bits}) AS leaf, substr(sha256(key), 5, 2) AS strand
     FROM {source}"""
 
