@@ -562,8 +562,12 @@ def _graph_queries(lake: Lake) -> DataFrame:
     return lake.identity_queries().withColumn("budget_tokens", F.lit(90))
 
 
-def _edge_texts(lake: Lake) -> DataFrame:
-    edges = tp.active_edges(lake.relations(), lake.relation_retractions(), [GRAPH_PROBE])
+def _edge_texts(lake: Lake, direct: DataFrame | None = None) -> DataFrame:
+    """Live edges with their texts; with ``direct`` only those that leave one of its entities."""
+    frontier = None
+    if direct is not None:
+        frontier = direct.select(F.lit(GRAPH_PROBE.probe_id).alias("probe_id"), F.col("entity_id").alias("from_id")).distinct()
+    edges = tp.active_edges(lake.relations(), lake.relation_retractions(), [GRAPH_PROBE], frontier)
     return gr.relation_texts(edges, idn.hydrate(lake.entities(), lake.aliases()), lake.relation_types())
 
 
@@ -573,14 +577,15 @@ def _direct(lake: Lake) -> DataFrame:
 
 
 def _edge_candidates(lake: Lake) -> DataFrame:
-    return gr.relation_candidates(_direct(lake), _edge_texts(lake))
+    direct = pinned(_direct(lake))
+    return gr.relation_candidates(direct, _edge_texts(lake, direct))
 
 
 def _hop(lake: Lake) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Resolved entities, scored edges and picks. Each is read several times
     below, so each is computed once and written."""
     direct = pinned(_direct(lake))
-    edges = pinned(gr.relation_candidates(direct, _edge_texts(lake)))
+    edges = pinned(gr.relation_candidates(direct, _edge_texts(lake, direct)))
     return direct, edges, pinned(gr.pick_edges(edges, _graph_queries(lake), MAX_EDGES))
 
 
