@@ -53,6 +53,8 @@ CALIBRATION, SAMPLE_ROWS = 5, 20_000
 #: Distinct n-grams, or words, a task holds before it hands them on.
 HELD_GRAMS = 2_000_000
 HELD_WORDS = 500_000
+#: Characters that are looked at together.
+TOGETHER = 1 << 20
 _OTHER = re.compile(r"[\W_]+")
 
 
@@ -61,10 +63,34 @@ def plain(text: str) -> str:
     return " " * (ORDER - 1) + _OTHER.sub(" ", text.lower()).strip() + " "
 
 
-def _points(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of all plain texts in a row, and their numbers."""
-    all_plain = [plain(t) for t in batch]
-    return np.frombuffer("".join(all_plain).encode("utf-32-le"), "<u4").astype(np.uint64), np.array([len(t) for t in all_plain], dtype=np.int64)
+def _groups(batch: list[str]) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Plain texts in groups of about TOGETHER characters, and the text that each belongs to.
+
+    A longer text is cut behind blanks; each part begins with the ORDER - 1
+    characters before it, so that every character keeps its context.
+    """
+    parts: list[str] = []
+    owners: list[int] = []
+    size = 0
+    for i, text in enumerate(batch):
+        whole = plain(text)
+        start = 0
+        while start < len(whole) - (ORDER - 1):
+            end = whole.find(" ", start + (ORDER - 1) + TOGETHER) + 1 or len(whole)
+            parts.append(whole[start:end])
+            owners.append(i)
+            size += end - start
+            start = end - (ORDER - 1)
+            if size >= TOGETHER:
+                yield parts, np.array(owners)
+                parts, owners, size = [], [], 0
+    if parts:
+        yield parts, np.array(owners)
+
+
+def _points(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all parts in a row, and their numbers."""
+    return np.frombuffer("".join(parts).encode("utf-32-le"), "<u4").astype(np.uint64), np.array([len(t) for t in parts], dtype=np.int64)
 
 
 _FACTOR = np.uint64(0x100000001B3)
@@ -89,13 +115,13 @@ def _scored_positions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, text
 
 
-def _counted(kind: np.ndarray, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of a batch (as rows of code points) with their toxic and ordinary counts."""
-    points, counts = _points(batch)
-    at, text = _scored_positions(counts)
+def _counted(kind: np.ndarray, parts: list[str], owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of a group (as rows of code points) with their toxic and ordinary counts."""
+    points, counts = _points(parts)
+    at, part = _scored_positions(counts)
     keys = _hashes(points, ORDER)[at]
     _, first, which = np.unique(keys, return_index=True, return_inverse=True)
-    toxic = np.bincount(which, kind[text], len(first)).astype(np.int64)
+    toxic = np.bincount(which, kind[owners[part]], len(first)).astype(np.int64)
     total = np.bincount(which, minlength=len(first))
     begin = at[first]
     grams = np.stack([points[begin + i] for i in range(ORDER)], axis=1).astype("<u4")
@@ -143,8 +169,9 @@ def counts(rows: DataFrame) -> DataFrame:
             kinds, some = batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_pylist()
             for kind, text in zip(kinds.tolist(), some, strict=True):
                 words[kind].update(plain(text).split())
-            held.append(_counted(kinds, some))
-            size += len(held[-1][0])
+            for parts, owners in _groups(some):
+                held.append(_counted(kinds, parts, owners))
+                size += len(held[-1][0])
             if len(words[0]) + len(words[1]) > HELD_WORDS:
                 yield words_of(words)
                 words = [Counter(), Counter()]
@@ -297,8 +324,17 @@ class Evidence:
 
     def differences(self, batch: list[str]) -> np.ndarray:
         """Per text: the log of the mean likelihood ratio of its words; 0 without words."""
-        points, numbers = _points(batch)
-        at, text = _scored_positions(numbers)
+        total, words = np.zeros(len(batch)), np.zeros(len(batch), dtype=np.int64)
+        for parts, owners in _groups(batch):
+            evidence, of = self._by_word(parts)
+            total += np.bincount(owners[of], np.exp(np.clip(evidence, -LIMIT, LIMIT)), len(batch))
+            words += np.bincount(owners[of], minlength=len(batch))
+        return np.where(words > 0, np.log(np.where(words > 0, total, 1.0) / np.maximum(words, 1)), 0.0)
+
+    def _by_word(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Evidence of each word of a group, and the part it is in."""
+        points, numbers = _points(parts)
+        at, part = _scored_positions(numbers)
         ratio, found = self.seen.get(_hashes(points, ORDER)[at])
         ratio = ratio.astype(np.float64)
         rest = np.flatnonzero(~found)
@@ -306,12 +342,9 @@ class Evidence:
         own = points[at + (ORDER - 1)]
         hashes, starts = _word_hashes(own)
         by_word, known = self.words.get(hashes)
-        evidence = np.add.reduceat(ratio, starts) + np.where(known, by_word, self.unseen_word) if len(starts) else ratio
+        evidence = np.add.reduceat(ratio, starts) + np.where(known, by_word, self.unseen_word)
         real = np.flatnonzero(own[starts] != 32)  # an empty text has but its last blank
-        owner = text[starts[real]]
-        total = np.bincount(owner, np.exp(np.clip(evidence[real], -LIMIT, LIMIT)), len(batch))
-        words = np.bincount(owner, minlength=len(batch))
-        return np.where(words > 0, np.log(np.where(words > 0, total, 1.0) / np.maximum(words, 1)), 0.0)
+        return evidence[real], part[starts[real]]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-3) -> np.ndarray:

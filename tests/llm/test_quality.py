@@ -202,6 +202,20 @@ def test_kneser_ney_sums_to_one(spark):
     assert by["   go"] < 0 < by["   ba"] and all(math.isfinite(r.ratio) for r in unseen.collect())
 
 
+def test_long_texts_are_read_in_parts(monkeypatch):
+    texts = ["", "one", "été again and again, " * 30, "x" * 90 + " y " * 40, "last words"]
+    whole = list(toxicity._groups(texts))
+    assert len(whole) == 1
+    monkeypatch.setattr(toxicity, "TOGETHER", 37)
+    parts = [(p, int(o)) for group, owners in toxicity._groups(texts) for p, o in zip(group, owners, strict=True)]
+    assert len(parts) > 10
+    for i, text in enumerate(texts):
+        own = [p for p, o in parts if o == i]
+        joined = own[0] + "".join(p[toxicity.ORDER - 1 :] for p in own[1:])
+        assert joined == toxicity.plain(text) and all(p.endswith(" ") for p in own)
+        assert all(a[-(toxicity.ORDER - 1) :] == b[: toxicity.ORDER - 1] for a, b in zip(own, own[1:], strict=False))
+
+
 def test_word_hashes_tell_words_apart():
     words = ["abc", "acb", "a", "ab", "été", "", "abcabc"]
     points = np.frombuffer("".join(w + " " for w in words).encode("utf-32-le"), "<u4").astype(np.uint64)
