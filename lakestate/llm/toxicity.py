@@ -20,7 +20,7 @@ Counts cover all other labelled training texts and are Spark tables of n-grams
 and words, as large as the texts make them. For scoring, their log-ratios are put
 into hash tables with a fixed number of slots (``GRAM_SLOTS`` and so on; 8-bit
 tags tell strangers, the more frequent entry keeps a slot), which is all that is
-broadcast: about 45 MB whatever the corpus.
+broadcast, once: 11 MB whatever the corpus.
 
 Null and empty texts have no words and a difference of zero. Repeated rows get
 equal scores; an empty table gives no rows. Without labelled rows of both kinds
@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ from lakestate.session import pinned
 
 ORDER = 5
 DISCOUNT = 0.75
-GRAM_SLOTS, CONTEXT_SLOTS, WORD_SLOTS = 22, 20, 22  # powers of two
+GRAM_SLOTS, CONTEXT_SLOTS, WORD_SLOTS = 21, 19, 20  # powers of two
 #: Largest evidence of a word, in nats.
 LIMIT = 8.0
 THRESHOLD = 0.7
@@ -270,7 +271,7 @@ class Slots:
     def __init__(self, bits: int):
         self.bits = bits
         self.tags = np.zeros(1 << bits, dtype=np.uint8)
-        self.ratios = np.zeros(1 << bits, dtype=np.float32)
+        self.ratios = np.zeros(1 << bits, dtype=np.float16)
 
     @staticmethod
     def place(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -280,7 +281,7 @@ class Slots:
         """Ratios, and whether there was one."""
         slot, tag = self.place(hashes, self.bits)
         found = self.tags[slot] == tag
-        return np.where(found, self.ratios[slot], np.float32(0)), found
+        return np.where(found, self.ratios[slot].astype(np.float32), np.float32(0)), found
 
 
 def slots(table: DataFrame, order: int | None, bits: int) -> Slots:
@@ -372,14 +373,10 @@ def fold():
 
 
 class Model:
-    """The evidence and the calibration."""
+    """The evidence, as it was broadcast, and the calibration."""
 
-    def __init__(self, evidence: Evidence, weights: np.ndarray):
-        self.evidence, self.weights = evidence, weights
-
-    def score(self, batch: list[str]) -> np.ndarray:
-        raw = self.weights[0] + self.weights[1] * self.evidence.differences(batch)
-        return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
+    def __init__(self, shared: Broadcast, weights: np.ndarray):
+        self.shared, self.weights = shared, weights
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
@@ -388,8 +385,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.filter((fold() != HELD_OUT) & F.col("toxic").isin(0, 1)).dropDuplicates(["doc_id"])
     part = F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATION))
-    training = texts(docs).join(known.filter(part != 0), "doc_id").select("toxic", "text")
-    counted = pinned(counts(training))
+    # One plan at every size: both sides are shuffled by id. The counting tasks are few and large, so that
+    # each n-gram is handed on by few of them.
+    training = texts(docs).join(known.filter(part != 0).hint("merge"), "doc_id").select("toxic", "text")
+    counted = pinned(counts(training.coalesce(4 * docs.sparkSession.sparkContext.defaultParallelism)))
     seen, unseen = ratios(counted.filter("not word").drop("word"))
     by_word, unseen_word = word_ratios(counted.filter("word").drop("word"))
     evidence = Evidence(slots(seen, ORDER, GRAM_SLOTS), slots(unseen, ORDER - 1, CONTEXT_SLOTS), slots(by_word, None, WORD_SLOTS), unseen_word)
@@ -402,15 +401,16 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     chosen = texts(docs).join(F.broadcast(sample), "doc_id").select("toxic", "text")
     found = chosen.mapInArrow(per_batch(step), "toxic int, x double").limit(2 * sample_rows).toPandas()
     order = np.lexsort((found["toxic"], found["x"]))
-    return Model(evidence, logistic(found[["x"]].to_numpy(np.float64)[order], found["toxic"].to_numpy(np.float64)[order]))
+    return Model(shared, logistic(found[["x"]].to_numpy(np.float64)[order], found["toxic"].to_numpy(np.float64)[order]))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, weights = model.shared, model.weights
 
     def step(batch: pa.RecordBatch) -> dict:
-        return {"doc_id": batch.column(0), "score": pa.array(shared.value.score(batch.column(1).to_pylist()))}
+        raw = weights[0] + weights[1] * shared.value.differences(batch.column(1).to_pylist())
+        return {"doc_id": batch.column(0), "score": pa.array(1 / (1 + np.exp(-np.clip(raw, -30, 30))))}
 
     scored = texts(docs).mapInArrow(per_batch(step), "doc_id bigint, score double")
     held = F.coalesce(fold() == HELD_OUT, F.lit(False))
