@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakestate.llm.common import kept_rows, per_batch, texts, utf8
+from lakestate.llm.common import kept_rows, mixed, per_batch, texts, utf8
 from lakestate.llm.components import roots
 from lakestate.session import pinned, written
 
@@ -61,26 +61,36 @@ def word_blocks(data: bytes, size: int = BLOCK):
         start = end
 
 
-def _bit_counts(shingles: list[bytes]) -> np.ndarray:
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, itertools.repeat(SEED)), dtype="<u8", count=len(shingles))
+def shingle_blocks(text: bytes, words: int):
+    """Hashes of the text's word shingles, block by block; a shorter text is one shingle, a blank one has none."""
+    carried, found = [], False
+    for block in word_blocks(text.lower()):  # of bytes, so A-Z only
+        carried = carried + block
+        if len(carried) >= words:
+            yield _hashed(list(map(b" ".join, zip(*[carried[i:] for i in range(words)], strict=False))))
+            found = True
+            carried = carried[len(carried) - words + 1 :]
+    if carried and not found:
+        yield _hashed([b" ".join(carried)])
+
+
+def _hashed(shingles: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, itertools.repeat(SEED)), dtype="<u8", count=len(shingles))
+
+
+def _bit_counts(hashes: np.ndarray) -> np.ndarray:
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     return bits.sum(axis=0, dtype=np.int64)
 
 
 def fingerprint(text: bytes, words: int = 3) -> int:
     """The 64-bit SimHash of one text, as an unsigned number."""
-    ones, total, carried = np.zeros(BITS, dtype=np.int64), 0, []
-    for block in word_blocks(text.lower()):  # of bytes, so A-Z only
-        carried = carried + block
-        if len(carried) >= words:
-            shingles = list(map(b" ".join, zip(*[carried[i:] for i in range(words)], strict=False)))
-            ones += _bit_counts(shingles)
-            total += len(shingles)
-            carried = carried[len(carried) - words + 1 :]
+    ones, total = np.zeros(BITS, dtype=np.int64), 0
+    for hashes in shingle_blocks(text, words):
+        ones += _bit_counts(hashes)
+        total += len(hashes)
     if not total:
-        if not carried:
-            return 0
-        ones, total = _bit_counts([b" ".join(carried)]), 1
+        return 0
     return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
 
 
@@ -188,25 +198,133 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, segments
     )
 
 
-#: What the pipeline's stage links: five-word shingles, first within 2 bits, then the
-#: remaining groups' fingerprints within WIDE bits of each other.
-STAGE_WORDS, WIDE, WIDE_SEGMENTS = 5, 8, 4
+#: What the pipeline's stage links: texts whose sets of five-word shingles have a Jaccard similarity of
+#: four fifths or more. Their fingerprint has SEGMENTS segments, each made of MINIMA minimum hashes, so two
+#: texts of similarity s agree in a segment with probability s ** MINIMA; at 0.8 all segments differ for three
+#: pairs in a million.
+STAGE_WORDS, SEGMENTS, MINIMA = 5, 24, 4
+#: Entries of at most so many texts are paired at once; larger ones have HUB_ROUNDS rounds of stars first.
+PAIRED, HUB_ROUNDS = 16, 3
+_FACTORS = mixed(np.arange(SEGMENTS * MINIMA)) | np.uint64(1)
+
+
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """The distinct shingle hashes of one text, sorted."""
+    blocks = list(shingle_blocks(text, words))
+    return np.unique(np.concatenate(blocks)) if blocks else np.empty(0, dtype="<u8")
+
+
+def segment_values(shingles: np.ndarray) -> np.ndarray:
+    """The segments of a set of shingle hashes; none for an empty set."""
+    if not len(shingles):
+        return np.empty(0, dtype=np.int64)
+    minima = np.full(len(_FACTORS), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for start in range(0, len(shingles), 1024):
+        np.minimum(minima, (shingles[start : start + 1024] * _FACTORS[:, None]).min(axis=1), out=minima)
+    out = np.arange(SEGMENTS, dtype=np.uint64)
+    for column in minima.reshape(SEGMENTS, MINIMA).T:
+        out = mixed(out ^ column)
+    return out.view(np.int64)
+
+
+def text_digest():
+    """What tells the texts of one ``doc_id`` apart."""
+    return F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
-def one_of_each(docs: DataFrame, words: int = STAGE_WORDS, wide: int = WIDE, wide_segments: int = WIDE_SEGMENTS) -> DataFrame:
+def _sets(docs: DataFrame, words: int) -> DataFrame:
+    """``doc_id``, ``digest``, ``node`` (a hash of the set of shingles) and ``segments`` of every row."""
+
+    def step(batch: pa.RecordBatch) -> dict:
+        found = [shingle_set(text, words) for text in utf8(batch)]
+        nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in found], dtype=np.uint64)
+        return {
+            "doc_id": batch.column(0), "digest": batch.column(2), "node": pa.array(nodes.view(np.int64)),
+            "segments": pa.array([segment_values(s) for s in found], pa.list_(pa.int64())),
+        }
+
+    return texts(docs).withColumn("digest", text_digest()).mapInArrow(per_batch(step), "doc_id bigint, digest string, node bigint, segments array<bigint>")
+
+
+def _shingles_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """``node`` and ``shingles`` of the nodes that ``wanted`` (node, doc_id, digest) has."""
+
+    def step(batch: pa.RecordBatch) -> dict:
+        return {"node": batch.column(0), "shingles": pa.array([shingle_set(text, words).view(np.int64) for text in utf8(batch)], pa.list_(pa.int64()))}
+
+    rows = texts(docs).withColumn("digest", text_digest()).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.digest") == F.col("w.digest"))
+    found = rows.join(wanted.alias("w"), same).select("w.node", "d.text").mapInArrow(per_batch(step), "node bigint, shingles array<bigint>")
+    return found.groupBy("node").agg(F.first("shingles").alias("shingles"))
+
+
+def _similar(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
+    """Those of the pairs (u, v) whose shingles have a Jaccard similarity of at least four fifths."""
+    a = shingles.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
+    b = shingles.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
+    both = F.size(F.array_intersect("a", "b"))
+    close = 5 * F.least(F.size("a"), F.size("b")) >= 4 * F.greatest(F.size("a"), F.size("b"))
+    met = pairs.join(a, "u").join(b, "v").filter(close)
+    return met.filter(9 * both >= 4 * (F.size("a") + F.size("b"))).select("u", "v")
+
+
+def _star_pairs(opened: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
+    """Pairs (u, v) to compare among rows (value, node, root), and the rows that are left for a later round.
+
+    Only members of different components are compared. Small entries, and every entry in the last round, are
+    paired whole; of others each member meets the smallest, which then has met all.
+    """
+    entries = opened.groupBy("value").agg(
+        F.min("node").alias("hub"), F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")
+    ).filter("low < high")
+    held = written(opened.join(written(entries.select("value", "hub", "n"), "entries"), "value"), "open")
+    whole = held if last else held.filter(F.col("n") <= PAIRED)
+    a = whole.select("value", F.col("node").alias("u"), F.col("root").alias("ru"))
+    b = whole.select("value", F.col("node").alias("v"), F.col("root").alias("rv"))
+    pairs = a.join(b, "value").filter("u > v and ru <> rv").select("u", "v")
+    if last:
+        return pairs.distinct(), held.limit(0)
+    large = held.filter(F.col("n") > PAIRED)
+    hubs = large.filter("node = hub").select("value", F.col("root").alias("hub_root"))
+    stars = large.join(hubs, "value").filter("node <> hub and root <> hub_root").select(F.col("node").alias("u"), F.col("hub").alias("v"))
+    return pairs.unionByName(stars).distinct(), large.filter("node <> hub").select("value", "node")
+
+
+def similar_groups(docs: DataFrame, marked: DataFrame, words: int) -> DataFrame:
+    """``node`` and ``root`` of all nodes that are linked to another one.
+
+    Whatever shares a segment is compared exactly, unless links have joined it already.
+    """
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("least")
+    nodes = marked.groupBy("node").agg(least, F.first("segments").alias("segments"))
+    listed = written(nodes.select("node", "least.doc_id", "least.digest", F.explode("segments").alias("value")), "segments")
+    shared = written(listed.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("value"), "shared")
+    met = written(listed.join(shared, "value"), "met")
+    shingles = written(_shingles_of(docs, met.select("node", "doc_id", "digest").distinct(), words), "shingles")
+    opened, linked, rooted = met.select("value", "node"), None, None
+    for turn in range(HUB_ROUNDS + 1):
+        state = opened.withColumn("root", F.col("node"))
+        if rooted is not None:
+            state = opened.join(rooted, "node", "left").select("value", "node", F.coalesce("root", "node").alias("root"))
+        pairs, left = _star_pairs(written(state, "state"), turn == HUB_ROUNDS)
+        found = _similar(pairs, shingles)
+        linked = written(found if linked is None else found.unionByName(linked), "links")
+        rooted = written(roots(linked), "roots")
+        if left.isEmpty():
+            break
+        opened = left
+    return rooted
+
+
+def one_of_each(docs: DataFrame, words: int = STAGE_WORDS) -> DataFrame:
     """Documents with one row of each group of near-duplicates: the smallest id.
 
-    Two passes keep large groups cheap. Components within 2 bits are found
-    first; then one fingerprint of each (that of the smallest id) stands for it
-    and is linked within ``wide`` bits. Dense groups have shrunk to few
-    fingerprints by then.
+    Rows with equal sets of shingles are one node. Every node asks the table of
+    all nodes' segments; all that it meets there is compared shingle by shingle,
+    and groups are the components of the links that hold. Blank texts are equal.
     """
-    marked = written(fingerprints(docs, words), "fingerprints")
-    fps = pinned(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    groups = fps
-    for distance, segments, dense in ((2, 2, True), (wide, wide_segments, False)):
-        rooted = pinned(roots(links(groups.select("fp"), distance, segments, dense=dense)))
-        # The group's fingerprint from now on is that of its smallest id.
-        held = groups.join(rooted, F.col("fp") == F.col("node"), "left").select(F.coalesce("root", "fp").alias("root"), "fp", "first")
-        groups = pinned(held.groupBy("root").agg(F.min_by("fp", F.coalesce("first", F.lit((1 << 63) - 1))).alias("fp"), F.min("first").alias("first")).select("fp", "first"))
-    return kept_rows(docs, groups.select(F.col("first").alias("doc_id")))
+    marked = written(_sets(docs, words), "sets")
+    rooted = similar_groups(docs, marked, words)
+    held = marked.select("doc_id", "digest", "node").join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("least")
+    return kept_rows(docs, written(held.groupBy("root").agg(first).select("least.doc_id", "least.digest"), "survivors"))

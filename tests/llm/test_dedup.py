@@ -125,6 +125,49 @@ def test_one_of_each(spark, odd, none):
     assert simhash.one_of_each(none).count() == 0 and simhash.near_duplicates(none).count() == 0
 
 
+def similarity(a, b, width=5):
+    sets = [{tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} for w in (a.lower().split(), b.lower().split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_one_of_each_by_brute_force(spark):
+    rng = random.Random(11)
+    rows = []
+    for base in range(60):
+        words = [f"w{rng.randrange(100_000)}" for _ in range(200)]
+        rows.append((len(rows), " ".join(words)))
+        for edits in (2, 4, 5, 6, 8):  # similarities on both sides of 0.8
+            near = list(words)
+            for i in rng.sample(range(200), edits):
+                near[i] = f"x{rng.randrange(100_000)}"
+            rows.append((len(rows), " ".join(near)))
+    copied = [f"v{i}" for i in range(150)]  # a group of near copies, larger than PAIRED
+    for i in range(60):
+        rows.append((len(rows), " ".join([*copied[:i], f"y{i}", *copied[i + 1 :]])))
+    root = {d: d for d, _ in rows}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    near = [(a, b) for (a, s), (b, t) in itertools.combinations(rows, 2) if s[:1] + t[:1] != "wv" and similarity(s, t) >= 0.8]
+    for a, b in near:
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    assert sorted(r.doc_id for r in simhash.one_of_each(frame(spark, rows)).collect()) == sorted({find(d) for d, _ in rows})
+
+
+def test_segments_meet_at_four_fifths():
+    rng = np.random.default_rng(3)
+    met = 0
+    for _ in range(500):
+        shared, a, b = np.split(rng.integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2) + np.uint64(1), [800, 900])
+        sides = [simhash.segment_values(np.concatenate([shared, own])) for own in (a, b)]
+        met += bool((sides[0] == sides[1]).any())
+    assert met == 500
+
+
 def test_a_passage_is_removed_wherever_it_moved(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9)))
