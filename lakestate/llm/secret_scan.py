@@ -6,7 +6,10 @@ one or two. Long runs of the characters that keys are written in, with letters
 and digits in them, are secrets if they have few characters per token under a
 tiktoken vocabulary. Left out are what is known to look random and is none: hex
 digests of the usual lengths, UUIDs, dates and times, and identifiers, which are
-runs whose parts (at separators, case changes and digits) are mostly words.
+runs whose parts between separators are mostly words, by the same ratio. Where
+the run as a whole is none, neighbouring parts that are no words, numbers or
+known forms are weighed by themselves, so a path or a name before a key does not
+hide it.
 
 A batch is searched by Arrow's linear-time patterns first; only texts that can
 hold a span are read in Python. Null texts count as empty; a text without spans
@@ -47,7 +50,9 @@ _HEX_ONLY = re.compile(r"[0-9a-fA-F]+")
 DIGEST_LENGTHS = frozenset({32, 40, 56, 64, 96, 128})
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 _TIME = re.compile(r"\d{4}-?\d\d-?\d\d(?:[T_-]?\d\d-?\d\d-?\d\d)?(?:Z|[+-]\d+)?")
-_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Between separators; UUIDs and times keep theirs.
+_PART = re.compile(rf"(?<![A-Za-z0-9])(?:{_UUID.pattern}|{_TIME.pattern})(?![A-Za-z0-9])|[A-Za-z0-9]+")
+MIN_WORD = 4
 
 
 @functools.lru_cache(maxsize=2)
@@ -62,12 +67,10 @@ def vocabulary(path: str):
 
 
 def is_known(run: str) -> bool:
-    """Digests, UUIDs, times, and identifiers made of words."""
+    """Digests, UUIDs and times."""
     if _HEX_ONLY.fullmatch(run):
         return len(run) in DIGEST_LENGTHS
-    if _UUID.fullmatch(run) or _TIME.fullmatch(run):
-        return True
-    return 3 * sum(len(p) for p in _PART.findall(run) if len(p) >= 4) >= 2 * len(run)
+    return bool(_UUID.fullmatch(run) or _TIME.fullmatch(run))
 
 
 def characters_per_token(run: str, path: str) -> float:
@@ -83,16 +86,37 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _is_random(run: str, path: str, max_ratio: float) -> bool:
+    mixed = len(run) >= MIN_RUN and any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
+    return mixed and not is_known(run) and characters_per_token(run, path) < max_ratio
+
+
+def _random_parts(run: str, path: str, max_ratio: float) -> list[tuple[int, int]]:
+    """(start, end) of what is random in a run: all of it, or neighbouring parts that are nothing else."""
+    words, stretches, opened = 0, [], False
+    for m in _PART.finditer(run):
+        part = m.group()
+        word = len(part) >= MIN_WORD and not part.isdigit() and not is_known(part) and characters_per_token(part, path) >= max_ratio
+        words += len(part) * word
+        if word or part.isdigit() or is_known(part):
+            opened = False
+            continue
+        stretches.append((stretches.pop()[0] if opened else m.start(), m.end()))
+        opened = True
+    if 3 * words < 2 * len(run) and _is_random(run, path, max_ratio):
+        return [(0, len(run))]
+    return [(a, b) for a, b in stretches if _is_random(run[a:b], path, max_ratio)]
+
+
 def random_spans(text: str, path: str, max_ratio: float = MAX_RATIO) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of runs with few characters per token."""
+    """(start, kind, end) of runs, or parts of runs, with few characters per token."""
     found = []
     for m in _RUN.finditer(text):
         run = m.group().strip("=-_/+")
         if len(run) < MIN_RUN or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run) or is_known(run):
             continue
-        if characters_per_token(run, path) < max_ratio:
-            start = m.start() + m.group().index(run)
-            found.append((start, 3, start + len(run)))
+        start = m.start() + m.group().index(run)
+        found += [(start + a, 3, start + b) for a, b in _random_parts(run, path, max_ratio)]
     return found
 
 

@@ -107,6 +107,27 @@ def test_random_strings_stand_out():
     assert not any(secret_scan.random_spans(p, RANKS) for p in plain)
 
 
+def test_keys_of_any_alphabet_and_behind_paths_are_found():
+    rng = random.Random(6)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+
+    def share(alphabet, size, before=""):
+        keys = []
+        while len(keys) < 200:
+            key = "".join(rng.choice(alphabet) for _ in range(size))
+            if any(c.isdigit() for c in key) and any(c.isalpha() for c in key):
+                keys.append(key)
+        spans = [(f"see {before}{k} here", secret_scan.random_spans(f"see {before}{k} here", RANKS)) for k in keys]
+        return sum(any(k in t[a:b] for a, _, b in found) for k, (t, found) in zip(keys, spans, strict=True)) / len(keys)
+
+    for size in (20, 32, 52):
+        assert share(upper + "234567", size) > 0.95 and share(lower + digits, size) > 0.95
+    for before in ("/data/projects/service-account/production/", "deploy-production-service_account_credentials="):
+        assert share(lower + upper + digits, 24, before) > 0.95
+    for plain in ("/data/projects/2024/06/30/service-account/production/page-12", "/backup/123e4567-e89b-12d3-a456-426614174000/ordinary/file", "build/release_candidate/2024-01-01T00-00-00Z/index_v2"):
+        assert not secret_scan.random_spans(plain, RANKS)
+
+
 def test_scan_and_mask(spark, odd, none):
     rows = list(enumerate(SECRETS + ["nothing to see"]))
     found = {r.doc_id: r for r in secret_scan.scan(frame(spark, rows), RANKS).collect()}
