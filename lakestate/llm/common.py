@@ -95,19 +95,26 @@ def spread(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lengths) + np.arange(total, dtype=np.int64)
 
 
-def kept_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose ``doc_id`` is in ``ids``, one row for each such id.
+def text_digest():
+    """What tells the texts of one ``doc_id`` apart; a null text counts as empty."""
+    return F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
-    A null id matches a null id. Rows that repeat an id are told apart by their
-    text alone; the smallest digest stays.
+
+def kept_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose ``doc_id`` and ``text_digest`` are a row of ``keys``, one row for each such pair.
+
+    A null id matches a null id. Rows that repeat an id with another text are
+    rows of their own; only repeats of both are the same row.
     """
     from pyspark.sql import Window
 
-    wanted = ids.select(F.col("doc_id").alias("__kept_id")).distinct()
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    wanted = keys.select(F.col("doc_id").alias("__kept_id"), F.col("digest").alias("__kept_digest")).distinct()
+    marked = docs.withColumn("__digest", text_digest())
+    same = F.col("doc_id").eqNullSafe(F.col("__kept_id")) & (F.col("__digest") == F.col("__kept_digest"))
+    order = Window.partitionBy("doc_id", "__digest").orderBy(F.col("text").asc_nulls_last())
     return (
-        docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
+        marked.join(wanted, same, "left_semi")
         .withColumn("__kept_row", F.row_number().over(order))
         .filter("__kept_row = 1")
-        .drop("__kept_row")
+        .drop("__kept_row", "__digest")
     )

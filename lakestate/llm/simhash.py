@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakestate.llm.common import kept_rows, mixed, per_batch, texts, utf8
+from lakestate.llm.common import kept_rows, mixed, per_batch, text_digest, texts, utf8
 from lakestate.llm.components import roots
 from lakestate.session import pinned, written
 
@@ -227,11 +227,6 @@ def segment_values(shingles: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def text_digest():
-    """What tells the texts of one ``doc_id`` apart."""
-    return F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
-
-
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     """``doc_id``, ``digest``, ``node`` (a hash of the set of shingles) and ``segments`` of every row."""
 

@@ -168,6 +168,13 @@ def test_segments_meet_at_four_fifths():
     assert met == 500
 
 
+def test_rows_without_an_id_of_their_own_stay(spark):
+    text = lambda n: " ".join(f"w{n}x{i}" for i in range(30))
+    rows = [(None, text(0)), (None, text(1)), (None, text(1)), (None, text(2)), (7, text(3)), (7, text(4)), (7, text(2)), (3, text(4)), (None, None), (None, "")]
+    kept = Counter((r.doc_id, r.text or "") for r in simhash.one_of_each(frame(spark, rows)).collect())
+    assert kept == Counter([(None, text(0)), (None, text(1)), (7, text(2)), (7, text(3)), (3, text(4)), (None, "")])
+
+
 def test_a_passage_is_removed_wherever_it_moved(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9)))
