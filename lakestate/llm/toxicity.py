@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakestate.llm.common import mixed, per_batch, settle, texts
-from lakestate.session import pinned
+from lakestate.session import pinned, written
 
 ORDER = 5
 DISCOUNT = 0.75
@@ -49,7 +49,7 @@ GRAM_SLOTS, CONTEXT_SLOTS, WORD_SLOTS = 21, 19, 20  # powers of two
 LIMIT = 8.0
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
-#: One in so many training rows is left to the calibration, of which at most SAMPLE_ROWS are read.
+#: The calibration's sample: at most SAMPLE_ROWS of every CALIBRATION-th training row. All others are counted.
 CALIBRATION, SAMPLE_ROWS = 5, 20_000
 #: Distinct n-grams, or words, a task holds before it hands them on.
 HELD_GRAMS = 2_000_000
@@ -380,20 +380,22 @@ class Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Counts over all labelled training rows but the calibration's, then the calibration."""
+    """Counts over all labelled training rows but the calibration's sample, then the calibration."""
     settle(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.filter((fold() != HELD_OUT) & F.col("toxic").isin(0, 1)).dropDuplicates(["doc_id"])
     part = F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATION))
+    ranked = known.filter(part == 0).withColumn("h", F.xxhash64("doc_id", F.lit(1))).orderBy("h", "doc_id").limit(sample_rows)
+    sample = written(ranked.drop("h"), "calibration")
+    rest = known.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_anti")
     # One plan at every size: both sides are shuffled by id. The counting tasks are few and large, so that
     # each n-gram is handed on by few of them.
-    training = texts(docs).join(known.filter(part != 0).hint("merge"), "doc_id").select("toxic", "text")
+    training = texts(docs).join(rest.hint("merge"), "doc_id").select("toxic", "text")
     counted = pinned(counts(training.coalesce(4 * docs.sparkSession.sparkContext.defaultParallelism)))
     seen, unseen = ratios(counted.filter("not word").drop("word"))
     by_word, unseen_word = word_ratios(counted.filter("word").drop("word"))
     evidence = Evidence(slots(seen, ORDER, GRAM_SLOTS), slots(unseen, ORDER - 1, CONTEXT_SLOTS), slots(by_word, None, WORD_SLOTS), unseen_word)
     shared = docs.sparkSession.sparkContext.broadcast(evidence)
-    sample = known.filter(part == 0).withColumn("h", F.xxhash64("doc_id", F.lit(1))).orderBy("h", "doc_id").limit(sample_rows).drop("h")
 
     def step(batch: pa.RecordBatch) -> dict:
         return {"toxic": batch.column(0), "x": pa.array(shared.value.differences(batch.column(1).to_pylist()))}

@@ -190,6 +190,17 @@ def test_toxicity_on_held_out_rows(spark, odd, none):
     assert {round(r.score, 6) for r in toxicity.score(odd, nothing).collect()} == {0.5}
 
 
+def test_counts_leave_out_the_calibration_sample_only(spark, monkeypatch):
+    docs = frame(spark, [(i, f"only{i} shared words") for i in range(60)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, toxic int")
+    training = {r.doc_id for r in labels.filter(toxicity.fold() != toxicity.HELD_OUT).collect()}
+    seen = []
+    counts = toxicity.counts
+    monkeypatch.setattr(toxicity, "counts", lambda rows: seen.extend(r.text for r in rows.collect()) or counts(rows))
+    toxicity.learn(docs, labels, sample_rows=2)
+    assert len(seen) == len(training) - 2 and {int(t.split()[0][4:]) for t in seen} < training
+
+
 def slow_counts(rows):
     out = Counter()
     for kind, text in rows:
