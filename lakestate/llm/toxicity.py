@@ -17,10 +17,13 @@ a few toxic words stand among many ordinary ones. A logistic function, fitted on
 a bounded sample of training texts that the counts leave out, makes it a score.
 
 Counts cover all other labelled training texts and are Spark tables of n-grams
-and words, as large as the texts make them. For scoring, their log-ratios are put
-into hash tables with a fixed number of slots (``GRAM_SLOTS`` and so on; 8-bit
-tags tell strangers, the more frequent entry keeps a slot), which is all that is
-broadcast, once: 11 MB whatever the corpus.
+and words, as large as the texts make them, and so are their log-ratios. What is
+frequent is looked up without a shuffle: a hash table with a fixed number of
+slots (``GRAM_SLOTS`` and so on) with whole 64-bit hashes is broadcast, and each
+slot says whether other entries of the tables belong there. A word that meets
+such a slot without finding its own entry is scored by equi-joins with the
+tables, each distinct one (with the characters before it) once. So the slots
+decide what is fast, never what is known.
 
 Null and empty texts have no words and a difference of zero. Repeated rows get
 equal scores; an empty table gives no rows. Without labelled rows of both kinds
@@ -35,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -266,26 +269,27 @@ def word_ratios(words: DataFrame) -> tuple[DataFrame, float]:
 
 
 class Slots:
-    """Ratios by hash: 2 ** ``bits`` slots with an 8-bit tag each; tag 0 is an empty slot."""
+    """Ratios by hash: 2 ** ``bits`` slots, each with one entry's hash and whether there are ``more``."""
 
     def __init__(self, bits: int):
         self.bits = bits
-        self.tags = np.zeros(1 << bits, dtype=np.uint8)
-        self.ratios = np.zeros(1 << bits, dtype=np.float16)
+        self.hashes = np.zeros(1 << bits, dtype=np.uint64)
+        self.ratios = np.zeros(1 << bits, dtype=np.float32)
+        self.more = np.zeros(1 << bits, dtype=bool)
 
     @staticmethod
-    def place(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        return (hashes >> np.uint64(64 - bits)).astype(np.int64), (hashes & np.uint64(0xFF)).astype(np.uint8) | np.uint8(1)
+    def place(hashes: np.ndarray, bits: int) -> np.ndarray:
+        return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
-    def get(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ratios, and whether there was one."""
-        slot, tag = self.place(hashes, self.bits)
-        found = self.tags[slot] == tag
-        return np.where(found, self.ratios[slot].astype(np.float32), np.float32(0)), found
+    def get(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ratios, whether there was one, and whether only the whole table can tell."""
+        slot = self.place(hashes, self.bits)
+        found = self.hashes[slot] == hashes
+        return np.where(found, self.ratios[slot], np.float32(0)), found, ~found & self.more[slot]
 
 
 def slots(table: DataFrame, order: int | None, bits: int) -> Slots:
-    """A table of ratios as slots; ``order`` None for words. At most 2 ** ``bits`` rows reach the driver."""
+    """The most frequent entries of a table of ratios; ``order`` None for words. At most 2 ** ``bits`` rows reach the driver."""
 
     def step(batch: pa.RecordBatch) -> dict:
         names = batch.column(0).to_pylist()
@@ -293,16 +297,18 @@ def slots(table: DataFrame, order: int | None, bits: int) -> Slots:
             hashes = _word_hashes(np.frombuffer(" ".join([*names, ""]).encode("utf-32-le"), "<u4").astype(np.uint64))[0]
         else:
             hashes = _hashes_of(np.frombuffer("".join(names).encode("utf-32-le"), "<u4").reshape(-1, order))
-        slot, tag = Slots.place(hashes, bits)
-        return {"slot": pa.array(slot.astype(np.int32)), "tag": pa.array(tag.astype(np.int32)), "weight": batch.column(1), "ratio": batch.column(2)}
+        slot = Slots.place(hashes, bits)
+        return {"slot": pa.array(slot.astype(np.int32)), "hash": pa.array(hashes.view(np.int64)), "weight": batch.column(1), "ratio": batch.column(2)}
 
-    placed = table.mapInArrow(per_batch(step), "slot int, tag int, weight bigint, ratio double")
-    rank = F.struct("weight", "tag", F.col("ratio").cast("float").alias("ratio"))
-    kept = placed.groupBy("slot").agg(F.max(rank).alias("top")).select("slot", "top.tag", "top.ratio").toArrow()
+    placed = table.mapInArrow(per_batch(step), "slot int, hash bigint, weight bigint, ratio double")
+    rank = F.struct("weight", "hash", F.col("ratio").cast("float").alias("ratio"))
+    grouped = placed.groupBy("slot").agg(F.max(rank).alias("top"), (F.count(F.lit(1)) > 1).alias("more"))
+    kept = grouped.select("slot", "top.hash", "top.ratio", "more").toArrow()
     out = Slots(bits)
     at = kept.column("slot").to_numpy()
-    out.tags[at] = kept.column("tag").to_numpy()
+    out.hashes[at] = kept.column("hash").to_numpy().view(np.uint64)
     out.ratios[at] = kept.column("ratio").to_numpy()
+    out.more[at] = kept.column("more").to_numpy()
     return out
 
 
@@ -323,29 +329,41 @@ class Evidence:
     def __init__(self, seen: Slots, unseen: Slots, words: Slots, unseen_word: float):
         self.seen, self.unseen, self.words, self.unseen_word = seen, unseen, words, unseen_word
 
-    def differences(self, batch: list[str]) -> np.ndarray:
-        """Per text: the log of the mean likelihood ratio of its words; 0 without words."""
+    def sums(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray, list[Counter]]:
+        """Per text: the likelihood ratios' sum of the words known here, the number of all words, and the others' units."""
         total, words = np.zeros(len(batch)), np.zeros(len(batch), dtype=np.int64)
+        units: list[Counter] = [Counter() for _ in batch]
         for parts, owners in _groups(batch):
-            evidence, of = self._by_word(parts)
-            total += np.bincount(owners[of], np.exp(np.clip(evidence, -LIMIT, LIMIT)), len(batch))
+            evidence, of, open_ = self._by_word(parts)
+            known = np.array([u is None for u in open_], dtype=bool)
+            total += np.bincount(owners[of[known]], np.exp(np.clip(evidence[known], -LIMIT, LIMIT)), len(batch))
             words += np.bincount(owners[of], minlength=len(batch))
-        return np.where(words > 0, np.log(np.where(words > 0, total, 1.0) / np.maximum(words, 1)), 0.0)
+            for i in np.flatnonzero(~known).tolist():
+                units[owners[of[i]]][open_[i]] += 1
+        return total, words, units
 
-    def _by_word(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Evidence of each word of a group, and the part it is in."""
+    def _by_word(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str | None]]:
+        """Evidence of each word of a group, the part it is in, and its unit if the tables have to be asked.
+
+        A unit is the word with the ORDER - 1 characters before it and the blank after it.
+        """
         points, numbers = _points(parts)
         at, part = _scored_positions(numbers)
-        ratio, found = self.seen.get(_hashes(points, ORDER)[at])
+        ratio, found, open_ = self.seen.get(_hashes(points, ORDER)[at])
         ratio = ratio.astype(np.float64)
         rest = np.flatnonzero(~found)
-        ratio[rest] = self.unseen.get(_hashes(points, ORDER - 1)[at[rest]])[0]
+        ratio[rest], _, more = self.unseen.get(_hashes(points, ORDER - 1)[at[rest]])
+        open_[rest] |= more
         own = points[at + (ORDER - 1)]
         hashes, starts = _word_hashes(own)
-        by_word, known = self.words.get(hashes)
+        by_word, known, unknown = self.words.get(hashes)
         evidence = np.add.reduceat(ratio, starts) + np.where(known, by_word, self.unseen_word)
+        unknown = unknown | np.logical_or.reduceat(open_, starts)
         real = np.flatnonzero(own[starts] != 32)  # an empty text has but its last blank
-        return evidence[real], part[starts[real]]
+        ends = np.append(starts[1:], len(own)) - 1
+        text = "".join(parts)
+        units = [text[at[starts[i]] : at[ends[i]] + ORDER] if unknown[i] else None for i in real.tolist()]
+        return evidence[real], part[starts[real]], units
 
 
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-3) -> np.ndarray:
@@ -373,10 +391,50 @@ def fold():
 
 
 class Model:
-    """The evidence, as it was broadcast, and the calibration."""
+    """The evidence, as it was broadcast, the whole tables of ratios (seen, unseen, words), and the calibration."""
+
+    def __init__(self, shared: Broadcast, tables: tuple[DataFrame, DataFrame, DataFrame], unseen_word: float):
+        self.shared, self.tables, self.unseen_word = shared, tables, unseen_word
+        self.weights = np.zeros(2)
+
+
+def _unit_evidence(units: DataFrame, model: Model) -> DataFrame:
+    """``unit`` and ``evidence`` of distinct units, from the whole tables."""
+    seen, unseen, words = model.tables
+    spelled = units.select("unit", F.explode(F.sequence(F.lit(1), F.char_length("unit") - (ORDER - 1))).alias("at"))
+    grams = spelled.select("unit", F.substring(F.col("unit"), F.col("at"), F.lit(ORDER)).alias("gram"))
+    own = grams.join(seen.select("gram", F.col("ratio").alias("own")), "gram", "left").withColumn("context", F.substring("gram", 1, ORDER - 1))
+    both = own.join(unseen.select(F.col("gram").alias("context"), F.col("ratio").alias("other")), "context", "left")
+    by_gram = both.groupBy("unit").agg(F.sum(F.coalesce("own", "other", F.lit(0.0))).alias("grams"))
+    word = F.substring(F.col("unit"), F.lit(ORDER), F.char_length("unit") - ORDER)
+    by_word = words.select(F.col("gram").alias("name"), F.col("ratio").alias("whole"))
+    found = by_gram.withColumn("name", word).join(by_word, "name", "left")
+    return found.select("unit", (F.col("grams") + F.coalesce("whole", F.lit(model.unseen_word))).alias("evidence"))
 
-    def __init__(self, shared: Broadcast, weights: np.ndarray):
-        self.shared, self.weights = shared, weights
+
+def differences(rows: DataFrame, model: Model) -> DataFrame:
+    """``id`` and ``x`` of every row (id, text): the log of the mean likelihood ratio of its words; 0 without words."""
+    shared = model.shared
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            if batch.num_rows:
+                total, words, units = shared.value.sums(batch.column(1).to_pylist())
+                rows = pa.array((task << 40) + number + np.arange(batch.num_rows))
+                number += batch.num_rows
+                listed = pa.array([[{"unit": u, "n": n} for u, n in some.items()] for some in units], pa.list_(pa.struct([("unit", pa.string()), ("n", pa.int64())])))
+                yield pa.RecordBatch.from_pydict({"row": rows, "id": batch.column(0), "total": pa.array(total), "words": pa.array(words), "units": listed})
+
+    schema = f"row bigint, id {rows.schema['id'].dataType.simpleString()}, total double, words bigint, units array<struct<unit:string,n:bigint>>"
+    summed = written(rows.select("id", "text").mapInArrow(run, schema), "sums")
+    asked = summed.select("row", F.explode("units").alias("u")).select("row", "u.unit", "u.n")
+    known = written(_unit_evidence(asked.select("unit").distinct(), model), "units")
+    ratio = F.exp(F.greatest(F.least("evidence", F.lit(LIMIT)), F.lit(-LIMIT)))
+    more = asked.join(known, "unit").groupBy("row").agg(F.sum(ratio * F.col("n")).alias("more"))
+    whole = F.col("total") + F.coalesce("more", F.lit(0.0))
+    x = F.when(F.col("words") > 0, F.log(whole / F.col("words"))).otherwise(0.0)
+    return summed.drop("units").join(more, "row", "left").select("id", x.alias("x"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
@@ -392,28 +450,22 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     # each n-gram is handed on by few of them.
     training = texts(docs).join(rest.hint("merge"), "doc_id").select("toxic", "text")
     counted = pinned(counts(training.coalesce(4 * docs.sparkSession.sparkContext.defaultParallelism)))
-    seen, unseen = ratios(counted.filter("not word").drop("word"))
+    seen, unseen = (written(t, "ratios") for t in ratios(counted.filter("not word").drop("word")))
     by_word, unseen_word = word_ratios(counted.filter("word").drop("word"))
+    by_word = written(by_word, "word-ratios")
     evidence = Evidence(slots(seen, ORDER, GRAM_SLOTS), slots(unseen, ORDER - 1, CONTEXT_SLOTS), slots(by_word, None, WORD_SLOTS), unseen_word)
-    shared = docs.sparkSession.sparkContext.broadcast(evidence)
-
-    def step(batch: pa.RecordBatch) -> dict:
-        return {"toxic": batch.column(0), "x": pa.array(shared.value.differences(batch.column(1).to_pylist()))}
-
-    chosen = texts(docs).join(F.broadcast(sample), "doc_id").select("toxic", "text")
-    found = chosen.mapInArrow(per_batch(step), "toxic int, x double").limit(2 * sample_rows).toPandas()
+    model = Model(docs.sparkSession.sparkContext.broadcast(evidence), (seen, unseen, by_word), unseen_word)
+    chosen = texts(docs).join(F.broadcast(sample), "doc_id").select(F.col("toxic").alias("id"), "text")
+    found = differences(chosen, model).select(F.col("id").alias("toxic"), "x").limit(2 * sample_rows).toPandas()
     order = np.lexsort((found["toxic"], found["x"]))
-    return Model(shared, logistic(found[["x"]].to_numpy(np.float64)[order], found["toxic"].to_numpy(np.float64)[order]))
+    model.weights = logistic(found[["x"]].to_numpy(np.float64)[order], found["toxic"].to_numpy(np.float64)[order])
+    return model
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
-    shared, weights = model.shared, model.weights
-
-    def step(batch: pa.RecordBatch) -> dict:
-        raw = weights[0] + weights[1] * shared.value.differences(batch.column(1).to_pylist())
-        return {"doc_id": batch.column(0), "score": pa.array(1 / (1 + np.exp(-np.clip(raw, -30, 30))))}
-
-    scored = texts(docs).mapInArrow(per_batch(step), "doc_id bigint, score double")
+    raw = float(model.weights[0]) + float(model.weights[1]) * F.col("x")
+    found = differences(texts(docs).select(F.col("doc_id").alias("id"), "text"), model)
+    scored = found.select(F.col("id").alias("doc_id"), (1 / (1 + F.exp(-F.greatest(F.least(raw, F.lit(30.0)), F.lit(-30.0))))).alias("score"))
     held = F.coalesce(fold() == HELD_OUT, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -201,6 +201,18 @@ def test_counts_leave_out_the_calibration_sample_only(spark, monkeypatch):
     assert len(seen) == len(training) - 2 and {int(t.split()[0][4:]) for t in seen} < training
 
 
+def test_few_slots_lose_nothing(spark, sample, monkeypatch):
+    labels = common.labels(spark, "/root/testdata/sf0.001")
+    few = sample.limit(40).unionByName(sample.limit(0)).cache()
+    rows = few.selectExpr("doc_id as id", "text")
+    found = lambda: {r.id: r.x for r in toxicity.differences(rows, toxicity.learn(few, labels)).collect()}
+    want = found()
+    for name in ("GRAM_SLOTS", "CONTEXT_SLOTS", "WORD_SLOTS"):
+        monkeypatch.setattr(toxicity, name, 6)
+    got = found()
+    assert len(set(want.values())) > 20 and got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-4 for d in want)
+
+
 def slow_counts(rows):
     out = Counter()
     for kind, text in rows:
