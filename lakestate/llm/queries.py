@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lakestate.llm import automaton, chunking, common, grammar, packing, quality, repetition, secret_scan, simhash, toxicity, weighted
+from lakestate.llm import (
+    automaton, chunking, common, grammar, merkle_manifest, packing, quality, ranked_search, repetition, secret_scan, simhash, toxicity, weighted,
+)
 from lakestate.session import run_dir
 
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
@@ -68,11 +70,21 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), capacity=2048, end_id=0)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Witness of every document, folded with the leaf of its tampered text."""
+    return merkle_manifest.verify(merkle_manifest.manifest(common.documents(spark, sf_dir), merkle_manifest.tampered_text()))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return ranked_search.search(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash, op2_token_files, op3_repetition, op4_secrets, op5_chunk_dedup, op6_bpe_automaton, op7_quality_trees,
-        op8_weighted_sampling, op9_toxicity, op10_best_fit,
+        op8_weighted_sampling, op9_toxicity, op10_best_fit, op11_merkle_manifest, op12_ranked_search,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_ranked_search": ranked_search.SQL}
