@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lakestate.llm import (
-    automaton, chunking, common, grammar, merkle_manifest, packing, quality, ranked_search, repetition, secret_scan, simhash, toxicity, weighted,
+    automaton, chunking, common, grammar, merkle_manifest, packing, parity_join, quality, ranked_search, repetition, secret_scan, simhash, toxicity, weighted,
 )
 from lakestate.session import run_dir
 
@@ -80,11 +80,17 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"), k=10)
 
 
+def op13_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document by four-word shingles with a Jaccard similarity of 0.85 or more."""
+    return parity_join.similarity_join(common.documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash, op2_token_files, op3_repetition, op4_secrets, op5_chunk_dedup, op6_bpe_automaton, op7_quality_trees,
         op8_weighted_sampling, op9_toxicity, op10_best_fit, op11_merkle_manifest, op12_ranked_search,
+        op13_parity_join,
     )
 }
-ORACLES: dict[str, str] = {"op12_ranked_search": ranked_search.SQL}
+ORACLES: dict[str, str] = {"op12_ranked_search": ranked_search.SQL, "op13_parity_join": parity_join.SQL}
