@@ -20,14 +20,7 @@ Hamming distance of sketches bounds the difference from below.
 * **Verify.** Sets that share a segment meet; who passes the Hamming distance of
   narrow sketches is compared shingle by shingle.
 
-A segment's entry may hold any share of the sets (copies with small edits, or a
-common passage), so entries are laid out by range, never in one task, and no pairs
-are made of them. First every member meets one hub of its entry. Links that hold
-join members; entries within one component are done. Of the others, every member
-asks, in cells of at most about ``2 * CELL`` members, for the nearest sketch of
-another component, until that joins nothing more; then the cells list what is
-left: members of different components whose sketches are within the distance. So
-whatever is linked is connected, however entries look.
+How entries of any size are linked without pairs is in ``meetings``.
 
 Blank and null texts have an empty set and are linked with nothing. Texts with
 fewer words than a shingle have one shingle. Repeated rows and texts with equal
@@ -37,9 +30,9 @@ without any id has none. An empty table gives no rows.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,17 +41,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakestate.llm.common import mixed, per_batch, text_digest, texts, utf8
-from lakestate.llm.components import roots
-from lakestate.llm.simhash import SEED, shingle_blocks
+from lakestate.llm.meetings import Measure, links, meet
+from lakestate.llm.simhash import SEED, shingle_set
 from lakestate.session import written
 
 WORDS = 4
 #: The similarity, as a fraction.
 NUMERATOR, DENOMINATOR = 85, 100
-#: Members of a cell's block; a cell compares two blocks.
-CELL = 2048
-#: Hubs that entries choose between, so that not all of them try the same one.
-HUBS = 4
 #: Deviations above the mean number of empty segments that are allowed for.
 DEVIATIONS = 2.5
 
@@ -69,12 +58,14 @@ def band_start(k: int) -> int:
     return 1 if k == 0 else band_start(k - 1) * DENOMINATOR // NUMERATOR + 1
 
 
+_STARTS = [1]
+
+
 def band_of(size: int) -> int:
     """The band of a size of at least 1."""
-    k = 0
-    while band_start(k + 1) <= size:
-        k += 1
-    return k
+    while _STARTS[-1] <= size:
+        _STARTS.append(band_start(len(_STARTS)))
+    return bisect.bisect_right(_STARTS, size) - 1
 
 
 def most_differing(a: int, b: int) -> int:
@@ -103,25 +94,13 @@ def segments_of(k: int) -> tuple[int, int]:
     return differing + 1 + allowed, allowed
 
 
-def shingle_set(text: bytes, words: int = WORDS) -> np.ndarray:
-    """The distinct shingle hashes of one text, sorted."""
-    blocks = list(shingle_blocks(text, words))
-    return np.unique(np.concatenate(blocks)) if blocks else np.empty(0, dtype="<u8")
-
-
 def sketch(shingles: np.ndarray) -> bytes:
-    """The narrow parity sketch: a power of two of bits, as many as shingles or more, 64 at least."""
-    bits = max(64, 1 << max(0, len(shingles) - 1).bit_length())
+    """The narrow parity sketch: a power of two of bits, as many as shingles or more, 512 at least."""
+    bits = max(512, 1 << max(0, len(shingles) - 1).bit_length())
     place = (mixed(shingles ^ np.uint64(0xA5A5)) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-def folded(parity: bytes, size: int) -> bytes:
-    """A sketch of ``size`` bytes from a longer one: places that fall together are XORed."""
-    rows = np.frombuffer(parity, np.uint8).reshape(-1, size)
-    return np.bitwise_xor.reduce(rows, axis=0).tobytes()
-
-
 def listed(shingles: np.ndarray) -> np.ndarray:
     """The entries a set is listed in: a hash of band, seed, segment and the segment's value."""
     if not len(shingles):
@@ -162,170 +141,6 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return texts(docs).withColumn("digest", text_digest()).mapInArrow(per_batch(step), schema)
 
 
-def _met(nodes: DataFrame) -> DataFrame:
-    """``entry``, ``node``, ``hub`` of all entries that more than one node is in."""
-    # Entries try different hubs: nodes are in another order for each of HUBS kinds of entries.
-    turn = F.element_at(F.array(*[F.lit(int(x)) for x in mixed(np.arange(HUBS)).view(np.int64)]), (F.pmod("entry", F.lit(HUBS)) + 1).cast("int"))
-    rows = nodes.select(F.explode("entries").alias("entry"), "node").withColumn("turned", F.col("node").bitwiseXOR(turn)).select("entry", "turned")
-    ranged = rows.repartitionByRange("entry", "turned").sortWithinPartitions("entry", "turned")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of entries with two members here, and whatever an earlier or later partition may share: the first and last entry."""
-        first, tail = None, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            entry, turned = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if tail is not None:
-                entry, turned = np.concatenate([tail[0], entry]), np.concatenate([tail[1], turned])
-                hub_before = tail[2]
-            else:
-                first, hub_before = entry[0], turned[0]
-            new = np.concatenate([[True], entry[1:] != entry[:-1]])
-            starts = np.flatnonzero(new)
-            hubs = turned[starts]
-            hubs[0] = hub_before
-            group = np.cumsum(new) - 1
-            lengths = np.diff(np.append(starts, len(entry)))
-            # The last entry may go on: its last row is held back, the others are sure to have company.
-            together = (lengths[group] > 1) | (entry == first) | (hubs[group] != turned)
-            together[-1] = False
-            tail = (entry[-1:], turned[-1:], hubs[group[-1]])
-            if together.any():
-                yield _entry_rows(entry[together], turned[together], hubs[group][together], first)
-        if tail is not None:
-            yield _entry_rows(tail[0], tail[1], np.array([tail[2]]), None)
-
-    found = written(ranged.mapInArrow(run, "entry bigint, turned bigint, hub bigint, edge boolean"), "entries")
-    # Only an entry at a partition's edge may go on in others: two for each partition.
-    edges = found.filter("edge").groupBy("entry").agg(F.min("hub").alias("least"), F.max("turned").alias("most"))
-    whole = found.join(edges, "entry", "left").withColumn("hub", F.coalesce("least", "hub"))
-    kept = whole.filter("least IS NULL OR least < most")
-    return kept.select("entry", F.col("turned").bitwiseXOR(turn).alias("node"), F.col("hub").bitwiseXOR(turn).alias("hub"))
-
-
-def _entry_rows(entry: np.ndarray, turned: np.ndarray, hub: np.ndarray, first) -> pa.RecordBatch:
-    edge = np.ones(len(entry), dtype=bool) if first is None else entry == first
-    return pa.RecordBatch.from_pydict({"entry": pa.array(entry), "turned": pa.array(turned), "hub": pa.array(hub), "edge": pa.array(edge)})
-
-
-def _within(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (u, v) whose sizes and sketches allow a link."""
-    a = nodes.select(F.col("node").alias("u"), F.col("size").alias("a"), F.col("sketch").alias("sa"))
-    b = nodes.select(F.col("node").alias("v"), F.col("size").alias("b"), F.col("sketch").alias("sb"))
-    sizes = DENOMINATOR * F.least("a", "b") >= NUMERATOR * F.greatest("a", "b")
-    met = pairs.distinct().join(a, "u").join(b, "v").filter(sizes)
-
-    def step(batch: pa.RecordBatch) -> dict | None:
-        columns = [c.to_pylist() for c in batch.columns]
-        kept = [(u, v) for u, v, a, b, sa, sb in zip(*columns, strict=True) if _apart(sa, sb) <= most_differing(a, b)]
-        u, v = zip(*kept, strict=True) if kept else ((), ())
-        return {"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())}
-
-    return met.select("u", "v", "a", "b", "sa", "sb").mapInArrow(per_batch(step), "u bigint, v bigint")
-
-
-def _apart(a: bytes, b: bytes) -> int:
-    size = min(len(a), len(b))
-    a, b = (x if len(x) == size else folded(x, size) for x in (a, b))
-    return (int.from_bytes(a) ^ int.from_bytes(b)).bit_count()
-
-
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """Those of the pairs that are linked, by their texts' shingles; written."""
-    pairs = written(pairs, "pairs")
-    wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    where = nodes.join(wanted, "node").select("node", F.col("least.doc_id").alias("w_id"), F.col("least.digest").alias("w_digest"))
-
-    def step(batch: pa.RecordBatch) -> dict:
-        return {"node": batch.column(0), "shingles": pa.array([shingle_set(text, words).view(np.int64) for text in utf8(batch)], pa.list_(pa.int64()))}
-
-    rows = texts(docs).withColumn("digest", text_digest())
-    same = F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("digest") == F.col("w_digest"))
-    # A repeated row gives its node twice; which of the two stays is all the same.
-    found = rows.join(where, same).select("node", "text").mapInArrow(per_batch(step), "node bigint, shingles array<bigint>")
-    shingles = written(found.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
-    a = shingles.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
-    b = shingles.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
-    both = F.size(F.array_intersect("a", "b"))
-    linked = (DENOMINATOR + NUMERATOR) * both >= NUMERATOR * (F.size("a") + F.size("b"))
-    return written(pairs.join(a, "u").join(b, "v").filter(linked).select("u", "v"), "links")
-
-
-def _open(met: DataFrame, rooted: DataFrame) -> DataFrame:
-    """``entry``, ``node``, ``root`` of entries whose members are not of one component."""
-    state = met.join(rooted, "node", "left").select("entry", "node", F.coalesce("root", "node").alias("root"))
-    state = written(state, "state")
-    mixed_ = state.groupBy("entry").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members")).filter("low < high")
-    return written(state.join(mixed_.select("entry", "members"), "entry"), "open")
-
-
-def _cells(opened: DataFrame, nodes: DataFrame, nearest: bool) -> DataFrame:
-    """Pairs (u, v) of different components of an entry whose sketches are within the distance.
-
-    ``nearest`` gives each member's nearest in a cell only. An entry's members are
-    dealt to blocks, and every two blocks (and each alone) are a cell.
-    """
-    blocks = F.ceil(F.col("members") / F.lit(CELL)).cast("bigint")
-    dealt = opened.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    copies = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    member = F.struct("node", "root", "size", "sketch", "block")
-    cell = ["entry", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
-    cells = copies.join(nodes.select("node", "size", "sketch"), "node").groupBy(*cell).agg(F.collect_list(member).alias("members"))
-
-    def step(batch: pa.RecordBatch) -> dict | None:
-        found: set[tuple[int, int]] = set()
-        for one, two, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            found |= _near_in(members.values.field, one != two, nearest)
-        u, v = zip(*found, strict=True) if found else ((), ())
-        return {"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())}
-
-    return cells.select("i", "j", "members").mapInArrow(per_batch(step), "u bigint, v bigint").distinct()
-
-
-def _near_in(field, across: bool, nearest: bool) -> set[tuple[int, int]]:
-    """Pairs within the distance in one cell; ``across`` leaves out those of one block."""
-    node, root, size, block = (field(c).to_numpy() for c in ("node", "root", "size", "block"))
-    raw = field("sketch").to_pylist()
-    width = min(map(len, raw))
-    rows = np.frombuffer(b"".join(r if len(r) == width else folded(r, width) for r in raw), "<u8").reshape(len(raw), -1)
-    out = set()
-    for i in range(len(node)):
-        allowed = (size + size[i]) * (DENOMINATOR - NUMERATOR) // (DENOMINATOR + NUMERATOR)
-        apart = np.bitwise_count(rows ^ rows[i]).sum(axis=1, dtype=np.int64)
-        near = (root != root[i]) & (apart <= allowed)
-        if across:
-            near &= block != block[i]
-        at = np.flatnonzero(near)
-        if nearest and len(at):
-            at = at[[np.lexsort((node[at], apart[at]))[0]]]
-        out.update((max(x, int(node[i])), min(x, int(node[i]))) for x in node[at].tolist())
-    return out
-
-
-def links(nodes: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``node`` and ``root`` of all nodes (node, size, sketch, entries, least) that are linked to another one."""
-    met = written(_met(nodes), "met")
-    plain = nodes.select("node", "size", "sketch", "least")
-    stars = met.filter("node <> hub").select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v"))
-    linked = _verified(_within(stars, plain), plain, docs, words)
-    rooted = written(roots(linked), "roots")
-    nearest = True
-    while True:
-        opened = _open(met.select("entry", "node"), rooted)
-        if opened.isEmpty():
-            break
-        more = _verified(_cells(opened, plain, nearest), plain, docs, words)
-        grown = not more.isEmpty()
-        if grown:
-            linked = written(linked.unionByName(more), "links")
-            rooted = written(roots(linked), "roots")
-        if not nearest:
-            break
-        nearest, met = grown, opened
-    return rooted
-
-
 def similarity_join(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row.
 
@@ -335,7 +150,8 @@ def similarity_join(docs: DataFrame, words: int = WORDS) -> DataFrame:
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("least")
     held = marked.filter(F.col("node").isNotNull()).groupBy("node").agg(least, F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("entries").alias("entries"))
     nodes = written(held, "nodes")
-    rooted = links(nodes, docs, words)
+    met = written(meet(nodes.select(F.explode("entries").alias("entry"), "node")), "met")
+    rooted = links(met, nodes.drop("entries"), docs, Measure(words, NUMERATOR, DENOMINATOR, most_differing))
     firsts = nodes.select("node", F.col("least.doc_id").alias("own")).join(rooted, "node")
     named = firsts.groupBy("root").agg(F.min("own").alias("component"))
     known = written(firsts.join(named, "root").select("node", "component"), "components")
