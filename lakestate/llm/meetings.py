@@ -7,8 +7,8 @@ then compared shingle by shingle, and links make components.
 An entry may hold any share of the nodes (copies with small edits, or a common
 passage). So entries are laid out by range, with a table of two rows for each
 partition for those that span partitions; and no pairs are made of them. First
-every member meets one hub of its entry. Entries within one component are done.
-Of the others, cells of at most about ``2 * CELL`` members list, for each
+every member meets one hub of its entry, which is then done with. So are entries
+whose other members are of one component. Of the rest, cells of at most about ``2 * CELL`` members list, for each
 component, the nearest member of another one, until that joins little more; then
 they list what is left: members of different components whose sketches are within
 the bound. So all that is linked is connected, however entries look.
@@ -208,9 +208,10 @@ def links(met: DataFrame, nodes: DataFrame, docs: DataFrame, measure: Measure) -
     stars = met.filter("node <> hub").select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v"))
     linked = _verified(written(_within(stars, nodes, measure), "pairs"), nodes, docs, measure)
     rooted = written(roots(linked), "roots")
-    nearest = True
+    # The hubs have met all members of their entries.
+    met, nearest = met.filter("node <> hub").select("entry", "node"), True
     while True:
-        opened = _open(met.select("entry", "node"), rooted)
+        opened = _open(met, rooted)
         if opened.isEmpty():
             return rooted
         pairs = written(_cells(opened, nodes, measure, nearest), "pairs")
@@ -222,4 +223,4 @@ def links(met: DataFrame, nodes: DataFrame, docs: DataFrame, measure: Measure) -
         if not nearest:
             return rooted
         # Again, while one in a hundred of the nearest is linked.
-        nearest, met = 100 * found > pairs.count(), opened
+        nearest, met = 100 * found > pairs.count(), opened.select("entry", "node")

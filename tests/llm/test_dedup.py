@@ -169,7 +169,7 @@ def test_fingerprints_meet_at_four_fifths():
         near += (int.from_bytes(sides[0]) ^ int.from_bytes(sides[1])).bit_count() <= near_copies.DISTANCE
         one, two = (near_copies.balls(np.frombuffer(x, np.uint8).reshape(1, -1))[0] for x in sides)
         met += bool(set(one.tolist()) & set(two.tolist()))
-    assert met >= 425 and near >= 485  # by calculation 443 and 495
+    assert met >= 420 and near >= 485  # by calculation 441 and 495
 
 
 def test_balls_meet_within_two_bits_of_a_segment():
