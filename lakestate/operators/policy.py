@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakestate.functions import text as tx
+from lakestate.functions.ordering import with_sequence
 from lakestate.functions.values import entity_refs, json_list
 from lakestate.operators import identity as idn
 from lakestate.operators import retrieve as rt
@@ -112,6 +113,61 @@ def replication_projection(descs: DataFrame, grants: DataFrame) -> DataFrame:
     return descs.join(allowed(grants, ["subject", "entity_id"]), "entity_id")
 
 
+#: Lanes of a set hash, 16 to each SHA-256.
+LANES = 32
+
+
+def visibility_classes(grants: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entities by who may see them: (entity_id, class) and (class, subject).
+
+    A class is the set of its readers, as the digest of a bitmap over numbered
+    subjects, so there are as many classes as different sets, not as entities.
+    """
+    may = allowed(grants, ["subject", "entity_id"])
+    numbers = may.select("subject").distinct().select("subject", F.xxhash64("subject").alias("number"))
+    # Numbers are spread over few buckets of the bitmap by their rank, which is stable for a set of subjects.
+    placed = with_sequence(numbers, ["number", "subject"], start=-1, name="rank").select("subject", "rank")
+    bits = may.join(placed, "subject").groupBy("entity_id", F.bitmap_bucket_number("rank").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("rank")).alias("readers")
+    )
+    parts = F.sort_array(F.collect_list(F.struct("bucket", F.sha2("readers", 256).alias("digest"))))
+    classes = bits.groupBy("entity_id").agg(F.sha2(F.to_json(parts), 256).alias("class"))
+    classes = pinned(classes)
+    # All members of a class have the same readers, so those of one tell.
+    one = classes.groupBy("class").agg(F.min("entity_id").alias("entity_id"))
+    return classes, one.join(may, "entity_id").select("class", "subject")
+
+
+def set_hash(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Per ``keys`` the lanes of a homomorphic set hash over (key, fingerprint), and the count.
+
+    A record's lanes are 16-bit parts of SHA-256 digests, added modulo 2^16: the
+    hash of a union of disjoint sets is the sum of theirs, whatever the order.
+    It tells replicas apart that differ by accident; LANES is too small to
+    withstand someone who looks for colliding sets.
+    """
+    blocks = [F.sha2(F.concat_ws(":", F.lit(str(i)), "key", "fingerprint"), 256).alias(f"b{i}") for i in range(LANES // 16)]
+    lane = lambda i: F.conv(F.substring(F.col(f"b{i // 16}"), 4 * (i % 16) + 1, 4), 16, 10).cast("bigint")
+    wide = rows.select(*keys, *blocks).select(*keys, *[lane(i).alias(f"l{i}") for i in range(LANES)])
+    return wide.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.pmod(F.sum(f"l{i}"), F.lit(65536)).alias(f"l{i}") for i in range(LANES)])
+
+
+def reader_roots(descs: DataFrame, grants: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """``subject``, ``n``, ``root`` (per ``scope`` too) of what each reader may replicate.
+
+    Records are summed once per visibility class, and a reader's root adds the
+    classes that the reader is in, so records are never multiplied by readers.
+    """
+    scope = scope or []
+    classes, readers = visibility_classes(grants)
+    by_class = set_hash(descs.join(classes, "entity_id"), ["class", *scope])
+    total = by_class.join(readers, "class").groupBy("subject", *scope).agg(
+        F.sum("n").alias("n"), *[F.pmod(F.sum(f"l{i}"), F.lit(65536)).alias(f"l{i}") for i in range(LANES)]
+    )
+    spelled = F.concat(*[F.lower(F.lpad(F.hex(f"l{i}"), 4, "0")) for i in range(LANES)])
+    return total.select("subject", *scope, "n", F.sha2(spelled, 256).alias("root"))
+
+
 def projection_accounting(scanned: DataFrame, shown: DataFrame) -> DataFrame:
     total = scanned.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
     return shown.groupBy("subject").agg(F.count(F.lit(1)).alias("n_allowed"), F.sum("payload_bytes").alias("bytes")).withColumn("n_scanned", total)

@@ -26,8 +26,8 @@ VIEWS: dict[str, str] = {
           NULL, epoch_ms(CAST(date_trunc('day', ts) AS TIMESTAMP))
         FROM events""",
     "returned_lines": """
-        SELECT DISTINCT l_orderkey, l_linenumber, l_shipdate FROM lineitem
-        WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND l_linenumber = 1""",
+        SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F'
+        QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber) = 1""",
     "retractions": f"""
         SELECT 'return-' || l_orderkey || '-' || l_linenumber || '-' || strftime(l_shipdate, '%Y%m%d') || '/' || prefix AS retraction_id,
           'observation' AS target_kind, prefix || l_orderkey AS target_id,

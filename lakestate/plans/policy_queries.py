@@ -22,7 +22,8 @@ from lakestate.sources import feeds as fd
 from lakestate.sources import files as fl
 from lakestate.sources.adapters import SCHEMAS, Lake
 from lakestate.session import pinned, run_dir
-from lakestate.streaming import jobs
+from lakestate.operators import capsule as cp
+from lakestate.streaming import jobs, keyed
 
 READ = {"may": "SELECT subject, entity_id FROM grants WHERE effect = 'allow'"}
 
@@ -208,6 +209,26 @@ def policy_replication_leaves(lake: Lake) -> DataFrame:
     return mk.leaves(po.replication_projection(_owned(lake), lake.grants()), BITS, ["subject"])
 
 
+ROOTS = f"""
+    SELECT subject, {{scope}} max(n) AS n, sha256(string_agg(printf('%04x', CAST(total % 65536 AS BIGINT)), '' ORDER BY lane)) AS root
+    FROM (SELECT subject, {{scope}} lane, count(*) AS n,
+            sum(CAST('0x' || substr(sha256((lane // 16) || ':' || key || ':' || fingerprint), 4 * (lane % 16) + 1, 4) AS INTEGER)) AS total
+          FROM owned JOIN may USING (entity_id), range({po.LANES}) r(lane) GROUP BY subject, {{scope}} lane) GROUP BY {{scope}} subject"""
+
+
+@query("policy_roots", ROOTS.format(scope=""), OWNED)
+def policy_roots(lake: Lake) -> DataFrame:
+    """One root per reader over what that reader may replicate, summed by visibility class."""
+    return po.reader_roots(_owned(lake), lake.grants()).select("subject", "n", "root")
+
+
+@query("policy_leaf_roots", ROOTS.format(scope="leaf,"), OWNED)
+def policy_leaf_roots(lake: Lake) -> DataFrame:
+    """The same for each leaf, which is what two replicas compare next."""
+    rows = _owned(lake).withColumn("leaf", mk.leaf_id(F.col("key"), BITS))
+    return po.reader_roots(rows, lake.grants(), ["leaf"]).select("subject", "leaf", "n", "root")
+
+
 @query(
     "policy_transfer",
     f"""SELECT 'req-' || month(o_orderdate) AS request_id, p.subject, count(m.subject) AS n_found, count(*) - count(m.subject) AS n_unavailable,
@@ -696,17 +717,77 @@ class _Streamed(Lake):
         return _stream(self, name)
 
 
-@query("stream_ingest", "SELECT retraction_id, record_id AS target_id, change_id FROM lost", INGEST)
-def stream_ingest(lake: Lake) -> DataFrame:
-    """The change feed as landed JSON lines, streamed in several batches with
-    slots kept between them: the same retractions as in one batch."""
-    landed, out = run_dir(lake.spark, "landed"), run_dir(lake.spark, "ingest")
+def _landed_changes(lake: Lake) -> str:
+    """All changes, landed in three parts with a run of the stream after each; the stream's folder."""
+    out, landed = run_dir(lake.spark, "ingest"), run_dir(lake.spark, "landed")
     cut = lake.source_changes().withColumn("part", F.when(F.col("first_observed_at") < "2024-01-10", 0).when(F.col("first_observed_at") < "2024-01-20", 1).otherwise(2))
     for part in range(3):
         cut.filter(F.col("part") == part).drop("part").write.json(f"{landed}/{part}")
-        jobs.ingest_stream(lake.spark, fd.read_source(lake.spark, f"{landed}/*", "incremental"), SLOTS, out).awaitTermination()
-    rows = lake.spark.read.parquet(f"{out}/retractions")
-    return rows.select("retraction_id", "target_id", "change_id")
+        keyed.slot_stream(lake.spark, fd.read_source(lake.spark, f"{landed}/*", "incremental"), SLOTS, out).awaitTermination()
+    return out
+
+
+@query("stream_ingest", "SELECT retraction_id, record_id AS target_id, change_id FROM lost", INGEST)
+def stream_ingest(lake: Lake) -> DataFrame:
+    """Three landings, three runs: the retractions of all of them, from keyed state."""
+    events = lake.spark.read.parquet(f"{_landed_changes(lake)}/events")
+    return keyed.retractions(events).select("retraction_id", "target_id", "change_id")
+
+
+@query(
+    "stream_open_slots",
+    """SELECT source_key, external_type, external_id, slot_key, record_id FROM slot_rows
+       WHERE (external_id, pos) IN (SELECT external_id, max(pos) FROM received GROUP BY 1)""",
+    INGEST,
+)
+def stream_open_slots(lake: Lake) -> DataFrame:
+    """What is open after all runs, read from the state store."""
+    return keyed.open_slots(lake.spark, _landed_changes(lake)).drop("opened_by")
+
+
+BOUNDARIES = {
+    "edges_in_time": """
+        SELECT entity_id, recorded_at AS b FROM aliases
+        UNION ALL SELECT entity_id, unnest([greatest(valid_from, recorded_at), valid_to]) FROM observations WHERE valid_to IS NULL OR greatest(valid_from, recorded_at) < valid_to
+        UNION ALL SELECT from_id, unnest([greatest(valid_from, recorded_at), valid_to]) FROM relations WHERE valid_to IS NULL OR greatest(valid_from, recorded_at) < valid_to
+        UNION ALL SELECT o.entity_id, greatest(r.effective_from, r.recorded_at) FROM retractions r JOIN observations o ON o.observation_id = r.target_id WHERE o.valid_to IS NULL OR r.effective_from < o.valid_to
+        UNION ALL SELECT e.from_id, greatest(r.effective_from, r.recorded_at) FROM relation_retractions r JOIN relations e ON e.relation_id = r.target_id WHERE e.valid_to IS NULL OR r.effective_from < e.valid_to""",
+    "clocks": "SELECT * FROM (VALUES (962323200000, 962496000000), (962496000000, 963100800000)) t(before, clock)",
+}
+
+
+@query(
+    "stream_boundary_refresh",
+    """SELECT clock, entity_id, min(b) FILTER (b > clock) AS next_boundary FROM edges_in_time, clocks
+       GROUP BY 1, 2 HAVING bool_or(b > before AND b <= clock)""",
+    BOUNDARIES,
+)
+def stream_boundary_refresh(lake: Lake) -> DataFrame:
+    """Capsules rebuilt at two clocks because their time had come; no record arrives in between."""
+    spark, tables = lake.spark, _tables(lake)
+    out, feed = run_dir(spark, "boundaries"), run_dir(spark, "heads")
+    at = F.lit(AT).cast("timestamp")
+    first = tp.next_boundary(tables["aliases"], tables["observations"], tables["relations"], tables["retractions"], at)
+    first.select("entity_id", F.col("next_boundary").alias("boundary"), at.alias("at")).write.parquet(f"{feed}/0")
+    heads = spark.readStream.schema("entity_id string, boundary timestamp, at timestamp").parquet(f"{feed}/*")
+    ticks = spark.readStream.schema("at timestamp").parquet(f"{out}/ticks/*")
+    spark.range(1).select(at.alias("at")).write.parquet(f"{out}/ticks/0")
+    refreshed = []
+    for turn, clock in enumerate(("2000-07-02", "2000-07-09"), 1):
+        now = F.lit(clock).cast("timestamp")
+
+        def refresh(due: DataFrame, batch_id: int, clock: str = clock, now=now) -> None:
+            none = spark.createDataFrame([], jobs.HEAD_SCHEMA)
+            fresh = none if due.isEmpty() else cp.materialize(tables, clock, only=due)[1].select(*none.columns)
+            fresh.withColumn("clock", F.unix_millis(now)).write.mode("overwrite").parquet(f"{out}/capsules/batch={batch_id}")
+
+        spark.range(1).select(now.alias("at")).write.parquet(f"{out}/ticks/{turn}")
+        keyed.boundary_stream(spark, heads, ticks, refresh, out).awaitTermination()
+        fresh = spark.read.parquet(f"{out}/capsules").filter(F.col("clock") == F.unix_millis(now))
+        # The next run has to see the new boundaries as later than the clock that made them.
+        fresh.select("entity_id", F.col("next_boundary").alias("boundary"), (now + F.expr("INTERVAL 1 MILLISECOND")).alias("at")).write.parquet(f"{feed}/{turn}")
+        refreshed.append(fresh.select("clock", "entity_id", F.unix_millis("next_boundary").alias("next_boundary")))
+    return refreshed[0].unionByName(refreshed[1])
 
 
 @query("stream_capsules", "SELECT CAST(0 AS BIGINT) AS n_different, (SELECT count(DISTINCT entity_id) FROM observations WHERE entity_id LIKE 'entity://customer/%') AS n_capsules")

@@ -137,11 +137,10 @@ class Lake:
         return self.order_observations().unionByName(self.event_observations())
 
     def returned_lines(self) -> DataFrame:
-        """Returned, finished leading lines: an order counts as returned with its first line. One row per id."""
-        lines = self.table("lineitem").filter(
-            (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F") & (F.col("l_linenumber") == 1)
-        )
-        return lines.select("l_orderkey", "l_linenumber", "l_shipdate").distinct()
+        """The earliest returned, finished line of every order that has one, by ship date."""
+        lines = self.table("lineitem").filter((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F"))
+        first = F.min(F.struct("l_shipdate", "l_linenumber")).alias("first")
+        return lines.groupBy("l_orderkey").agg(first).select("l_orderkey", "first.l_linenumber", "first.l_shipdate")
 
     def retractions(self) -> DataFrame:
         """A returned line ends what its order said about the customer."""

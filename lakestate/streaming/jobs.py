@@ -1,5 +1,5 @@
-"""Structured Streaming jobs. State that must survive is a table per batch id in
-the shared folder, so a batch that runs twice writes the same folder twice."""
+"""Structured Streaming jobs. Capsule heads are a table per batch id in the shared folder, so a
+batch that runs twice writes the same folder twice; slots and boundaries are in ``keyed``."""
 
 from __future__ import annotations
 
@@ -11,13 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lakestate.operators import capsule as cp
-from lakestate.operators import ingest as ig
 from lakestate.operators import policy as po
 from lakestate.session import pinned
 
-RESOURCE = ig.RESOURCE
-STATE_SCHEMA = "source_key string, external_type string, external_id string, slot_key string, record_id string"
-SEEN_SCHEMA = "source_key string, change_id string"
 
 
 def start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
@@ -42,40 +38,8 @@ def _write(df: DataFrame, root: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
 
 
-def ingest_stream(spark: SparkSession, changes: DataFrame, fields: dict[str, str], out: str) -> StreamingQuery:
-    """ST2, C8: receipts, slots, retractions and the next projection, batch by batch.
-
-    The slots a resource had open before the batch join its first change as
-    position zero, so the per-batch work is the batch form of the slot diff and
-    a hot resource spreads over all tasks.
-    """
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        seen = _upto(spark, f"{out}/receipts", SEEN_SCHEMA, batch_id).select("source_key", "change_id")
-        placed = pinned(ig.in_order(ig.receipts(batch, seen)))
-        slots = pinned(ig.project_slots(placed, fields))
-        touched = placed.select(*RESOURCE).distinct()
-        state = _upto(spark, f"{out}/slots", STATE_SCHEMA + ", gone boolean", batch_id)
-        # The newest batch that wrote a resource holds all its open slots.
-        newest = state.groupBy(*RESOURCE).agg(F.max("batch").alias("batch"))
-        held = state.join(newest, [*RESOURCE, "batch"], "left_semi").filter("NOT gone").join(touched, RESOURCE, "left_semi")
-        before = held.select(*RESOURCE, F.lit(0).cast("bigint").alias("ordinal"), "slot_key", "record_id")
-        every = slots.select(*RESOURCE, "ordinal", "slot_key", "record_id").unionByName(before)
-        _write(ig.slot_retractions(placed, every), f"{out}/retractions", batch_id)
-        _write(slots.select("record_id", *RESOURCE, "slot_key", "value", "effective_at", "recorded_at").dropDuplicates(["record_id"]), f"{out}/observations", batch_id)
-        last = placed.groupBy(*RESOURCE).agg(F.max("ordinal").alias("ordinal"))
-        open_now = last.join(slots.select(*RESOURCE, "ordinal", "slot_key", "record_id"), [*RESOURCE, "ordinal"], "left").select(
-            *RESOURCE, "slot_key", "record_id", F.col("slot_key").isNull().alias("gone")
-        )
-        _write(open_now, f"{out}/slots", batch_id)
-        _write(placed.select("source_key", "change_id"), f"{out}/receipts", batch_id)
-
-    return start(changes, each, f"{out}/checkpoint")
-
-
 def capsule_stream(spark: SparkSession, feed: DataFrame, tables: dict[str, DataFrame], at: str, out: str, version: str = "v1") -> StreamingQuery:
-    """ST1, ST3, M6: refresh the capsules that feed rows touch and those whose
-    time has come; only touched entities are read and written."""
+    """ST1: refresh the capsules that feed rows touch and those whose time has come by then; only touched entities are read and written."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
         heads = current_capsules(spark, out, batch_id)

@@ -1,17 +1,19 @@
 """Laws of record sets and trees; append, files and streams."""
 
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from lakestate.operators import append as ap
 from lakestate.operators import ingest as ig
 from lakestate.operators import merkle as mk
+from lakestate.operators import policy as po
 from lakestate.operators import recordset as xs
 from lakestate.session import run_dir
 from lakestate.sources import feeds as fd
 from lakestate.sources import files as fl
-from lakestate.streaming import jobs
+from lakestate.streaming import jobs, keyed
 
 ROWS = "kind string, record_id string, payload string"
 
@@ -115,9 +117,56 @@ def test_stream_equals_batch_over_restarts_and_replays(spark):
     landed, out = run_dir(spark, "t-landed"), run_dir(spark, "t-ingest")
     for n, part in enumerate((CHANGES[:1], CHANGES[1:4], CHANGES[4:5], CHANGES[5:])):
         change_rows(spark, part).coalesce(1).write.json(f"{landed}/{n}")
-        jobs.ingest_stream(spark, fd.read_source(spark, f"{landed}/*", "incremental"), fields, out).awaitTermination()
-    got = sorted((r.change_id, r.slot_key, r.target_id) for r in spark.read.parquet(f"{out}/retractions").collect())
+        keyed.slot_stream(spark, fd.read_source(spark, f"{landed}/*", "incremental"), fields, out).awaitTermination()
+    events = spark.read.parquet(f"{out}/events")
+    got = sorted((r.change_id, r.slot_key, r.target_id) for r in keyed.retractions(events).collect())
     assert got == want
+    state = Counter((r.external_id, r.slot_key, r.record_id) for r in keyed.open_slots(spark, out).collect())
+    moves = events.select("external_id", "slot_key", "record_id", F.when(F.col("event") == "opened", 1).otherwise(-1).alias("n"))
+    left = moves.groupBy("external_id", "slot_key", "record_id").agg(F.sum("n").alias("n")).filter("n <> 0").collect()
+    assert state == Counter({(r.external_id, r.slot_key, r.record_id): r.n for r in left})
+
+
+def test_boundaries_fire_without_new_data(spark):
+    from datetime import datetime
+
+    feed, out = run_dir(spark, "t-heads"), run_dir(spark, "t-due")
+    day = lambda d, ms=0: datetime(2024, 1, d, 0, 0, 0, ms * 1000)
+    schema = "entity_id string, boundary timestamp, at timestamp"
+    heads = spark.readStream.schema(schema).parquet(f"{feed}/*")
+    ticks = spark.readStream.schema("at timestamp").parquet(f"{out}/ticks/*")
+    spark.createDataFrame([("a", day(3), day(1)), ("b", day(5), day(1)), ("c", None, day(1)), ("d", day(3), day(1))], schema).write.parquet(f"{feed}/0")
+    seen = []
+
+    def refresh(due, batch_id):
+        seen.extend((r.entity_id, r.due) for r in due.collect())
+
+    def at(d):
+        spark.createDataFrame([(day(d),)], "at timestamp").write.parquet(f"{out}/ticks/{d}")
+        seen.clear()
+        keyed.boundary_stream(spark, heads, ticks, refresh, out).awaitTermination()
+        return sorted(seen)
+
+    assert at(2) == []
+    assert at(3) == [("a", day(3)), ("d", day(3))]
+    spark.createDataFrame([("a", day(6), day(3, 1)), ("b", day(9), day(3, 1))], schema).write.parquet(f"{feed}/1")  # b is postponed
+    assert at(7) == [("a", day(6))]
+    assert at(10) == [("b", day(9))]
+    assert at(11) == []
+
+
+def test_a_private_record_leaves_other_readers_roots(spark):
+    grants = spark.createDataFrame(
+        [(s, f"e{i}", "allow") for s, some in (("ann", (1, 2, 3)), ("bob", (1, 2)), ("cy", (4,))) for i in some] + [("bob", "e3", "deny"), ("cy", "e1", "allow"), ("cy", "e1", "deny")],
+        "subject string, entity_id string, effect string",
+    )
+    rows = [(f"k{i}", f"f{i}", f"e{1 + i % 3}") for i in range(30)]
+    roots = lambda some: {r.subject: (r.n, r.root) for r in po.reader_roots(spark.createDataFrame(some, "key string, fingerprint string, entity_id string"), grants).collect()}
+    before, after = roots(rows), roots([*rows, ("private", "x", "e3")])
+    assert before["bob"] == after["bob"] and before["ann"] != after["ann"] and before["ann"][0] == 30 and before["bob"][0] == 20
+    assert roots(rows[::-1]) == before and "cy" not in before
+    assert len({c["class"] for c in po.visibility_classes(grants)[0].collect()}) == 3
+    assert roots([("k0", "other", "e1"), *rows[1:]])["bob"] != before["bob"]
 
 
 def test_unfinished_requests_appear_after_patience(spark):
