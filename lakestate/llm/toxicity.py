@@ -1,14 +1,14 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Texts are lower-cased; letters and digits make words, anything else is one
-blank. Each class, toxic and ordinary, has two models with its own discounted
-counts: one of words, and one of characters of order ``ORDER`` that reads each
-word with the blank after it. What the discounts leave goes to backoffs that the
-classes share: the joint vocabulary for words, and for characters the lower
-orders' continuation probabilities, counted over both classes. So an expression
-that is rare, or unseen in one class, is smoothed with what both know of it, and
-where neither class has seen one the shared factor cancels: only the backoff
-weights are compared.
+Texts are lower-cased; letters and digits make words. Each class, toxic and
+ordinary, has two models with its own discounted counts: one of words, and one
+of characters of order ``ORDER`` that reads each word from a blank context to the
+blank after it. What the discounts leave goes to backoffs that the classes share:
+the joint vocabulary for words, and for characters the lower orders' continuation
+probabilities, counted over both classes. So an expression that is rare, or
+unseen in one class, is smoothed with what both know of it, and where neither
+class has seen one the shared factor cancels: only the backoff weights are
+compared.
 
 A word's evidence is the sum of both models' log-likelihood differences, within
 ``LIMIT`` either way. A text's is the log of the mean likelihood ratio of its
@@ -16,14 +16,13 @@ words: normalised by length, and, unlike the mean of the logs, not drowned where
 a few toxic words stand among many ordinary ones. A logistic function, fitted on
 a bounded sample of training texts that the counts leave out, makes it a score.
 
-Counts cover all other labelled training texts and are Spark tables of n-grams
-and words, as large as the texts make them, and so are their log-ratios. What is
-frequent is looked up without a shuffle: a hash table with a fixed number of
-slots (``GRAM_SLOTS`` and so on) with whole 64-bit hashes is broadcast, and each
-slot says whether other entries of the tables belong there. A word that meets
-such a slot without finding its own entry is scored by equi-joins with the
-tables, each distinct one (with the characters before it) once. So the slots
-decide what is fast, never what is known.
+Counts cover all other labelled training texts and are Spark tables of words and
+n-grams, as large as the texts make them. A word's evidence depends on the word
+alone, so it is computed once for each distinct word of the texts to be scored,
+by equi-joins with the whole tables. The ``CACHED`` most frequent words are
+broadcast; texts are joined with the table for their other words only. So the
+cache decides what is fast, never what is known. Words are told apart by 64-bit
+hashes where they are joined.
 
 Null and empty texts have no words and a difference of zero. Repeated rows get
 equal scores; an empty table gives no rows. Without labelled rows of both kinds
@@ -38,168 +37,98 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast, TaskContext
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakestate.llm.common import mixed, per_batch, settle, texts
+from lakestate.llm.common import settle, texts
 from lakestate.session import pinned, written
 
 ORDER = 5
 DISCOUNT = 0.75
-GRAM_SLOTS, CONTEXT_SLOTS, WORD_SLOTS = 21, 19, 20  # powers of two
+#: Words that are broadcast, of at most CACHED_LENGTH characters.
+CACHED, CACHED_LENGTH = 1 << 18, 64
 #: Largest evidence of a word, in nats.
 LIMIT = 8.0
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
 #: The calibration's sample: at most SAMPLE_ROWS of every CALIBRATION-th training row. All others are counted.
 CALIBRATION, SAMPLE_ROWS = 5, 20_000
-#: Distinct n-grams, or words, a task holds before it hands them on.
-HELD_GRAMS = 2_000_000
-HELD_WORDS = 500_000
-#: Characters that are looked at together.
-TOGETHER = 1 << 20
+#: Distinct words a task holds before it hands them on, and n-grams of a batch.
+HELD_WORDS, HELD_GRAMS = 500_000, 100_000
 _OTHER = re.compile(r"[\W_]+")
 
 
-def plain(text: str) -> str:
-    """Lower case, letters and digits; anything else is one blank. Leading blanks give the first characters a context."""
-    return " " * (ORDER - 1) + _OTHER.sub(" ", text.lower()).strip() + " "
+def words_of(text: str) -> list[str]:
+    """The text's words in lower case."""
+    return _OTHER.sub(" ", text.lower()).split()
 
 
-def _groups(batch: list[str]) -> Iterator[tuple[list[str], np.ndarray]]:
-    """Plain texts in groups of about TOGETHER characters, and the text that each belongs to.
+def word_counts(rows: DataFrame) -> DataFrame:
+    """``word``, ``toxic``, ``ordinary``: occurrences in all rows (toxic 0/1, text). Each task adds up its own first."""
 
-    A longer text is cut behind blanks; each part begins with the ORDER - 1
-    characters before it, so that every character keeps its context.
-    """
-    parts: list[str] = []
-    owners: list[int] = []
-    size = 0
-    for i, text in enumerate(batch):
-        whole = plain(text)
-        start = 0
-        while start < len(whole) - (ORDER - 1):
-            end = whole.find(" ", start + (ORDER - 1) + TOGETHER) + 1 or len(whole)
-            parts.append(whole[start:end])
-            owners.append(i)
-            size += end - start
-            start = end - (ORDER - 1)
-            if size >= TOGETHER:
-                yield parts, np.array(owners)
-                parts, owners, size = [], [], 0
-    if parts:
-        yield parts, np.array(owners)
-
-
-def _points(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of all parts in a row, and their numbers."""
-    return np.frombuffer("".join(parts).encode("utf-32-le"), "<u4").astype(np.uint64), np.array([len(t) for t in parts], dtype=np.int64)
-
-
-_FACTOR = np.uint64(0x100000001B3)
-
-
-def _hashes(points: np.ndarray, order: int) -> np.ndarray:
-    """A hash of the ``order`` characters that end at each position from ``order`` - 1 on."""
-    n = len(points) - order + 1
-    out = np.zeros(max(n, 0), dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(order):
-            out = out * _FACTOR + points[i : i + len(out)] + np.uint64(1)
-    return mixed(out)
-
-
-def _scored_positions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices into the grams of the positions that belong to one text, and the text of each."""
-    starts = np.cumsum(counts) - counts
-    own = counts - (ORDER - 1)
-    text = np.repeat(np.arange(len(counts)), own)
-    at = np.arange(len(text)) + np.repeat(starts - (np.cumsum(own) - own), own)
-    return at, text
-
-
-def _counted(kind: np.ndarray, parts: list[str], owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of a group (as rows of code points) with their toxic and ordinary counts."""
-    points, counts = _points(parts)
-    at, part = _scored_positions(counts)
-    keys = _hashes(points, ORDER)[at]
-    _, first, which = np.unique(keys, return_index=True, return_inverse=True)
-    toxic = np.bincount(which, kind[owners[part]], len(first)).astype(np.int64)
-    total = np.bincount(which, minlength=len(first))
-    begin = at[first]
-    grams = np.stack([points[begin + i] for i in range(ORDER)], axis=1).astype("<u4")
-    return grams, np.stack([toxic, total - toxic], axis=1)
-
-
-def _strings(grams: np.ndarray) -> list[str]:
-    flat = np.ascontiguousarray(grams).tobytes().decode("utf-32-le")
-    return [flat[i : i + ORDER] for i in range(0, len(flat), ORDER)]
-
-
-def _merged(held: list) -> list:
-    grams, numbers = np.concatenate([g for g, _ in held]), np.concatenate([n for _, n in held])
-    _, first, which = np.unique(_hashes_of(grams), return_index=True, return_inverse=True)
-    return [(grams[first], np.stack([np.bincount(which, numbers[:, k], len(first)).astype(np.int64) for k in (0, 1)], axis=1))]
-
-
-def _rows(word: bool, names: list[str], toxic, ordinary) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({
-        "word": pa.array([word] * len(names)), "gram": pa.array(names, pa.string()), "toxic": pa.array(toxic, pa.int64()), "ordinary": pa.array(ordinary, pa.int64()),
-    })
-
-
-def counts(rows: DataFrame) -> DataFrame:
-    """``word`` (or character n-gram), ``gram``, ``toxic``, ``ordinary`` over all rows (toxic 0/1, text).
-
-    Each task adds up its own first.
-    """
-
-    def grams_of(held: list) -> pa.RecordBatch:
-        ((grams, numbers),) = _merged(held)
-        return _rows(False, _strings(grams), numbers[:, 0], numbers[:, 1])
-
-    def words_of(words: list[Counter]) -> pa.RecordBatch:
+    def counted(words: list[Counter]) -> pa.RecordBatch:
         names = list(words[0] | words[1])
-        return _rows(True, names, [words[1][w] for w in names], [words[0][w] for w in names])
+        return pa.RecordBatch.from_pydict({
+            "word": pa.array(names, pa.string()), "toxic": pa.array([words[1][w] for w in names], pa.int64()),
+            "ordinary": pa.array([words[0][w] for w in names], pa.int64()),
+        })
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
         words = [Counter(), Counter()]
-        size = 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            kinds, some = batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_pylist()
-            for kind, text in zip(kinds.tolist(), some, strict=True):
-                words[kind].update(plain(text).split())
-            for parts, owners in _groups(some):
-                held.append(_counted(kinds, parts, owners))
-                size += len(held[-1][0])
+            for kind, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words[kind].update(words_of(text))
             if len(words[0]) + len(words[1]) > HELD_WORDS:
-                yield words_of(words)
+                yield counted(words)
                 words = [Counter(), Counter()]
-            if size > HELD_GRAMS:
-                held = _merged(held)
-                size = len(held[0][0])
-                if size > HELD_GRAMS // 2:
-                    yield grams_of(held)
-                    held, size = [], 0
-        if held:
-            yield grams_of(held)
         if words[0] or words[1]:
-            yield words_of(words)
+            yield counted(words)
+
+    found = rows.select("toxic", "text").mapInArrow(run, "word string, toxic bigint, ordinary bigint")
+    return found.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
-    found = rows.select("toxic", "text").mapInArrow(run, "word boolean, gram string, toxic bigint, ordinary bigint")
-    return found.groupBy("word", "gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
+def spelled(words: DataFrame) -> DataFrame:
+    """``id`` and ``gram``, with the other columns, for every n-gram of words (id, word, ...).
 
-def _hashes_of(grams: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(grams), dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(grams.shape[1]):
-            out = out * _FACTOR + grams[:, i].astype(np.uint64) + np.uint64(1)
-    return mixed(out)
+    A word is read behind ORDER - 1 blanks, and up to the blank after it.
+    """
+    rest = [f for f in words.schema.fields if f.name not in ("id", "word")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owners: list[int] = []
+            grams: list[str] = []
+
+            def flush(batch=batch) -> pa.RecordBatch:
+                at = pa.array(owners, pa.int32())
+                columns = {"id": batch.column(0).take(at), "gram": pa.array(grams, pa.string())}
+                return pa.RecordBatch.from_pydict(columns | {f.name: batch.column(2 + i).take(at) for i, f in enumerate(rest)})
+
+            for i, word in enumerate(batch.column(1).to_pylist()):
+                whole = " " * (ORDER - 1) + word + " "
+                for start in range(0, len(word) + 1, HELD_GRAMS):
+                    some = [whole[j : j + ORDER] for j in range(start, min(len(word) + 1, start + HELD_GRAMS))]
+                    grams += some
+                    owners += [i] * len(some)
+                    if len(grams) >= HELD_GRAMS:
+                        yield flush()
+                        owners, grams = [], []
+            if grams:
+                yield flush()
+
+    schema = ", ".join(["id bigint", "gram string", *[f"{f.name} {f.dataType.simpleString()}" for f in rest]])
+    return words.select("id", "word", *[f.name for f in rest]).mapInArrow(run, schema)
+
+
+def counts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Words, and n-grams (``gram``), with their toxic and ordinary occurrences in all rows (toxic 0/1, text)."""
+    words = written(word_counts(rows), "word-counts")
+    grams = spelled(words.select(F.xxhash64("word").alias("id"), "word", "toxic", "ordinary"))
+    summed = grams.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    return words, written(summed, "gram-counts")
 
 
 def _continued(grams: DataFrame) -> DataFrame:
@@ -227,7 +156,7 @@ def _continued(grams: DataFrame) -> DataFrame:
 
 
 def ratios(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Log-ratios of toxic to ordinary probability: of grams seen (``gram``, ``weight``, ``ratio``), and of
+    """Log-ratios of toxic to ordinary probability: of grams seen (``gram``, ``ratio``), and of
     contexts for anything unseen after them (``gram`` is the context)."""
     context = F.substring("gram", 1, ORDER - 1)
     has = lambda c: F.sum(F.when(F.col(c) > 0, 1).otherwise(0))
@@ -243,127 +172,29 @@ def ratios(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     seen = (
         grams.withColumn("context", context).join(sums, "context").withColumn("lower", F.substring("gram", 2, ORDER - 1)).join(shared, "lower")
-        .select("gram", (F.col("toxic") + F.col("ordinary")).alias("weight"), (F.log(probability("toxic")) - F.log(probability("ordinary"))).alias("ratio"))
+        .select("gram", (F.log(probability("toxic")) - F.log(probability("ordinary"))).alias("ratio"))
     )
     unseen = sums.select(
-        F.col("context").alias("gram"), (F.col("t_toxic") + F.col("t_ordinary")).alias("weight"), (F.log(backoff("toxic")) - F.log(backoff("ordinary"))).alias("ratio")
+        F.col("context").alias("gram"), (F.log(backoff("toxic")) - F.log(backoff("ordinary"))).alias("ratio")
     )
     return seen, unseen
 
 
 def word_ratios(words: DataFrame) -> tuple[DataFrame, float]:
-    """Log-ratios of words (``gram``, ``weight``, ``ratio``), and that of any unseen word."""
+    """Log-ratios of words (``word``, ``ratio``), and that of any unseen word."""
     has = lambda c: F.sum(F.when(F.col(c) > 0, 1).otherwise(0))
     sums = words.agg(
         F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), has("toxic").alias("k_toxic"), has("ordinary").alias("k_ordinary"), F.count(F.lit(1)).alias("all")
     ).first()
     if not sums["toxic"] or not sums["ordinary"]:
-        return words.select("gram", (F.col("toxic") + F.col("ordinary")).alias("weight"), F.lit(0.0).alias("ratio")), 0.0
+        return words.select("word", F.lit(0.0).alias("ratio")), 0.0
     left = {c: DISCOUNT * sums[f"k_{c}"] / sums[c] for c in ("toxic", "ordinary")}
 
     def probability(c: str):
         return F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / float(sums[c]) + left[c] / float(sums["all"])
 
     ratio = F.log(probability("toxic")) - F.log(probability("ordinary"))
-    return words.select("gram", (F.col("toxic") + F.col("ordinary")).alias("weight"), ratio.alias("ratio")), float(np.log(left["toxic"] / left["ordinary"]))
-
-
-class Slots:
-    """Ratios by hash: 2 ** ``bits`` slots, each with one entry's hash and whether there are ``more``."""
-
-    def __init__(self, bits: int):
-        self.bits = bits
-        self.hashes = np.zeros(1 << bits, dtype=np.uint64)
-        self.ratios = np.zeros(1 << bits, dtype=np.float32)
-        self.more = np.zeros(1 << bits, dtype=bool)
-
-    @staticmethod
-    def place(hashes: np.ndarray, bits: int) -> np.ndarray:
-        return (hashes >> np.uint64(64 - bits)).astype(np.int64)
-
-    def get(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ratios, whether there was one, and whether only the whole table can tell."""
-        slot = self.place(hashes, self.bits)
-        found = self.hashes[slot] == hashes
-        return np.where(found, self.ratios[slot], np.float32(0)), found, ~found & self.more[slot]
-
-
-def slots(table: DataFrame, order: int | None, bits: int) -> Slots:
-    """The most frequent entries of a table of ratios; ``order`` None for words. At most 2 ** ``bits`` rows reach the driver."""
-
-    def step(batch: pa.RecordBatch) -> dict:
-        names = batch.column(0).to_pylist()
-        if order is None:
-            hashes = _word_hashes(np.frombuffer(" ".join([*names, ""]).encode("utf-32-le"), "<u4").astype(np.uint64))[0]
-        else:
-            hashes = _hashes_of(np.frombuffer("".join(names).encode("utf-32-le"), "<u4").reshape(-1, order))
-        slot = Slots.place(hashes, bits)
-        return {"slot": pa.array(slot.astype(np.int32)), "hash": pa.array(hashes.view(np.int64)), "weight": batch.column(1), "ratio": batch.column(2)}
-
-    placed = table.mapInArrow(per_batch(step), "slot int, hash bigint, weight bigint, ratio double")
-    rank = F.struct("weight", "hash", F.col("ratio").cast("float").alias("ratio"))
-    grouped = placed.groupBy("slot").agg(F.max(rank).alias("top"), (F.count(F.lit(1)) > 1).alias("more"))
-    kept = grouped.select("slot", "top.hash", "top.ratio", "more").toArrow()
-    out = Slots(bits)
-    at = kept.column("slot").to_numpy()
-    out.hashes[at] = kept.column("hash").to_numpy().view(np.uint64)
-    out.ratios[at] = kept.column("ratio").to_numpy()
-    out.more[at] = kept.column("more").to_numpy()
-    return out
-
-
-def _word_hashes(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word of code points, each with one blank behind it, and where the words start."""
-    blank = points == 32
-    starts = np.concatenate([[0], np.flatnonzero(blank)[:-1] + 1]) if len(points) else np.empty(0, np.int64)
-    place = np.arange(len(points)) - np.repeat(starts, np.diff(np.append(starts, len(points))))
-    parts = mixed(points | place.astype(np.uint64) << np.uint64(24))
-    parts[blank] = 0
-    with np.errstate(over="ignore"):
-        return (mixed(np.add.reduceat(parts, starts)) if len(starts) else parts), starts
-
-
-class Evidence:
-    """The three tables that are broadcast, and the ratio of an unseen word."""
-
-    def __init__(self, seen: Slots, unseen: Slots, words: Slots, unseen_word: float):
-        self.seen, self.unseen, self.words, self.unseen_word = seen, unseen, words, unseen_word
-
-    def sums(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray, list[Counter]]:
-        """Per text: the likelihood ratios' sum of the words known here, the number of all words, and the others' units."""
-        total, words = np.zeros(len(batch)), np.zeros(len(batch), dtype=np.int64)
-        units: list[Counter] = [Counter() for _ in batch]
-        for parts, owners in _groups(batch):
-            evidence, of, open_ = self._by_word(parts)
-            known = np.array([u is None for u in open_], dtype=bool)
-            total += np.bincount(owners[of[known]], np.exp(np.clip(evidence[known], -LIMIT, LIMIT)), len(batch))
-            words += np.bincount(owners[of], minlength=len(batch))
-            for i in np.flatnonzero(~known).tolist():
-                units[owners[of[i]]][open_[i]] += 1
-        return total, words, units
-
-    def _by_word(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str | None]]:
-        """Evidence of each word of a group, the part it is in, and its unit if the tables have to be asked.
-
-        A unit is the word with the ORDER - 1 characters before it and the blank after it.
-        """
-        points, numbers = _points(parts)
-        at, part = _scored_positions(numbers)
-        ratio, found, open_ = self.seen.get(_hashes(points, ORDER)[at])
-        ratio = ratio.astype(np.float64)
-        rest = np.flatnonzero(~found)
-        ratio[rest], _, more = self.unseen.get(_hashes(points, ORDER - 1)[at[rest]])
-        open_[rest] |= more
-        own = points[at + (ORDER - 1)]
-        hashes, starts = _word_hashes(own)
-        by_word, known, unknown = self.words.get(hashes)
-        evidence = np.add.reduceat(ratio, starts) + np.where(known, by_word, self.unseen_word)
-        unknown = unknown | np.logical_or.reduceat(open_, starts)
-        real = np.flatnonzero(own[starts] != 32)  # an empty text has but its last blank
-        ends = np.append(starts[1:], len(own)) - 1
-        text = "".join(parts)
-        units = [text[at[starts[i]] : at[ends[i]] + ORDER] if unknown[i] else None for i in real.tolist()]
-        return evidence[real], part[starts[real]], units
+    return words.select("word", ratio.alias("ratio")), float(np.log(left["toxic"] / left["ordinary"]))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-3) -> np.ndarray:
@@ -391,47 +222,61 @@ def fold():
 
 
 class Model:
-    """The evidence, as it was broadcast, the whole tables of ratios (seen, unseen, words), and the calibration."""
+    """The whole tables of ratios (grams seen, contexts, words), the ratio of an unseen word, and the calibration."""
 
-    def __init__(self, shared: Broadcast, tables: tuple[DataFrame, DataFrame, DataFrame], unseen_word: float):
-        self.shared, self.tables, self.unseen_word = shared, tables, unseen_word
+    def __init__(self, tables: tuple[DataFrame, DataFrame, DataFrame], unseen_word: float):
+        self.tables, self.unseen_word = tables, unseen_word
         self.weights = np.zeros(2)
 
 
-def _unit_evidence(units: DataFrame, model: Model) -> DataFrame:
-    """``unit`` and ``evidence`` of distinct units, from the whole tables."""
-    seen, unseen, words = model.tables
-    spelled = units.select("unit", F.explode(F.sequence(F.lit(1), F.char_length("unit") - (ORDER - 1))).alias("at"))
-    grams = spelled.select("unit", F.substring(F.col("unit"), F.col("at"), F.lit(ORDER)).alias("gram"))
+def evidence(words: DataFrame, model: Model) -> DataFrame:
+    """``id``, ``word``, ``n`` and ``evidence`` of distinct words (word, n), from the whole tables."""
+    seen, unseen, by_word = model.tables
+    named = words.select(F.xxhash64("word").alias("id"), "word", "n")
+    grams = spelled(named.select("id", "word"))
     own = grams.join(seen.select("gram", F.col("ratio").alias("own")), "gram", "left").withColumn("context", F.substring("gram", 1, ORDER - 1))
     both = own.join(unseen.select(F.col("gram").alias("context"), F.col("ratio").alias("other")), "context", "left")
-    by_gram = both.groupBy("unit").agg(F.sum(F.coalesce("own", "other", F.lit(0.0))).alias("grams"))
-    word = F.substring(F.col("unit"), F.lit(ORDER), F.char_length("unit") - ORDER)
-    by_word = words.select(F.col("gram").alias("name"), F.col("ratio").alias("whole"))
-    found = by_gram.withColumn("name", word).join(by_word, "name", "left")
-    return found.select("unit", (F.col("grams") + F.coalesce("whole", F.lit(model.unseen_word))).alias("evidence"))
+    by_gram = both.groupBy("id").agg(F.sum(F.coalesce("own", "other", F.lit(0.0))).alias("grams"))
+    found = named.join(by_gram, "id").join(by_word.select("word", F.col("ratio").alias("whole")), "word", "left")
+    return found.select("id", "word", "n", (F.col("grams") + F.coalesce("whole", F.lit(model.unseen_word))).alias("evidence"))
 
 
 def differences(rows: DataFrame, model: Model) -> DataFrame:
     """``id`` and ``x`` of every row (id, text): the log of the mean likelihood ratio of its words; 0 without words."""
-    shared = model.shared
+    vocabulary = word_counts(rows.select(F.lit(0).alias("toxic"), "text")).select("word", F.col("ordinary").alias("n"))
+    bounded = F.exp(F.greatest(F.least("evidence", F.lit(LIMIT)), F.lit(-LIMIT)))
+    known = written(evidence(written(vocabulary, "vocabulary"), model).withColumn("ratio", bounded), "evidence")
+    frequent = known.filter(F.char_length("word") <= CACHED_LENGTH).orderBy(F.desc("n"), "word").limit(CACHED).select("word", "ratio").toArrow()
+    words, ratios_ = (frequent.column(c).to_pylist() for c in ("word", "ratio"))
+    shared = rows.sparkSession.sparkContext.broadcast(dict(zip(words, ratios_, strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, number = TaskContext.get().partitionId(), 0
+        task, number, cache = TaskContext.get().partitionId(), 0, shared.value
         for batch in batches:
-            if batch.num_rows:
-                total, words, units = shared.value.sums(batch.column(1).to_pylist())
-                rows = pa.array((task << 40) + number + np.arange(batch.num_rows))
-                number += batch.num_rows
-                listed = pa.array([[{"unit": u, "n": n} for u, n in some.items()] for some in units], pa.list_(pa.struct([("unit", pa.string()), ("n", pa.int64())])))
-                yield pa.RecordBatch.from_pydict({"row": rows, "id": batch.column(0), "total": pa.array(total), "words": pa.array(words), "units": listed})
-
-    schema = f"row bigint, id {rows.schema['id'].dataType.simpleString()}, total double, words bigint, units array<struct<unit:string,n:bigint>>"
+            totals, sizes, others = [], [], []
+            for text in batch.column(1).to_pylist():
+                counted = Counter(words_of(text))
+                total, units = 0.0, []
+                for word, n in counted.items():
+                    ratio = cache.get(word)
+                    if ratio is None:
+                        units.append({"unit": int(np.uint64(xxhash.xxh64_intdigest(word.encode(), 42)).view(np.int64)), "n": n})
+                    else:
+                        total += ratio * n
+                totals.append(total)
+                sizes.append(counted.total())
+                others.append(units)
+            yield pa.RecordBatch.from_pydict({
+                "row": pa.array((task << 40) + number + np.arange(batch.num_rows)), "id": batch.column(0), "total": pa.array(totals, pa.float64()),
+                "words": pa.array(sizes, pa.int64()), "units": pa.array(others, pa.list_(pa.struct([("unit", pa.int64()), ("n", pa.int64())]))),
+            })
+            number += batch.num_rows
+
+    schema = f"row bigint, id {rows.schema['id'].dataType.simpleString()}, total double, words bigint, units array<struct<unit:bigint,n:bigint>>"
     summed = written(rows.select("id", "text").mapInArrow(run, schema), "sums")
     asked = summed.select("row", F.explode("units").alias("u")).select("row", "u.unit", "u.n")
-    known = written(_unit_evidence(asked.select("unit").distinct(), model), "units")
-    ratio = F.exp(F.greatest(F.least("evidence", F.lit(LIMIT)), F.lit(-LIMIT)))
-    more = asked.join(known, "unit").groupBy("row").agg(F.sum(ratio * F.col("n")).alias("more"))
+    found = asked.join(known.select(F.col("id").alias("unit"), "ratio"), "unit")
+    more = found.groupBy("row").agg(F.sum(F.col("ratio") * F.col("n")).alias("more"))
     whole = F.col("total") + F.coalesce("more", F.lit(0.0))
     x = F.when(F.col("words") > 0, F.log(whole / F.col("words"))).otherwise(0.0)
     return summed.drop("units").join(more, "row", "left").select("id", x.alias("x"))
@@ -447,14 +292,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     sample = written(ranked.drop("h"), "calibration")
     rest = known.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_anti")
     # One plan at every size: both sides are shuffled by id. The counting tasks are few and large, so that
-    # each n-gram is handed on by few of them.
+    # each word is handed on by few of them.
     training = texts(docs).join(rest.hint("merge"), "doc_id").select("toxic", "text")
-    counted = pinned(counts(training.coalesce(4 * docs.sparkSession.sparkContext.defaultParallelism)))
-    seen, unseen = (written(t, "ratios") for t in ratios(counted.filter("not word").drop("word")))
-    by_word, unseen_word = word_ratios(counted.filter("word").drop("word"))
-    by_word = written(by_word, "word-ratios")
-    evidence = Evidence(slots(seen, ORDER, GRAM_SLOTS), slots(unseen, ORDER - 1, CONTEXT_SLOTS), slots(by_word, None, WORD_SLOTS), unseen_word)
-    model = Model(docs.sparkSession.sparkContext.broadcast(evidence), (seen, unseen, by_word), unseen_word)
+    words, grams = counts(training.coalesce(4 * docs.sparkSession.sparkContext.defaultParallelism))
+    seen, unseen = (written(t, "ratios") for t in ratios(grams))
+    by_word, unseen_word = word_ratios(words)
+    model = Model((seen, unseen, written(by_word, "word-ratios")), unseen_word)
     chosen = texts(docs).join(F.broadcast(sample), "doc_id").select(F.col("toxic").alias("id"), "text")
     found = differences(chosen, model).select(F.col("id").alias("toxic"), "x").limit(2 * sample_rows).toPandas()
     order = np.lexsort((found["toxic"], found["x"]))

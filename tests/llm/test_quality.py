@@ -201,71 +201,111 @@ def test_counts_leave_out_the_calibration_sample_only(spark, monkeypatch):
     assert len(seen) == len(training) - 2 and {int(t.split()[0][4:]) for t in seen} < training
 
 
-def test_few_slots_lose_nothing(spark, sample, monkeypatch):
+def test_a_small_cache_loses_nothing(spark, sample, monkeypatch):
     labels = common.labels(spark, "/root/testdata/sf0.001")
-    few = sample.limit(40).unionByName(sample.limit(0)).cache()
+    few = sample.limit(40).cache()
     rows = few.selectExpr("doc_id as id", "text")
-    found = lambda: {r.id: r.x for r in toxicity.differences(rows, toxicity.learn(few, labels)).collect()}
+    model = toxicity.learn(few, labels)
+    found = lambda: {r.id: r.x for r in toxicity.differences(rows, model).collect()}
     want = found()
-    for name in ("GRAM_SLOTS", "CONTEXT_SLOTS", "WORD_SLOTS"):
-        monkeypatch.setattr(toxicity, name, 6)
+    monkeypatch.setattr(toxicity, "CACHED", 10)
     got = found()
-    assert len(set(want.values())) > 20 and got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-4 for d in want)
-
-
-def slow_counts(rows):
-    out = Counter()
-    for kind, text in rows:
-        p = toxicity.plain(text)
-        for i in range(len(p) - toxicity.ORDER + 1):
-            out[False, p[i : i + toxicity.ORDER], kind] += 1
-        for w in p.split():
-            out[True, w, kind] += 1
-    return out
-
-
-def test_kneser_ney_sums_to_one(spark):
-    rows = [(1, "bad words bad worse"), (0, "good words, better words"), (0, "été good")]
-    found = toxicity.counts(spark.createDataFrame(rows, "toxic int, text string")).cache()
-    want = slow_counts(rows)
-    assert {(r.word, r.gram): (r.toxic, r.ordinary) for r in found.collect()} == {
-        (w, g): (want[w, g, 1], want[w, g, 0]) for w, g, _ in want
-    }
-    grams = found.filter("not word").drop("word")
-    shared = {r.gram: r.p for r in toxicity._continued(grams).collect()}
-    # Lower orders: discounted mass plus backoff is a probability once all continuations of a context are seen.
-    lower = Counter(g[1:] for g in {r.gram for r in grams.collect()})
-    contexts = Counter()
-    for g, n in lower.items():
-        contexts[g[:-1]] += n
-    for g, n in lower.items():
-        assert shared[g] >= (n - toxicity.DISCOUNT) / contexts[g[:-1]] and shared[g] <= 1
+    assert len(set(want.values())) > 20 and got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-9 for d in want)
+
+
+class SlowModel:
+    """Both Kneser-Ney models by their formulas, over rows (toxic, text)."""
+
+    def __init__(self, rows):
+        self.words, self.grams = [Counter(), Counter()], [Counter(), Counter()]
+        for kind, text in rows:
+            for w in toxicity.words_of(text):
+                self.words[kind][w] += 1
+                self.grams[kind].update(self.of(w))
+        self.vocabulary = set(self.words[0]) | set(self.words[1])
+        # Continuations: a shorter gram counts once for each longer one that ends with it.
+        self.levels, current = {}, set(self.grams[0]) | set(self.grams[1])
+        for length in range(toxicity.ORDER - 1, 0, -1):
+            self.levels[length] = Counter(g[1:] for g in current)
+            current = set(self.levels[length])
+
+    @staticmethod
+    def of(word):
+        whole = " " * (toxicity.ORDER - 1) + word + " "
+        return [whole[i : i + toxicity.ORDER] for i in range(len(word) + 1)]
+
+    def shared(self, gram):
+        level = self.levels[len(gram)]
+        if len(gram) == 1:
+            return level[gram] / level.total()
+        after = {g: n for g, n in level.items() if g[:-1] == gram[:-1]}
+        total = sum(after.values())
+        return max(level[gram] - toxicity.DISCOUNT, 0) / total + toxicity.DISCOUNT * len(after) / total * self.shared(gram[1:])
+
+    def backoff(self, kind, context):
+        after = [n for g, n in self.grams[kind].items() if g[:-1] == context]
+        return toxicity.DISCOUNT * len(after) / sum(after) if after else 1.0
+
+    def probability(self, kind, gram):
+        total = sum(n for g, n in self.grams[kind].items() if g[:-1] == gram[:-1])
+        own = max(self.grams[kind][gram] - toxicity.DISCOUNT, 0) / total if total else 0.0
+        return own + self.backoff(kind, gram[:-1]) * self.shared(gram[1:])
+
+    def word(self, kind, word):
+        total, left = self.words[kind].total(), toxicity.DISCOUNT * len(self.words[kind])
+        return max(self.words[kind][word] - toxicity.DISCOUNT, 0) / total + left / total / len(self.vocabulary)
+
+    def evidence(self, word):
+        out = math.log(self.word(1, word) / self.word(0, word))
+        seen = set(self.grams[0]) | set(self.grams[1])
+        contexts = {g[:-1] for g in seen}
+        for gram in self.of(word):
+            if gram in seen:
+                out += math.log(self.probability(1, gram) / self.probability(0, gram))
+            elif gram[:-1] in contexts:
+                out += math.log(self.backoff(1, gram[:-1]) / self.backoff(0, gram[:-1]))
+        return out
+
+
+def test_scores_by_the_formulas(spark):
+    rows = [(1, "bad words bad worse"), (0, "good words, better words"), (0, "été good"), (1, "worst_bad")]
+    slow = SlowModel(rows)
+    words, grams = toxicity.counts(spark.createDataFrame(rows, "toxic int, text string"))
+    assert {r.word: (r.toxic, r.ordinary) for r in words.collect()} == {w: (slow.words[1][w], slow.words[0][w]) for w in slow.vocabulary}
+    assert {r.gram: (r.toxic, r.ordinary) for r in grams.collect()} == {g: (slow.grams[1][g], slow.grams[0][g]) for g in {*slow.grams[0], *slow.grams[1]}}
+    for r in toxicity._continued(grams).collect():
+        assert r.p == pytest.approx(slow.shared(r.gram))
+    # Over all grams that continue a context the probabilities sum to one, less what is left for those never seen there.
+    letters = {g for g in slow.levels[1]}
+    for context in {g[:-1] for g in slow.grams[0]}:
+        total = sum(slow.probability(0, context + c) if context[1:] + c in slow.levels[4] else slow.backoff(0, context) * unseen_after(slow, context[1:] + c) for c in letters)
+        assert total == pytest.approx(1)
+    assert sum(slow.word(1, w) for w in slow.vocabulary) == pytest.approx(1)
     seen, unseen = toxicity.ratios(grams)
-    by = {r.gram: r.ratio for r in seen.collect()}
-    assert by[" bad "[:5]] > 0 if " bad "[:5] in by else True
-    assert by["   go"] < 0 < by["   ba"] and all(math.isfinite(r.ratio) for r in unseen.collect())
-
-
-def test_long_texts_are_read_in_parts(monkeypatch):
-    texts = ["", "one", "été again and again, " * 30, "x" * 90 + " y " * 40, "last words"]
-    whole = list(toxicity._groups(texts))
-    assert len(whole) == 1
-    monkeypatch.setattr(toxicity, "TOGETHER", 37)
-    parts = [(p, int(o)) for group, owners in toxicity._groups(texts) for p, o in zip(group, owners, strict=True)]
-    assert len(parts) > 10
+    by_word, left = toxicity.word_ratios(words)
+    model = toxicity.Model((seen, unseen, by_word), left)
+    asked = ["bad", "good", "wor", "été", "zzz", "b", "betterment"]
+    texts = [*asked, "bad good zzz, bad", ""]
+    found = {r.id: r.x for r in toxicity.differences(spark.createDataFrame(list(enumerate(texts)), "id bigint, text string"), model).collect()}
     for i, text in enumerate(texts):
-        own = [p for p, o in parts if o == i]
-        joined = own[0] + "".join(p[toxicity.ORDER - 1 :] for p in own[1:])
-        assert joined == toxicity.plain(text) and all(p.endswith(" ") for p in own)
-        assert all(a[-(toxicity.ORDER - 1) :] == b[: toxicity.ORDER - 1] for a, b in zip(own, own[1:], strict=False))
-
-
-def test_word_hashes_tell_words_apart():
-    words = ["abc", "acb", "a", "ab", "été", "", "abcabc"]
-    points = np.frombuffer("".join(w + " " for w in words).encode("utf-32-le"), "<u4").astype(np.uint64)
-    hashes, starts = toxicity._word_hashes(points)
-    alone = [toxicity._word_hashes(np.frombuffer((w + " ").encode("utf-32-le"), "<u4").astype(np.uint64))[0][0] for w in words]
-    assert hashes.tolist() == alone and len(set(alone)) == len(words) and len(starts) == len(words)
+        ratios = [math.exp(max(-toxicity.LIMIT, min(toxicity.LIMIT, slow.evidence(w)))) for w in toxicity.words_of(text)]
+        assert found[i] == pytest.approx(math.log(sum(ratios) / len(ratios)) if ratios else 0.0)
+
+
+def unseen_after(slow, gram):
+    """The shared probability of a gram that was never continued: its backoff alone."""
+    if len(gram) == 1 or gram in slow.levels[len(gram)]:
+        return slow.shared(gram)
+    after = {g: n for g, n in slow.levels[len(gram)].items() if g[:-1] == gram[:-1]}
+    weight = toxicity.DISCOUNT * len(after) / sum(after.values()) if after else 1.0
+    return weight * unseen_after(slow, gram[1:])
+
+
+def test_long_words_are_spelled_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "HELD_GRAMS", 7)
+    words = [(1, "x" * 40, 2), (2, "ab", 3), (3, "été", 1)]
+    found = Counter(tuple(r) for r in toxicity.spelled(spark.createDataFrame(words, "id bigint, word string, n bigint")).collect())
+    assert found == Counter((i, g, n) for i, w, n in words for g in SlowModel.of(w))
 
 
 @pytest.fixture(scope="module")
