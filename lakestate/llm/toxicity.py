@@ -19,9 +19,9 @@ a bounded sample of training texts that the counts leave out, makes it a score.
 Counts cover all other labelled training texts and are Spark tables of words and
 n-grams, as large as the texts make them. A word's evidence depends on the word
 alone, so it is computed once for each distinct word of the texts to be scored,
-by equi-joins with the whole tables. The ``CACHED`` most frequent words are
-broadcast; texts are joined with the table for their other words only. So the
-cache decides what is fast, never what is known. Words are told apart by 64-bit
+from the whole tables. The ``CACHED`` most frequent n-grams, contexts and words are
+broadcast; words are joined with the tables for their other n-grams, and texts
+for their other words only. So the cache decides what is fast, never what is known. Words are told apart by 64-bit
 hashes where they are joined.
 
 Null and empty texts have no words and a difference of zero. Repeated rows get
@@ -47,7 +47,7 @@ from lakestate.session import pinned, written
 
 ORDER = 5
 DISCOUNT = 0.75
-#: Words that are broadcast, of at most CACHED_LENGTH characters.
+#: Grams, contexts and words that are broadcast (words of at most CACHED_LENGTH characters).
 CACHED, CACHED_LENGTH = 1 << 18, 64
 #: Largest evidence of a word, in nats.
 LIMIT = 8.0
@@ -156,7 +156,7 @@ def _continued(grams: DataFrame) -> DataFrame:
 
 
 def ratios(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Log-ratios of toxic to ordinary probability: of grams seen (``gram``, ``ratio``), and of
+    """Log-ratios of toxic to ordinary probability: of grams seen (``gram``, ``weight``, ``ratio``), and of
     contexts for anything unseen after them (``gram`` is the context)."""
     context = F.substring("gram", 1, ORDER - 1)
     has = lambda c: F.sum(F.when(F.col(c) > 0, 1).otherwise(0))
@@ -172,10 +172,10 @@ def ratios(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     seen = (
         grams.withColumn("context", context).join(sums, "context").withColumn("lower", F.substring("gram", 2, ORDER - 1)).join(shared, "lower")
-        .select("gram", (F.log(probability("toxic")) - F.log(probability("ordinary"))).alias("ratio"))
+        .select("gram", (F.col("toxic") + F.col("ordinary")).alias("weight"), (F.log(probability("toxic")) - F.log(probability("ordinary"))).alias("ratio"))
     )
     unseen = sums.select(
-        F.col("context").alias("gram"), (F.log(backoff("toxic")) - F.log(backoff("ordinary"))).alias("ratio")
+        F.col("context").alias("gram"), (F.col("t_toxic") + F.col("t_ordinary")).alias("weight"), (F.log(backoff("toxic")) - F.log(backoff("ordinary"))).alias("ratio")
     )
     return seen, unseen
 
@@ -229,16 +229,63 @@ class Model:
         self.weights = np.zeros(2)
 
 
+def _frequent(table: DataFrame) -> tuple[dict[str, float], bool]:
+    """The ratios of the CACHED most frequent grams of a table, and whether these are all."""
+    rows = table.orderBy(F.desc("weight"), "gram").limit(CACHED + 1).select("gram", "ratio").toArrow()
+    grams, ratios_ = (rows.column(c).to_pylist()[:CACHED] for c in ("gram", "ratio"))
+    return dict(zip(grams, ratios_, strict=True)), rows.num_rows <= CACHED
+
+
+def _summed(words: DataFrame, model: Model) -> DataFrame:
+    """``id``, ``word``, ``n``, ``known``, ``others`` of words (id, word, n): the sum of the ratios that the cache
+    tells, and the grams that only the whole tables can. A long word has further rows without word and n."""
+    shared = words.sparkSession.sparkContext.broadcast((*_frequent(model.tables[0]), *_frequent(model.tables[1])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, all_seen, unseen, all_unseen = shared.value
+        for batch in batches:
+            rows: list[dict] = []
+            held = 0
+            for ident, word, n in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                whole = " " * (ORDER - 1) + word + " "
+                for start in range(0, len(word) + 1, HELD_GRAMS):
+                    known, others = 0.0, []
+                    for j in range(start, min(len(word) + 1, start + HELD_GRAMS)):
+                        gram = whole[j : j + ORDER]
+                        ratio = seen.get(gram)
+                        if ratio is None and all_seen:
+                            ratio = unseen.get(gram[:-1], 0.0 if all_unseen else None)
+                        if ratio is None:
+                            others.append(gram)
+                        else:
+                            known += ratio
+                    rows.append({"id": ident, "word": None if start else word, "n": None if start else n, "known": known, "others": others})
+                    held += len(others)
+                    if held >= HELD_GRAMS:
+                        yield pa.RecordBatch.from_pylist(rows, _SUMMED)
+                        rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, _SUMMED)
+
+    return words.select("id", "word", "n").mapInArrow(run, "id bigint, word string, n bigint, known double, others array<string>")
+
+
+_SUMMED = pa.schema([("id", pa.int64()), ("word", pa.string()), ("n", pa.int64()), ("known", pa.float64()), ("others", pa.list_(pa.string()))])
+
+
 def evidence(words: DataFrame, model: Model) -> DataFrame:
     """``id``, ``word``, ``n`` and ``evidence`` of distinct words (word, n), from the whole tables."""
     seen, unseen, by_word = model.tables
-    named = words.select(F.xxhash64("word").alias("id"), "word", "n")
-    grams = spelled(named.select("id", "word"))
+    rows = written(_summed(words.select(F.xxhash64("word").alias("id"), "word", "n"), model), "spelled")
+    grams = rows.select("id", F.explode("others").alias("gram"))
     own = grams.join(seen.select("gram", F.col("ratio").alias("own")), "gram", "left").withColumn("context", F.substring("gram", 1, ORDER - 1))
     both = own.join(unseen.select(F.col("gram").alias("context"), F.col("ratio").alias("other")), "context", "left")
-    by_gram = both.groupBy("id").agg(F.sum(F.coalesce("own", "other", F.lit(0.0))).alias("grams"))
-    found = named.join(by_gram, "id").join(by_word.select("word", F.col("ratio").alias("whole")), "word", "left")
-    return found.select("id", "word", "n", (F.col("grams") + F.coalesce("whole", F.lit(model.unseen_word))).alias("evidence"))
+    asked = both.select("id", F.coalesce("own", "other", F.lit(0.0)).alias("ratio"))
+    further = rows.filter("word IS NULL").select("id", F.col("known").alias("ratio"))
+    more = asked.unionByName(further).groupBy("id").agg(F.sum("ratio").alias("more"))
+    found = rows.filter("word IS NOT NULL").join(more, "id", "left").join(by_word.select("word", F.col("ratio").alias("whole")), "word", "left")
+    whole = F.col("known") + F.coalesce("more", F.lit(0.0)) + F.coalesce("whole", F.lit(model.unseen_word))
+    return found.select("id", "word", "n", whole.alias("evidence"))
 
 
 def differences(rows: DataFrame, model: Model) -> DataFrame:

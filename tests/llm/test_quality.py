@@ -267,7 +267,10 @@ class SlowModel:
         return out
 
 
-def test_scores_by_the_formulas(spark):
+@pytest.mark.parametrize(("cached", "held"), [(1 << 18, 100_000), (5, 3)])
+def test_scores_by_the_formulas(spark, monkeypatch, cached, held):
+    monkeypatch.setattr(toxicity, "CACHED", cached)
+    monkeypatch.setattr(toxicity, "HELD_GRAMS", held)
     rows = [(1, "bad words bad worse"), (0, "good words, better words"), (0, "été good"), (1, "worst_bad")]
     slow = SlowModel(rows)
     words, grams = toxicity.counts(spark.createDataFrame(rows, "toxic int, text string"))
