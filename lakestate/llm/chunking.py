@@ -7,8 +7,9 @@ A chunk may end before a word where the hash of the bytes before it has
 insertion moves only the ends next to it. Chunks have ``min_words`` to
 ``max_words`` words and are identified by a 128-bit digest of their words.
 
-The first document (smallest id) with a chunk keeps it, and within a document
-its first occurrence; all others are duplicates. Duplicate chunks that follow
+The first document with a chunk keeps it, by ascending id (null ids last) and then
+by the hash of the text, and within a document its first occurrence; all others
+are duplicates. Duplicate chunks that follow
 each other form a run; runs of ``min_run`` words or more are cut out of the text.
 Shorter runs (a shared line, a common phrase) stay.
 
@@ -17,10 +18,10 @@ equi-join on the digest whose hot keys Spark can split; a digest shared by any
 share of the documents never meets in one task. Texts are shuffled once, to meet
 their own spans.
 
-Null and empty texts have no chunks and stay as they are. Rows with one id and
-one text are one document and get equal results; rows with one id and different
-texts keep what they share. Null ids count as the largest id. An empty table
-gives no rows.
+Null and empty texts have no chunks and stay as they are. Rows that have both the
+id (or none) and the text in common are repeats of one document and get equal
+results; rows that share an id, or have none, with different texts are documents
+of their own. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakestate.llm.common import mixed, per_batch, settle, utf8
@@ -100,14 +101,22 @@ def chunks_of(text: bytes, min_words: int = MIN_WORDS, cut_bits: int = CUT_BITS,
     return [(digest(b" ".join(words[a:b])), a, b - a, int(starts[a])) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-CHUNKS = "owner bigint, mark bigint, high bigint, low bigint, first_word int, words int, again boolean"
+CHUNKS = "owner decimal(38,0), high bigint, low bigint, first_word int, words int, again boolean"
+#: Bits of the text's hash in an owner: with 64 of the id they fit a decimal of 38 digits.
+_MARK_BITS = 61
+
+
+def _owner() -> Column:
+    """One number that orders documents by id, null ids last, and by a hash of their text."""
+    number = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).cast("decimal(19,0)")
+    mark = F.xxhash64(F.col("text").cast("string")).bitwiseAND(F.lit((1 << _MARK_BITS) - 1)).cast("decimal(19,0)")
+    return (number * F.lit(1 << _MARK_BITS).cast("decimal(19,0)") + mark).cast("decimal(38,0)")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Texts with the order of their documents (``owner``) and a hash of the text (``mark``)."""
+    """Texts with the place of their documents in the order (``owner``)."""
     settle(docs.sparkSession)
-    text = F.col("text").cast("string")
-    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("owner"), F.xxhash64(text).alias("mark"), F.coalesce(text, F.lit("")).alias("text"))
+    return docs.select(_owner().alias("owner"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def chunks(docs: DataFrame, min_words: int = MIN_WORDS, cut_bits: int = CUT_BITS, max_words: int = MAX_WORDS) -> DataFrame:
@@ -127,7 +136,7 @@ def chunks(docs: DataFrame, min_words: int = MIN_WORDS, cut_bits: int = CUT_BITS
         at = pa.array(at, pa.int32())
         half = (1 << 64) - 1
         return {
-            "owner": batch.column(0).take(at), "mark": batch.column(1).take(at),
+            "owner": batch.column(0).take(at),
             "high": pa.array(np.array([c[0] >> 64 for c in found], np.uint64).view(np.int64)),
             "low": pa.array(np.array([c[0] & half for c in found], np.uint64).view(np.int64)),
             "first_word": pa.array([c[1] for c in found], pa.int32()), "words": pa.array([c[2] for c in found], pa.int32()),
@@ -138,18 +147,18 @@ def chunks(docs: DataFrame, min_words: int = MIN_WORDS, cut_bits: int = CUT_BITS
 
 
 def duplicates(docs: DataFrame, min_words: int = MIN_WORDS, cut_bits: int = CUT_BITS, max_words: int = MAX_WORDS) -> DataFrame:
-    """Chunks that an earlier document, or their own text before, has: owner, mark, first_word, words, first_owner."""
-    found = chunks(docs, min_words, cut_bits, max_words)
+    """Chunks that an earlier document, or their own text before, has: owner, first_word, words, first_owner."""
+    found = written(chunks(docs, min_words, cut_bits, max_words), "chunks")
     seen = found.filter("not again").groupBy("high", "low").agg(F.min("owner").alias("first_owner"), F.max("owner").alias("last_owner"))
     shared = written(seen.filter("first_owner < last_owner").select("high", "low", "first_owner"), "shared-chunks")
     met = found.join(shared, ["high", "low"], "left").filter("again or first_owner < owner")
-    return met.select("owner", "mark", "first_word", "words", F.coalesce("first_owner", "owner").alias("first_owner"))
+    return met.select("owner", "first_word", "words", F.coalesce("first_owner", "owner").alias("first_owner"))
 
 
 def runs(spans: list[dict], min_run: int) -> list[tuple[int, int, list[int]]]:
     """Runs (first word, end word, first owners) of duplicate chunks of ``min_run`` words or more."""
     out: list[tuple[int, int, list[int]]] = []
-    for span in sorted({(s["first_word"], s["words"], s["first_owner"]) for s in spans}):
+    for span in sorted((s["first_word"], s["words"], s["first_owner"]) for s in spans):
         if out and out[-1][1] == span[0]:
             begin, _, owners = out[-1]
             out[-1] = (begin, span[0] + span[1], owners + [span[2]])
@@ -172,8 +181,8 @@ def cut_out(text: bytes, found: list[tuple[int, int, list[int]]]) -> tuple[bytes
 
 
 def _spans(docs: DataFrame, min_words: int, cut_bits: int, max_words: int) -> DataFrame:
-    return duplicates(docs, min_words, cut_bits, max_words).groupBy("owner", "mark").agg(
-        F.collect_list(F.struct("first_word", "words", "first_owner")).alias("__spans")
+    return duplicates(docs, min_words, cut_bits, max_words).groupBy("owner").agg(
+        F.collect_set(F.struct("first_word", "words", "first_owner")).alias("__spans")
     )
 
 
@@ -188,7 +197,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, cut_bits: int = CUT_BITS,
     with a null id has that id left out of the list.
     """
     spans = _spans(docs, min_words, cut_bits, max_words)
-    rows = _keyed(docs).join(spans, ["owner", "mark"], "left").select("owner", "text", "__spans")
+    rows = _keyed(docs.select("doc_id", "text")).join(spans, "owner", "left").select("owner", "text", "__spans")
 
     def step(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {name: [] for name in ("n_words", "n_removed_words", "n_runs", "removed", "first_doc_ids", "text")}
@@ -199,10 +208,10 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, cut_bits: int = CUT_BITS,
             out["n_removed_words"].append(sum(e - b for b, e, _ in found))
             out["n_runs"].append(len(found))
             out["removed"].append(",".join(f"{b}:{e}" for b, e in cut))
-            out["first_doc_ids"].append(sorted({o for _, _, owners in found for o in owners if o != _LAST}))
+            firsts = {int(o) >> _MARK_BITS for _, _, owners in found for o in owners}
+            out["first_doc_ids"].append(sorted(firsts - {_LAST}))
             out["text"].append(left.decode())
-        owner = batch.column(0)
-        numbers = owner.to_numpy()
+        numbers = np.array([int(o) >> _MARK_BITS for o in batch.column(0).to_pylist()], dtype=np.int64)
         return {"doc_id": pa.array(numbers, mask=numbers == _LAST)} | {
             k: pa.array(v, pa.list_(pa.int64()) if k == "first_doc_ids" else pa.string() if k in ("removed", "text") else pa.int64()) for k, v in out.items()
         }
@@ -212,7 +221,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, cut_bits: int = CUT_BITS,
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, cut_bits: int = CUT_BITS, max_words: int = MAX_WORDS, min_run: int = MIN_RUN) -> DataFrame:
     """``docs`` with duplicate runs cut out of their texts; all rows and other columns stay."""
-    spans = _spans(docs, min_words, cut_bits, max_words).withColumnsRenamed({"owner": "__owner", "mark": "__mark"})
+    spans = _spans(docs, min_words, cut_bits, max_words).withColumnRenamed("owner", "__owner")
 
     def shorten(text: pa.Array, found: pa.Array) -> pa.Array:
         out = text.to_pylist()
@@ -223,6 +232,5 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, cut_bits: int =
         return pa.array(out, pa.string())
 
     settle(docs.sparkSession)
-    owner = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST))
-    joined = docs.join(spans, (owner == F.col("__owner")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__mark")), "left")
-    return joined.withColumn("text", F.arrow_udf(shorten, "string")(F.col("text"), F.col("__spans"))).drop("__owner", "__mark", "__spans")
+    joined = docs.join(spans, _owner() == F.col("__owner"), "left")
+    return joined.withColumn("text", F.arrow_udf(shorten, "string")(F.col("text"), F.col("__spans"))).drop("__owner", "__spans")

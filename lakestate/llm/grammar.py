@@ -198,7 +198,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, pa
     """
     rows = texts(docs)
     count = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.withColumn("__tie", F.xxhash64("text")).repartitionByRange(count, "doc_id").sortWithinPartitions("doc_id", "__tie")
+    ordered = rows.withColumn("__tie", F.xxhash64("text")).repartitionByRange(count, "doc_id", "__tie").sortWithinPartitions("doc_id", "__tie")
     ordered.select("doc_id", "text").mapInArrow(_shards(tokenizer, end_id, block_ids), FILE).write.parquet(path)
 
 

@@ -276,25 +276,39 @@ def test_a_passage_is_removed_wherever_it_moved(spark):
 
 
 def slow_dedup(rows):
-    """Duplicate chunks by a dictionary over all texts."""
+    """Duplicate chunks by a dictionary over all texts; documents in the order of id (null last) and text hash."""
+    place = lambda d, t: ((1 << 63) - 1 if d is None else d, xxhash.xxh64_intdigest((t or "").encode(), 42) & ((1 << 61) - 1))
     first = {}
     for d, t in rows:
         for c in chunking.chunks_of((t or "").encode()):
-            order = (1 << 63) - 1 if d is None else d
-            first[c[0]] = min(first.get(c[0], order), order)
+            first[c[0]] = min(first.get(c[0], place(d, t)), place(d, t))
     out = []
     for d, t in rows:
         raw = (t or "").encode()
-        order = (1 << 63) - 1 if d is None else d
         seen, spans = set(), []
         for c in chunking.chunks_of(raw):
-            if c[0] in seen or first[c[0]] < order:
+            if c[0] in seen or first[c[0]] < place(d, t):
                 spans.append({"first_word": c[1], "words": c[2], "first_owner": first[c[0]]})
             seen.add(c[0])
         out.append((d, chunking.cut_out(raw, chunking.runs(spans, chunking.MIN_RUN))[0].decode()))
     return Counter(out)
 
 
+def test_texts_that_share_an_id_or_have_none_lose_what_they_share(spark):
+    rng = random.Random(8)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    passage = words(80)
+    texts = [passage] + [f"{passage} {words(30)}" for _ in range(40)]
+    for ids in ([None] * len(texts), [5] * len(texts), [None if i % 2 else i // 4 for i in range(len(texts))], [-(1 << 62)] * len(texts)):
+        rows = list(zip(ids, texts, strict=True))
+        found = chunking.dedup(frame(spark, rows)).collect()
+        assert Counter((r.doc_id, r.text) for r in found) == slow_dedup(rows)
+        assert sum(r.n_removed_words >= 60 for r in found) == len(texts) - 1
+        assert all(set(r.first_doc_ids) <= set(ids) - {None} for r in found)
+    same = chunking.dedup(frame(spark, [(None, passage), (None, passage), (4, passage)])).collect()
+    assert sorted((r.doc_id or 0, r.n_removed_words > 60) for r in same) == [(0, True), (0, True), (4, False)]
+
+
 def test_chunks_by_brute_force(odd, sample, none):
     assert Counter((r.doc_id, r.text) for r in chunking.dedup(odd).collect()) == slow_dedup(ODD)
     rows = [(r.doc_id, r.text) for r in sample.collect()]
