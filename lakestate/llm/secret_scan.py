@@ -3,9 +3,9 @@
 Ordinary words, also foreign and rare ones, take few tokens of a byte-pair
 vocabulary for their characters; a random string takes about one token for each
 one or two. Long runs of the characters that keys are written in, with letters
-and digits in them, are secrets if they have few characters per token under a
-tiktoken vocabulary. Left out are what is known to look random and is none: hex
-digests of the usual lengths, UUIDs, dates and times, and identifiers, which are
+in them, are secrets if they have few characters per token under a tiktoken
+vocabulary. Left out are what is known to look random and is none: hex
+digests of the usual lengths, UUIDs, dates and times, alphabets, and identifiers, which are
 runs whose parts between separators are mostly words, by the same ratio. Where
 the run as a whole is none, neighbouring parts that are no words, numbers or
 known forms are weighed by themselves, so a path or a name before a key does not
@@ -49,6 +49,8 @@ _RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 _HEX_ONLY = re.compile(r"[0-9a-fA-F]+")
 DIGEST_LENGTHS = frozenset({32, 40, 56, 64, 96, 128})
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
+# Fixed value: the base-64 alphabet without case; a stretch of it is no key.
+_ALPHABET = "abcdefghijklmnopqrstuvwxyzabcdefghijklmnopqrstuvwxyz0123456789+/"
 _TIME = re.compile(r"\d{4}-?\d\d-?\d\d(?:[T_-]?\d\d-?\d\d-?\d\d)?(?:Z|[+-]\d+)?")
 #: Between separators; UUIDs and times keep theirs.
 _PART = re.compile(rf"(?<![A-Za-z0-9])(?:{_UUID.pattern}|{_TIME.pattern})(?![A-Za-z0-9])|[A-Za-z0-9]+")
@@ -67,7 +69,9 @@ def vocabulary(path: str):
 
 
 def is_known(run: str) -> bool:
-    """Digests, UUIDs and times."""
+    """Digests, UUIDs, times and alphabets."""
+    if run.lower() in _ALPHABET:
+        return True
     if _HEX_ONLY.fullmatch(run):
         return len(run) in DIGEST_LENGTHS
     return bool(_UUID.fullmatch(run) or _TIME.fullmatch(run))
@@ -87,8 +91,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _is_random(run: str, path: str, max_ratio: float) -> bool:
-    mixed = len(run) >= MIN_RUN and any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
-    return mixed and not is_known(run) and characters_per_token(run, path) < max_ratio
+    lettered = len(run) >= MIN_RUN and any(c.isalpha() for c in run)
+    return lettered and not is_known(run) and characters_per_token(run, path) < max_ratio
 
 
 def _random_parts(run: str, path: str, max_ratio: float) -> list[tuple[int, int]]:
@@ -113,7 +117,7 @@ def random_spans(text: str, path: str, max_ratio: float = MAX_RATIO) -> list[tup
     found = []
     for m in _RUN.finditer(text):
         run = m.group().strip("=-_/+")
-        if len(run) < MIN_RUN or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run) or is_known(run):
+        if len(run) < MIN_RUN or not any(c.isalpha() for c in run) or is_known(run):
             continue
         start = m.start() + m.group().index(run)
         found += [(start + a, 3, start + b) for a, b in _random_parts(run, path, max_ratio)]

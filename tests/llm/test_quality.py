@@ -128,6 +128,21 @@ def test_keys_of_any_alphabet_and_behind_paths_are_found():
         assert not secret_scan.random_spans(plain, RANKS)
 
 
+def test_keys_of_letters_alone_are_found_and_words_are_not():
+    rng = random.Random(7)
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    for alphabet, size, least in ((lower, 20, 0.85), (lower, 40, 0.93), (lower.upper(), 20, 0.95), (lower + lower.upper(), 20, 0.99)):
+        for before in ("", "/data/projects/production/"):
+            keys = ["".join(rng.choice(alphabet) for _ in range(size)) for _ in range(200)]
+            found = [secret_scan.random_spans(before + k, RANKS) for k in keys]
+            assert sum(any(a <= len(before) and b == len(before) + size for a, _, b in f) for f in found) >= least * len(keys)
+    plain = [
+        "Donaudampfschifffahrtsgesellschaftskapitaen", "XMLHttpRequestEventTarget", "AbstractSingletonProxyFactoryBean", "lentokonesuihkuturbiinimoottori",
+        "antidisestablishmentarianism", "org/apache/commons/lang", "getElementsByTagNameAndClassName", "a" * 30, "ha" * 15, "x" * 5_000, lower, "INTERNAL_SERVER_ERROR_RESPONSE",
+    ]
+    assert [p for p in plain if secret_scan.random_spans(p, RANKS)] == []
+
+
 def test_scan_and_mask(spark, odd, none):
     rows = list(enumerate(SECRETS + ["nothing to see"]))
     found = {r.doc_id: r for r in secret_scan.scan(frame(spark, rows), RANKS).collect()}
