@@ -18,9 +18,11 @@ def plain(text: Column) -> Column:
     return F.collate(text, "UTF8_BINARY")
 
 
-def with_ordinal(df: DataFrame, keys: list[str], order: list[str], name: str = "ordinal") -> DataFrame:
+def with_ordinal(df: DataFrame, keys: list[str], order: list[str], name: str = "ordinal", totals: dict[str, str] | None = None) -> DataFrame:
     """Dense 1-based position of each row within ``keys`` in ``order``.
 
+    ``totals`` names columns to be added up to each row, by the names of their sums.
+
     Works however many rows one key holds: rows are range-partitioned by key
     and order, counted within (partition, key), and shifted by what the key's
     earlier partitions hold. Only keys that span partitions need a shift, and
@@ -32,19 +34,22 @@ def with_ordinal(df: DataFrame, keys: list[str], order: list[str], name: str = "
         df.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id())
     )
     local = Window.partitionBy("__part", *keys).orderBy(*order)
-    counted = ranged.groupBy("__part", *keys).agg(F.count(F.lit(1)).alias("__n"))
+    upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = {name: F.count(F.lit(1))} | {total: F.sum(of) for of, total in (totals or {}).items()}
+    here = {name: F.row_number().over(local).cast("bigint")} | {total: F.sum(of).over(upto) for of, total in (totals or {}).items()}
+    counted = ranged.groupBy("__part", *keys).agg(*[s.alias(f"__of_{c}") for c, s in sums.items()])
     spans = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("__parts")).filter("__parts > 1")
     earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = (
         counted.join(F.broadcast(spans.drop("__parts")), keys, "left_semi")
-        .withColumn("__shift", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
-        .drop("__n")
+        .withColumns({f"__shift_{c}": F.coalesce(F.sum(f"__of_{c}").over(earlier), F.lit(0)) for c in sums})
+        .drop(*[f"__of_{c}" for c in sums])
     )
     return (
-        ranged.withColumn(name, F.row_number().over(local).cast("bigint"))
+        ranged.withColumns(here)
         .join(F.broadcast(shifts), ["__part", *keys], "left")
-        .withColumn(name, F.col(name) + F.coalesce(F.col("__shift"), F.lit(0)))
-        .drop("__part", "__shift")
+        .withColumns({c: F.col(c) + F.coalesce(F.col(f"__shift_{c}"), F.lit(0)) for c in sums})
+        .drop("__part", *[f"__shift_{c}" for c in sums])
     )
 
 

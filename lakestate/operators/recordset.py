@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakestate.session import pinned
+
 from lakestate.functions.values import json_list
 
 DESCRIPTOR = ["key", "kind", "record_id", "payload_digest", "payload_bytes", "fingerprint"]
@@ -119,6 +121,31 @@ def transfer_bytes(recs: DataFrame) -> DataFrame:
     return recs.select("key", wire.alias("wire_bytes"))
 
 
+def transfer_batches(recs: DataFrame, scope: list[str], max_rows: int, max_bytes: int) -> DataFrame:
+    """Batches of records in key order, cut by rows and by bytes on the wire: batch, n, wire_bytes, first and last key.
+
+    A key that stands for different records is not sent: its rows come out with the
+    rule ``collision`` and no batch, one per key; repeats of one record travel once.
+    """
+    from lakestate.sources.feeds import byte_bounded_pages
+
+    told = recs.groupBy(*scope, "key").agg(
+        F.min("fingerprint").alias("low"), F.max("fingerprint").alias("high"),
+        F.max(F.octet_length(F.to_json(F.struct(*DESCRIPTOR, "payload"))).cast("bigint")).alias("wire_bytes"),
+    )
+    told = pinned(told)
+    single = told.filter("low = high").select(*scope, "key", "wire_bytes")
+    batches = byte_bounded_pages(single, scope, "key", "wire_bytes", max_rows, max_bytes).join(single, [*scope, "key"])
+    out = batches.groupBy(*scope, F.col("page").alias("batch")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("wire_bytes").alias("wire_bytes"), F.min("key").alias("first_key"), F.max("key").alias("last_key")
+    ).withColumn("rule", F.lit(None).cast("string"))
+    refused = told.filter("low <> high").select(
+        *scope, F.lit(None).cast("int").alias("batch"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("wire_bytes"),
+        F.col("key").alias("first_key"), F.col("key").alias("last_key"), F.lit("collision").alias("rule"),
+    )
+    return out.unionByName(refused)
+
+
 def export(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """K8: typed tables as (kind, record_id, payload): canonical JSON without nulls."""
     parts = [

@@ -159,6 +159,36 @@ def transfer_bytes(lake: Lake) -> DataFrame:
     return xs.transfer_bytes(_left(lake)).agg(F.sum("wire_bytes").alias("wire_bytes"), F.count(F.lit(1)).alias("n"))
 
 
+WIRE = """strlen('{"key":"' || key || '","kind":"observation","record_id":"' || record_id || '","payload_digest":"' || payload_digest
+         || '","payload_bytes":' || payload_bytes || ',"fingerprint":"' || fingerprint || '","payload":"' || replace(payload, '"', '\\"') || '"}')"""
+
+
+@query(
+    "transfer_batches",
+    """SELECT leaf, batch, n, wire_bytes, first_key, rule FROM (
+         SELECT leaf, page AS batch, count(*) AS n, CAST(sum(b) AS BIGINT) AS wire_bytes, min(key) AS first_key, CAST(NULL AS VARCHAR) AS rule
+         FROM folded WHERE key IS NOT NULL GROUP BY 1, 2
+         UNION ALL SELECT leaf, NULL, 0, 0, key, 'collision' FROM both_desc GROUP BY leaf, key HAVING count(DISTINCT fingerprint) > 1)""",
+    {
+        **_views(8),
+        "both_desc": "SELECT * FROM left_desc UNION ALL SELECT * FROM right_desc",
+        "placed": f"""SELECT leaf, key, max(CAST({WIRE} AS BIGINT)) AS b, row_number() OVER (PARTITION BY leaf ORDER BY key) AS rn
+            FROM both_desc GROUP BY leaf, key HAVING count(DISTINCT fingerprint) = 1""",
+        "folded": """RECURSIVE
+            SELECT DISTINCT leaf, CAST(0 AS BIGINT) AS rn, 0 AS page, 0 AS n, CAST(0 AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS b, CAST(NULL AS VARCHAR) AS key FROM placed
+            UNION ALL
+            SELECT f.leaf, p.rn, CASE WHEN f.page > 0 AND f.n < 16 AND f.bytes + p.b <= 6000 THEN f.page ELSE f.page + 1 END,
+              CASE WHEN f.page > 0 AND f.n < 16 AND f.bytes + p.b <= 6000 THEN f.n + 1 ELSE 1 END,
+              CASE WHEN f.page > 0 AND f.n < 16 AND f.bytes + p.b <= 6000 THEN f.bytes + p.b ELSE p.b END, p.b, p.key
+            FROM folded f JOIN placed p ON p.leaf = f.leaf AND p.rn = f.rn + 1""",
+    },
+)
+def transfer_batches(lake: Lake) -> DataFrame:
+    """Both replicas' records as batches per leaf; keys on which they disagree are refused."""
+    both = _left(lake).unionByName(_right(lake)).withColumn("leaf", mk.leaf_id(F.col("key"), 8))
+    return xs.transfer_batches(both, ["leaf"], 16, 6000).drop("last_key")
+
+
 @query("merkle_leaves", "SELECT leaf, hash, n FROM left_leaves", _views())
 def merkle_leaves(lake: Lake) -> DataFrame:
     return mk.leaves(_left(lake), BITS)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lakestate.functions import text as tx
 from lakestate.functions import values as vl
+from lakestate.functions.ordering import as_of_lookup, with_ordinal
+from lakestate.session import pinned
 
 CHANGE_SCHEMA = (
     "source_key string, change_id string, external_type string, external_id string, kind string, effective_at timestamp, "
@@ -132,22 +134,33 @@ def keyset_page(df: DataFrame, key: str, after: str, n: int) -> DataFrame:
 
 def byte_bounded_pages(df: DataFrame, scope: list[str], key: str, size: str, max_rows: int, max_bytes: int) -> DataFrame:
     """A page number for every row: pages of a scope are filled in key order up to
-    a row and a byte limit. The scope is a tree leaf, or a leaf and further digits of
-    the key hash, so that its rows are few: n / 2^24 with a 16-bit leaf and two digits."""
-    lists = df.groupBy(*scope).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(size).cast("bigint").alias("b")))).alias("rows"))
-    start = F.struct(
-        F.lit(0).alias("page"), F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("bytes"),
-        F.array().cast("array<struct<k:string,page:int>>").alias("out"),
+    a row and a byte limit; a row above the limit has a page of its own. A scope may hold any
+    share of the rows, as nothing is gathered by scope.
+
+    Where the page that begins at a row would end follows from running sums. Which
+    rows do begin one is found by doubling: the row 1, 2, 4, ... pages on, by a self-join on
+    positions each time, in as many rounds as the logarithm of the largest scope's
+    pages; rows whose scope ends before that leave. A page's number is the sum of the steps
+    taken to its first row. Null sizes count as zero; keys are unique within a scope.
+    """
+    sized = df.select(*scope, key, F.coalesce(F.col(size).cast("bigint"), F.lit(0)).alias("__size"))
+    placed = pinned(with_ordinal(sized, scope, [key], "__at", {"__size": "__upto"}))
+    room = placed.select(*scope, "__at", (F.col("__upto") - F.col("__size") + max_bytes).alias("__room"))
+    ends = placed.groupBy(*scope, "__upto").agg(F.max("__at").alias("__last"))
+    fits = as_of_lookup(room, ends, scope, "__room", "__upto").select(*scope, "__at", "__last")
+    last = F.least(F.greatest(F.col("__at"), F.coalesce("__last", F.col("__at"))), F.col("__at") + (max_rows - 1))
+    step = placed.select(*scope, "__at").join(fits, [*scope, "__at"], "left").select(*scope, "__at", (last + 1).alias("__next"))
+    jumps = [pinned(step)]
+    while not jumps[-1].isEmpty():
+        further = jumps[-1].select(*scope, F.col("__at").alias("__next"), F.col("__next").alias("__further"))
+        jumps.append(pinned(jumps[-1].join(further, [*scope, "__next"]).select(*scope, "__at", F.col("__further").alias("__next"))))
+    starts = placed.filter("__at = 1").select(*scope, "__at", F.lit(1).alias("page"))
+    for k in range(len(jumps) - 2, -1, -1):
+        here = F.struct(F.col("__at"), F.col("page"))
+        on = F.when(F.col("__next").isNotNull(), F.struct(F.col("__next").alias("__at"), (F.col("page") + (1 << k)).alias("page")))
+        both = F.explode(F.array_compact(F.array(here, on))).alias("__start")
+        starts = starts.join(jumps[k], [*scope, "__at"], "left").select(*scope, both).select(*scope, "__start.*")
+    members = starts.join(jumps[0], [*scope, "__at"]).select(
+        *scope, "page", F.explode(F.sequence(F.col("__at"), F.col("__next") - 1)).alias("__at")
     )
-
-    def step(s: Column, r: Column) -> Column:
-        fits = (s["page"] > 0) & (s["n"] < max_rows) & (s["bytes"] + r["b"] <= max_bytes)
-        page = F.when(fits, s["page"]).otherwise(s["page"] + 1)
-        return F.struct(
-            page.alias("page"), F.when(fits, s["n"] + 1).otherwise(F.lit(1)).alias("n"),
-            F.when(fits, s["bytes"] + r["b"]).otherwise(r["b"]).alias("bytes"),
-            F.concat(s["out"], F.array(F.struct(r["k"].alias("k"), page.alias("page")))).alias("out"),
-        )
-
-    paged = lists.select(*scope, F.aggregate("rows", start, step)["out"].alias("out"))
-    return paged.select(*scope, F.explode("out").alias("r")).select(*scope, F.col("r.k").alias(key), "r.page")
+    return placed.join(members, [*scope, "__at"]).select(*scope, key, "page")

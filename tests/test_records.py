@@ -180,3 +180,37 @@ def test_unfinished_requests_appear_after_patience(spark):
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(landed)
     jobs.unfinished_stream(spark.readStream.schema(schema).parquet(landed), "1 HOUR", out).awaitTermination()
     assert [r.mutation_id for r in spark.read.parquet(f"{out}/rows").collect()] == ["m2"]
+
+
+def slow_pages(rows, max_rows, max_bytes):
+    """A plain walk in key order: {key: page}."""
+    out, page, n, used = {}, 0, 0, 0
+    for key, size in sorted(rows):
+        size = size or 0
+        if page and n < max_rows and used + size <= max_bytes:
+            n, used = n + 1, used + size
+        else:
+            page, n, used = page + 1, 1, size
+        out[key] = page
+    return out
+
+
+def test_pages_of_one_scope_equal_a_plain_walk(spark):
+    rng = random.Random(12)
+    rows = [(f"k{i:05d}", rng.choice([0, 0, 1, 7, 30, 99, 100, 101, 5_000, None])) for i in range(3_000)]
+    rng.shuffle(rows)
+    scoped = spark.createDataFrame([("all", k, b) for k, b in rows] + [("one", "x", 500), ("two", "x", 0), ("two", "y", None)], "scope string, k string, b bigint")
+    for max_rows, max_bytes in ((1, 10), (4, 100), (50, 1_000), (10_000, 1 << 40)):
+        found = fd.byte_bounded_pages(scoped.repartition(9), ["scope"], "k", "b", max_rows, max_bytes).collect()
+        assert len(found) == len(rows) + 3
+        assert {r.k: r.page for r in found if r.scope == "all"} == slow_pages(rows, max_rows, max_bytes)
+        assert [(r.k, r.page) for r in found if r.scope == "one"] == [("x", 1)]
+    assert fd.byte_bounded_pages(scoped.limit(0), ["scope"], "k", "b", 4, 100).count() == 0
+
+
+def test_transfer_batches_refuse_keys_that_disagree(spark):
+    recs = some(spark, 40).unionByName(some(spark, 40, change={3, 4}))
+    found = xs.transfer_batches(recs.withColumn("peer", F.lit("p")), ["peer"], 7, 1 << 30).collect()
+    sent = sorted((r.batch, r.n, r.first_key) for r in found if r.rule is None)
+    assert [n for _, n, _ in sent] == [7, 7, 7, 7, 7, 3] and [k for _, _, k in sent] == sorted(k for _, _, k in sent)
+    assert sorted(r.first_key for r in found if r.rule == "collision") == ["entity:id3", "entity:id4"]
