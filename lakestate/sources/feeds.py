@@ -132,6 +132,20 @@ def keyset_page(df: DataFrame, key: str, after: str, n: int) -> DataFrame:
     return df.filter(F.col(key) > after).orderBy(key).limit(n + 1)
 
 
+#: A round of doubling keeps the rows up to so many steps on: a power of two.
+HOPS = 8
+
+
+def _hops(step: DataFrame, scope: list[str]) -> DataFrame:
+    """From one step (``__at``, ``__n1``) to the positions after 1 to ``HOPS`` steps, null beyond the end."""
+    width = 1
+    while width < HOPS:
+        end = f"__n{width}"
+        after = step.select(*scope, F.col("__at").alias(end), *[F.col(f"__n{i}").alias(f"__n{i + width}") for i in range(1, width + 1)])
+        step, width = step.join(after, [*scope, end], "left"), 2 * width
+    return step
+
+
 def byte_bounded_pages(df: DataFrame, scope: list[str], key: str, size: str, max_rows: int, max_bytes: int) -> DataFrame:
     """A page number for every row: pages of a scope are filled in key order up to
     a row and a byte limit; a row above the limit has a page of its own. A scope may hold any
@@ -139,28 +153,26 @@ def byte_bounded_pages(df: DataFrame, scope: list[str], key: str, size: str, max
 
     Where the page that begins at a row would end follows from running sums. Which
     rows do begin one is found by doubling: the row 1, 2, 4, ... pages on, by a self-join on
-    positions each time, in as many rounds as the logarithm of the largest scope's
+    positions each time, in as many joins as the logarithm of the largest scope's
     pages; rows whose scope ends before that leave. A page's number is the sum of the steps
     taken to its first row. Null sizes count as zero; keys are unique within a scope.
     """
     sized = df.select(*scope, key, F.coalesce(F.col(size).cast("bigint"), F.lit(0)).alias("__size"))
     placed = pinned(with_ordinal(sized, scope, [key], "__at", {"__size": "__upto"}))
-    room = placed.select(*scope, "__at", (F.col("__upto") - F.col("__size") + max_bytes).alias("__room"))
+    # A row always has room for itself, so each finds a last row.
+    room = F.greatest(F.col("__upto") - F.col("__size") + max_bytes, F.col("__upto"))
     ends = placed.groupBy(*scope, "__upto").agg(F.max("__at").alias("__last"))
-    fits = as_of_lookup(room, ends, scope, "__room", "__upto").select(*scope, "__at", "__last")
-    last = F.least(F.greatest(F.col("__at"), F.coalesce("__last", F.col("__at"))), F.col("__at") + (max_rows - 1))
-    step = placed.select(*scope, "__at").join(fits, [*scope, "__at"], "left").select(*scope, "__at", (last + 1).alias("__next"))
-    jumps = [pinned(step)]
-    while not jumps[-1].isEmpty():
-        further = jumps[-1].select(*scope, F.col("__at").alias("__next"), F.col("__next").alias("__further"))
-        jumps.append(pinned(jumps[-1].join(further, [*scope, "__next"]).select(*scope, "__at", F.col("__further").alias("__next"))))
+    fits = as_of_lookup(placed.select(*scope, "__at", room.alias("__room")), ends, scope, "__room", "__upto")
+    step = fits.select(*scope, "__at", (F.least(F.col("__last"), F.col("__at") + (max_rows - 1)) + 1).alias("__n1"))
+    hops = [pinned(_hops(pinned(step), scope))]
+    while not (far := hops[-1].filter(F.col(f"__n{HOPS}").isNotNull())).isEmpty():
+        hops.append(pinned(_hops(far.select(*scope, "__at", F.col(f"__n{HOPS}").alias("__n1")), scope)))
     starts = placed.filter("__at = 1").select(*scope, "__at", F.lit(1).alias("page"))
-    for k in range(len(jumps) - 2, -1, -1):
-        here = F.struct(F.col("__at"), F.col("page"))
-        on = F.when(F.col("__next").isNotNull(), F.struct(F.col("__next").alias("__at"), (F.col("page") + (1 << k)).alias("page")))
-        both = F.explode(F.array_compact(F.array(here, on))).alias("__start")
-        starts = starts.join(jumps[k], [*scope, "__at"], "left").select(*scope, both).select(*scope, "__start.*")
-    members = starts.join(jumps[0], [*scope, "__at"]).select(
-        *scope, "page", F.explode(F.sequence(F.col("__at"), F.col("__next") - 1)).alias("__at")
+    for k in range(len(hops) - 1, -1, -1):
+        steps = [F.when(F.col(f"__n{i}").isNotNull(), F.struct(F.col(f"__n{i}").alias("__at"), (F.col("page") + i * HOPS**k).alias("page"))) for i in range(1, HOPS)]
+        reached = F.explode(F.array_compact(F.array(F.struct("__at", "page"), *steps))).alias("__start")
+        starts = starts.join(hops[k], [*scope, "__at"], "left").select(*scope, reached).select(*scope, "__start.*")
+    members = starts.join(hops[0], [*scope, "__at"]).select(
+        *scope, "page", F.explode(F.sequence(F.col("__at"), F.col("__n1") - 1)).alias("__at")
     )
     return placed.join(members, [*scope, "__at"]).select(*scope, key, "page")
