@@ -162,8 +162,9 @@ def byte_bounded_pages(df: DataFrame, scope: list[str], key: str, size: str, max
     # A row always has room for itself, so each finds a last row.
     room = F.greatest(F.col("__upto") - F.col("__size") + max_bytes, F.col("__upto"))
     ends = placed.groupBy(*scope, "__upto").agg(F.max("__at").alias("__last"))
-    fits = as_of_lookup(placed.select(*scope, "__at", room.alias("__room")), ends, scope, "__room", "__upto")
-    step = fits.select(*scope, "__at", (F.least(F.col("__last"), F.col("__at") + (max_rows - 1)) + 1).alias("__n1"))
+    fits = as_of_lookup(placed.select(*scope, "__at", room.alias("__room"), (F.col("__size") > max_bytes).alias("__large")), ends, scope, "__room", "__upto")
+    last = F.when(F.col("__large"), F.col("__at")).otherwise(F.least(F.col("__last"), F.col("__at") + (max_rows - 1)))
+    step = fits.select(*scope, "__at", (last + 1).alias("__n1"))
     hops = [pinned(_hops(pinned(step), scope))]
     while not (far := hops[-1].filter(F.col(f"__n{HOPS}").isNotNull())).isEmpty():
         hops.append(pinned(_hops(far.select(*scope, "__at", F.col(f"__n{HOPS}").alias("__n1")), scope)))
