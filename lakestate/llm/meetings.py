@@ -8,14 +8,16 @@ An entry may hold any share of the nodes (copies with small edits, or a common
 passage). So entries are laid out by range, with a table of two rows for each
 partition for those that span partitions; and no pairs are made of them. First
 every member meets one hub of its entry, which is then done with. So are entries
-whose other members are of one component. Of the rest, cells of at most about ``2 * CELL`` members list, for each
-component, the nearest member of another one, until that joins little more; then
-they list what is left: members of different components whose sketches are within
-the bound. So all that is linked is connected, however entries look.
+whose other members are of one component. Of the rest, cells of at most about ``2 * CELL`` members, each member in one, list for each
+component the nearest member of another one, until that joins little more; then
+cells list what is left: members of different components whose sketches are within
+the bound. An entry's largest component, mostly nearly all of it, is not compared with itself there.
+So all that is linked is connected, however entries look.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -145,22 +147,39 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, measure: Meas
 
 
 def _open(met: DataFrame, rooted: DataFrame) -> DataFrame:
-    """``entry``, ``node``, ``root`` of entries whose members are not of one component."""
+    """``entry``, ``node``, ``root`` of entries whose members are not of one component.
+
+    ``common`` is the component with the most members there, ``n_common`` of ``members``.
+    """
     state = met.join(rooted, "node", "left").select("entry", "node", F.coalesce("root", "node").alias("root"))
     state = written(state, "state")
-    mixed_ = state.groupBy("entry").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members")).filter("low < high")
-    return written(state.join(mixed_.select("entry", "members"), "entry"), "open")
+    held = state.groupBy("entry", "root").agg(F.count(F.lit(1)).alias("n"))
+    most = held.groupBy("entry").agg(F.sum("n").alias("members"), F.max(F.struct("n", "root")).alias("most")).filter("most.n < members")
+    some = most.select("entry", "members", F.col("most.n").alias("n_common"), F.col("most.root").alias("common"))
+    return written(state.join(some, "entry"), "open")
 
 
-def _cells(opened: DataFrame, nodes: DataFrame, measure: Measure, nearest: bool) -> DataFrame:
+def _cells(opened: DataFrame, nodes: DataFrame, measure: Measure, turn: int | None) -> DataFrame:
     """Pairs (u, v) of different components of an entry whose sketches are within the distance.
 
-    ``nearest`` gives only each component's nearest in a cell. An entry's members are
-    dealt to blocks, and every two blocks (and each alone) are a cell.
+    A numbered ``turn`` deals each member to one cell of its entry, in another way
+    each time, and gives only each component's nearest there.
+    Without one all is compared: members of the common component and the others
+    are dealt to blocks, and every two blocks but two common ones (and each other one alone) are
+    a cell, so the common component is copied once for each block of the others.
     """
-    blocks = F.ceil(F.col("members") / F.lit(CELL)).cast("bigint")
-    dealt = opened.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    copies = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    blocks = lambda n: F.ceil(n / F.lit(CELL)).cast("bigint")
+    if turn is not None:
+        dealt = opened.withColumn("block", F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("members") / F.lit(2 * CELL)).cast("bigint")))
+        copies = dealt.withColumn("other", F.col("block"))
+    else:
+        # Blocks of the common component have negative numbers.
+        whole, common = F.col("members") <= 2 * CELL, F.col("root") == F.col("common")
+        n_own, n_rest = blocks(F.col("n_common")), blocks(F.col("members") - F.col("n_common"))
+        block = F.when(whole, F.lit(0).cast("bigint")).when(common, -1 - F.pmod(F.xxhash64("node"), n_own)).otherwise(F.pmod(F.xxhash64("node"), n_rest))
+        first = F.when(whole | common, F.lit(0).cast("bigint")).otherwise(-n_own)
+        last = F.when(whole, F.lit(0).cast("bigint")).otherwise(n_rest - 1)
+        copies = opened.withColumn("block", block).withColumn("other", F.explode(F.sequence(first, last)))
     member = F.struct("node", "root", "size", "sketch", "block")
     cell = ["entry", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
     cells = copies.join(nodes.select("node", "size", "sketch"), "node").groupBy(*cell).agg(F.collect_list(member).alias("members"))
@@ -170,7 +189,7 @@ def _cells(opened: DataFrame, nodes: DataFrame, measure: Measure, nearest: bool)
     def step(batch: pa.RecordBatch) -> dict | None:
         found: set[tuple[int, int]] = set()
         for one, two, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            found |= _near_in(members.values.field, allowed, one != two, nearest)
+            found |= _near_in(members.values.field, allowed, one != two, turn is not None)
         u, v = zip(*found, strict=True) if found else ((), ())
         return {"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())}
 
@@ -185,7 +204,9 @@ def _near_in(field, allowed: Callable, across: bool, nearest: bool) -> set[tuple
     rows = np.frombuffer(b"".join(r if len(r) == width else folded(r, width) for r in raw), "<u8").reshape(len(raw), -1)
     out: set[tuple[int, int]] = set()
     best: dict[int, tuple[int, int, int]] = {}
-    for i in range(len(node)):
+    # The members of the largest component are met by the others.
+    _, number, counts = np.unique(root, return_inverse=True, return_counts=True)
+    for i in np.flatnonzero(number != counts.argmax()).tolist():
         apart = np.bitwise_count(rows ^ rows[i]).sum(axis=1, dtype=np.int64)
         near = (root != root[i]) & (apart <= allowed(size, size[i]))
         if across:
@@ -209,18 +230,23 @@ def links(met: DataFrame, nodes: DataFrame, docs: DataFrame, measure: Measure) -
     linked = _verified(written(_within(stars, nodes, measure), "pairs"), nodes, docs, measure)
     rooted = written(roots(linked), "roots")
     # The hubs have met all members of their entries.
-    met, nearest = met.filter("node <> hub").select("entry", "node"), True
-    while True:
+    met = met.filter("node <> hub").select("entry", "node")
+    for turn in itertools.count():
         opened = _open(met, rooted)
         if opened.isEmpty():
             return rooted
-        pairs = written(_cells(opened, nodes, measure, nearest), "pairs")
+        pairs = written(_cells(opened, nodes, measure, turn), "pairs")
         more = _verified(pairs, nodes, docs, measure)
         found = more.count()
         if found:
             linked = written(linked.unionByName(more), "links")
             rooted = written(roots(linked), "roots")
-        if not nearest:
-            return rooted
+        met = opened.select("entry", "node")
         # Again, while one in a hundred of the nearest is linked.
-        nearest, met = 100 * found > pairs.count(), opened.select("entry", "node")
+        if 100 * found <= pairs.count():
+            break
+    opened = _open(met, rooted)
+    if opened.isEmpty():
+        return rooted
+    more = _verified(written(_cells(opened, nodes, measure, None), "pairs"), nodes, docs, measure)
+    return written(roots(linked.unionByName(more)), "roots")
