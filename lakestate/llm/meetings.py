@@ -8,7 +8,8 @@ An entry may hold any share of the nodes (copies with small edits, or a common
 passage). So entries are laid out by range, with a table of two rows for each
 partition for those that span partitions; and no pairs are made of them. First
 every member meets one hub of its entry, which is then done with. So are entries
-whose other members are of one component. Of the rest, cells of at most about ``2 * CELL`` members, each member in one, list for each
+whose other members are of one component. Those whose members are of one family, near each other or
+by way of others, are looked at as one, the family. Of the rest, cells of at most about ``2 * CELL`` members, each member in one, list for each
 component the nearest member of another one, until that joins little more; then
 cells list what is left: members of different components whose sketches are within
 the bound. An entry's largest component, mostly nearly all of it, is not compared with itself there.
@@ -25,15 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakestate.llm.common import mixed, per_batch, text_digest, texts, utf8
+from lakestate.llm.common import per_batch, text_digest, texts, utf8
 from lakestate.llm.components import roots
 from lakestate.llm.simhash import shingle_set
 from lakestate.session import written
 
 #: Members of a cell's block; a cell compares two blocks.
 CELL = 2048
-#: Hubs that entries choose between, so that not all of them try the same one.
-HUBS = 4
+#: Sets are kin up to so many times the distance that allows a link.
+KIN = 1.5
+#: Blocks of members outside the common component up to which a family is compared as one.
+FAMILY_BLOCKS = 8
 
 
 class Measure:
@@ -55,10 +58,7 @@ def folded(parity: bytes, size: int) -> bytes:
 
 def meet(rows: DataFrame) -> DataFrame:
     """``entry``, ``node``, ``hub`` of all entries that more than one node is in, of distinct rows (entry, node)."""
-    # Entries try different hubs: nodes are in another order for each of HUBS kinds of entries.
-    turn = F.element_at(F.array(*[F.lit(int(x)) for x in mixed(np.arange(HUBS)).view(np.int64)]), (F.pmod("entry", F.lit(HUBS)) + 1).cast("int"))
-    turned = rows.withColumn("turned", F.col("node").bitwiseXOR(turn)).select("entry", "turned")
-    ranged = turned.repartitionByRange("entry", "turned").sortWithinPartitions("entry", "turned")
+    ranged = rows.select("entry", "node").repartitionByRange("entry", "node").sortWithinPartitions("entry", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of entries with two members here, and whatever an earlier or later partition may share: the first and last entry."""
@@ -66,42 +66,42 @@ def meet(rows: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            entry, turned = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            entry, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             if tail is not None:
-                entry, turned = np.concatenate([tail[0], entry]), np.concatenate([tail[1], turned])
+                entry, node = np.concatenate([tail[0], entry]), np.concatenate([tail[1], node])
                 hub_before = tail[2]
             else:
-                first, hub_before = entry[0], turned[0]
+                first, hub_before = entry[0], node[0]
             new = np.concatenate([[True], entry[1:] != entry[:-1]])
             starts = np.flatnonzero(new)
-            hubs = turned[starts]
+            hubs = node[starts]
             hubs[0] = hub_before
             group = np.cumsum(new) - 1
             lengths = np.diff(np.append(starts, len(entry)))
             # The last entry may go on: its last row is held back, the others are sure to have company.
-            together = (lengths[group] > 1) | (entry == first) | (hubs[group] != turned)
+            together = (lengths[group] > 1) | (entry == first) | (hubs[group] != node)
             together[-1] = False
-            tail = (entry[-1:], turned[-1:], hubs[group[-1]])
+            tail = (entry[-1:], node[-1:], hubs[group[-1]])
             if together.any():
-                yield _entry_rows(entry[together], turned[together], hubs[group][together], first)
+                yield _entry_rows(entry[together], node[together], hubs[group][together], first)
         if tail is not None:
             yield _entry_rows(tail[0], tail[1], np.array([tail[2]]), None)
 
-    found = written(ranged.mapInArrow(run, "entry bigint, turned bigint, hub bigint, edge boolean"), "entries")
+    found = written(ranged.mapInArrow(run, "entry bigint, node bigint, hub bigint, edge boolean"), "entries")
     # Only an entry at a partition's edge may go on in others: two for each partition.
-    edges = found.filter("edge").groupBy("entry").agg(F.min("hub").alias("least"), F.max("turned").alias("most"))
+    edges = found.filter("edge").groupBy("entry").agg(F.min("hub").alias("least"), F.max("node").alias("most"))
     whole = found.join(edges, "entry", "left").withColumn("hub", F.coalesce("least", "hub"))
     kept = whole.filter("least IS NULL OR least < most")
-    return kept.select("entry", F.col("turned").bitwiseXOR(turn).alias("node"), F.col("hub").bitwiseXOR(turn).alias("hub"))
+    return kept.select("entry", "node", "hub")
 
 
-def _entry_rows(entry: np.ndarray, turned: np.ndarray, hub: np.ndarray, first) -> pa.RecordBatch:
+def _entry_rows(entry: np.ndarray, node: np.ndarray, hub: np.ndarray, first) -> pa.RecordBatch:
     edge = np.ones(len(entry), dtype=bool) if first is None else entry == first
-    return pa.RecordBatch.from_pydict({"entry": pa.array(entry), "turned": pa.array(turned), "hub": pa.array(hub), "edge": pa.array(edge)})
+    return pa.RecordBatch.from_pydict({"entry": pa.array(entry), "node": pa.array(node), "hub": pa.array(hub), "edge": pa.array(edge)})
 
 
 def _within(pairs: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
-    """Distinct pairs (u, v) whose sizes and sketches allow a link."""
+    """Distinct pairs (u, v) that are kin by sizes and sketches; ``near`` if these allow a link."""
     a = nodes.select(F.col("node").alias("u"), F.col("size").alias("a"), F.col("sketch").alias("sa"))
     b = nodes.select(F.col("node").alias("v"), F.col("size").alias("b"), F.col("sketch").alias("sb"))
     sizes = measure.denominator * F.least("a", "b") >= measure.numerator * F.greatest("a", "b")
@@ -111,11 +111,12 @@ def _within(pairs: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
 
     def step(batch: pa.RecordBatch) -> dict | None:
         columns = [c.to_pylist() for c in batch.columns]
-        kept = [(u, v) for u, v, a, b, sa, sb in zip(*columns, strict=True) if _apart(sa, sb) <= allowed(a, b)]
-        u, v = zip(*kept, strict=True) if kept else ((), ())
-        return {"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())}
+        held = [(u, v, _apart(sa, sb), allowed(a, b)) for u, v, a, b, sa, sb in zip(*columns, strict=True)]
+        kept = [(u, v, apart <= most) for u, v, apart, most in held if apart <= KIN * most]
+        u, v, near = zip(*kept, strict=True) if kept else ((), (), ())
+        return {"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "near": pa.array(near, pa.bool_())}
 
-    return met.select("u", "v", "a", "b", "sa", "sb").mapInArrow(per_batch(step), "u bigint, v bigint")
+    return met.select("u", "v", "a", "b", "sa", "sb").mapInArrow(per_batch(step), "u bigint, v bigint, near boolean")
 
 
 def _apart(a: bytes, b: bytes) -> int:
@@ -221,16 +222,42 @@ def _near_in(field, allowed: Callable, across: bool, nearest: bool) -> set[tuple
     return {p[1:] for p in best.values()} if nearest else out
 
 
+def _gathered(met: DataFrame, rooted: DataFrame, kin: DataFrame) -> DataFrame:
+    """``entry`` and ``node`` of what is still to be compared; written.
+
+    Members of one family (connected by kin) meet again and again, in each entry
+    that some of them share. So an open entry whose members are all of one family gives way to the family,
+    which is then one entry of each of its members once. Families with many members outside their
+    common component keep their entries, which may be smaller.
+    """
+    of = lambda name: F.coalesce(name, "node").alias(name)
+    known = written(kin.withColumnRenamed("root", "family").join(rooted, "node", "full").select("node", of("root"), of("family")), "families")
+    # A hub stands for its entry: the entry is open if a member is apart from it.
+    members, hubs = known.toDF("member", "root", "family"), known.toDF("hub", "hub_root", "hub_family")
+    pairs = met.select(F.col("node").alias("member"), "hub").distinct().join(members, "member", "left").join(hubs, "hub", "left")
+    ends = [F.coalesce(c, n) for c, n in (("root", "member"), ("hub_root", "hub"), ("family", "member"), ("hub_family", "hub"))]
+    apart = pairs.filter(ends[0] != ends[1]).select(F.col("member").alias("node"), "hub", ends[3].alias("of_family"), (ends[2] != ends[3]).alias("strange"))
+    touched = met.join(written(apart, "apart"), ["node", "hub"])
+    entries = written(touched.groupBy("entry").agg(F.max("strange").alias("strange"), F.first("of_family").alias("of_family")), "entries")
+    sizes = known.groupBy("family", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("family").agg((F.sum("n") - F.max("n")).alias("rest"))
+    asked = entries.filter("NOT strange").select(F.col("of_family").alias("family")).distinct()
+    chosen = written(sizes.join(asked, "family").filter(F.col("rest") <= FAMILY_BLOCKS * CELL).select("family"), "chosen")
+    own = entries.join(chosen, ~F.col("strange") & (F.col("of_family") == F.col("family")), "left_anti").select("entry")
+    whole = known.join(chosen, "family").select(F.xxhash64("family").alias("entry"), "node")
+    return written(met.join(own, "entry", "left_semi").select("entry", "node").unionByName(whole), "gathered")
+
+
 def links(met: DataFrame, nodes: DataFrame, docs: DataFrame, measure: Measure) -> DataFrame:
     """``node`` and ``root`` of all nodes (node, size, sketch, least) that are linked to another one that they meet (entry, node, hub).
 
     ``least`` (doc_id, digest) names a row of ``docs`` that has the node's set.
     """
     stars = met.filter("node <> hub").select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v"))
-    linked = _verified(written(_within(stars, nodes, measure), "pairs"), nodes, docs, measure)
+    kin = written(_within(stars, nodes, measure), "pairs")
+    linked = _verified(kin.filter("near").select("u", "v"), nodes, docs, measure)
     rooted = written(roots(linked), "roots")
     # The hubs have met all members of their entries.
-    met = met.filter("node <> hub").select("entry", "node")
+    met = _gathered(met.filter("node <> hub"), rooted, roots(kin.select("u", "v")))
     for turn in itertools.count():
         opened = _open(met, rooted)
         if opened.isEmpty():
