@@ -257,7 +257,9 @@ def links(met: DataFrame, nodes: DataFrame, docs: DataFrame, measure: Measure) -
     linked = _verified(kin.filter("near").select("u", "v"), nodes, docs, measure)
     rooted = written(roots(linked), "roots")
     # The hubs have met all members of their entries.
-    met = _gathered(met.filter("node <> hub"), rooted, roots(kin.select("u", "v")))
+    # For families it is enough that each node hangs on its least kin, and all of a component together.
+    hung = kin.groupBy("u").agg(F.min("v").alias("v")).unionByName(rooted.toDF("u", "v"))
+    met = _gathered(met.filter("node <> hub"), rooted, roots(hung))
     for turn in itertools.count():
         opened = _open(met, rooted)
         if opened.isEmpty():
@@ -266,8 +268,7 @@ def links(met: DataFrame, nodes: DataFrame, docs: DataFrame, measure: Measure) -
         more = _verified(pairs, nodes, docs, measure)
         found = more.count()
         if found:
-            linked = written(linked.unionByName(more), "links")
-            rooted = written(roots(linked), "roots")
+            rooted = written(roots(rooted.toDF("u", "v").unionByName(more)), "roots")
         met = opened.select("entry", "node")
         # Again, while one in a hundred of the nearest is linked.
         if 100 * found <= pairs.count():
@@ -276,4 +277,4 @@ def links(met: DataFrame, nodes: DataFrame, docs: DataFrame, measure: Measure) -
     if opened.isEmpty():
         return rooted
     more = _verified(written(_cells(opened, nodes, measure, None), "pairs"), nodes, docs, measure)
-    return written(roots(linked.unionByName(more)), "roots")
+    return written(roots(rooted.toDF("u", "v").unionByName(more)), "roots")
