@@ -270,8 +270,8 @@ def links(met: DataFrame, nodes: DataFrame, docs: DataFrame, measure: Measure) -
         if found:
             rooted = written(roots(rooted.toDF("u", "v").unionByName(more)), "roots")
         met = opened.select("entry", "node")
-        # Again, while one in a hundred of the nearest is linked.
-        if 100 * found <= pairs.count():
+        # Again, while one in ten of the nearest is linked.
+        if 10 * found <= pairs.count():
             break
     opened = _open(met, rooted)
     if opened.isEmpty():
