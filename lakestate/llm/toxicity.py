@@ -24,6 +24,10 @@ broadcast; words are joined with the tables for their other n-grams, and texts
 for their other words only. So the cache decides what is fast, never what is known. Words are told apart by 64-bit
 hashes where they are joined.
 
+Where the counts would lack a kind of label without the sample, nothing is left out; where the sample
+lacks one, or so few rows turn the logistic function around, the difference is added to the
+log-odds of the labels as it is: it is a log-likelihood ratio. So few labels still rank.
+
 Null and empty texts have no words and a difference of zero. Repeated rows get
 equal scores; an empty table gives no rows. Without labelled rows of both kinds
 the score is the smoothed share of toxic rows.
@@ -216,6 +220,14 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-3)
     return w
 
 
+def calibrated(x: np.ndarray, y: np.ndarray, toxic: int, ordinary: int) -> np.ndarray:
+    """Constant and slope from a sample (x, y) out of so many labelled rows of either kind."""
+    if not toxic or not ordinary:
+        return np.array([np.log((toxic + 1) / (ordinary + 1)), 0.0])
+    w = logistic(x[:, None], y)
+    return w if w[1] > 0 else np.array([np.log((toxic + 1) / (ordinary + 1)), 1.0])
+
+
 def fold():
     """crc32 of the id as text, modulo FOLDS."""
     return F.crc32(F.col("doc_id").cast("string")) % FOLDS
@@ -334,9 +346,14 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     settle(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.filter((fold() != HELD_OUT) & F.col("toxic").isin(0, 1)).dropDuplicates(["doc_id"])
+    known = written(known.join(texts(docs).select("doc_id"), "doc_id", "left_semi"), "labelled")
     part = F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATION))
     ranked = known.filter(part == 0).withColumn("h", F.xxhash64("doc_id", F.lit(1))).orderBy("h", "doc_id").limit(sample_rows)
     sample = written(ranked.drop("h"), "calibration")
+    kinds = lambda rows: {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    of_known, of_sample = kinds(known), kinds(sample)
+    if any(of_sample.get(kind) == n for kind, n in of_known.items()):
+        sample = sample.limit(0)
     rest = known.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_anti")
     # One plan at every size: both sides are shuffled by id. The counting tasks are few and large, so that
     # each word is handed on by few of them.
@@ -348,7 +365,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     chosen = texts(docs).join(F.broadcast(sample), "doc_id").select(F.col("toxic").alias("id"), "text")
     found = differences(chosen, model).select(F.col("id").alias("toxic"), "x").limit(2 * sample_rows).toPandas()
     order = np.lexsort((found["toxic"], found["x"]))
-    model.weights = logistic(found[["x"]].to_numpy(np.float64)[order], found["toxic"].to_numpy(np.float64)[order])
+    x, y = (found[c].to_numpy(np.float64)[order] for c in ("x", "toxic"))
+    model.weights = calibrated(x, y, of_known.get(1, 0), of_known.get(0, 0))
     return model
 
 

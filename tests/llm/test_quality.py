@@ -12,6 +12,7 @@ import pytest
 from odd_rows import ODD, frame
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lakestate.llm import common, quality, repetition, secret_scan, toxicity
 
@@ -216,6 +217,21 @@ def test_counts_leave_out_the_calibration_sample_only(spark, monkeypatch):
     assert len(seen) == len(training) - 2 and {int(t.split()[0][4:]) for t in seen} < training
 
 
+@pytest.mark.parametrize("toxic", [1, 3])
+def test_few_toxic_labels_rank_held_out_texts(spark, toxic):
+    """The calibration's sample has none of them, or would take the only one."""
+    rows = spark.range(400).select(
+        F.col("id").alias("doc_id"), (toxicity.fold() == toxicity.HELD_OUT).alias("held"),
+        (F.pmod(F.xxhash64("id"), F.lit(toxicity.CALIBRATION)) == 0).alias("sampled"),
+    ).collect()
+    pool = [r.doc_id for r in rows if not r.held and r.sampled == (toxic == 1)]
+    bad = set(pool[:toxic]) | {r.doc_id for r in rows if r.held and r.doc_id % 2}
+    docs = frame(spark, [(r.doc_id, "vile scum words here" if r.doc_id in bad else "kind calm words here") for r in rows])
+    labels = spark.createDataFrame([(r.doc_id, int(r.doc_id in bad)) for r in rows], "doc_id bigint, toxic int")
+    found = held_out(toxicity.score(docs, toxicity.learn(docs, labels)).collect(), labels, "toxic")
+    assert min(s for kind, _, s in found if kind) > max(s for kind, _, s in found if not kind)
+
+
 def test_a_small_cache_loses_nothing(spark, sample, monkeypatch):
     labels = common.labels(spark, "/root/testdata/sf0.001")
     few = sample.limit(40).cache()
