@@ -10,6 +10,7 @@ from lakestate.functions import values as vl
 from lakestate.operators import identity as idn
 from lakestate.operators import policy as po
 from lakestate.operators import retrieve as rt
+from lakestate.sources.adapters import Lake
 
 
 def walk(rows, budget, cap=None):
@@ -98,3 +99,9 @@ def test_hidden_entities_change_nothing(spark):
     found, picks = po.secure_compile(queries, grants, idn.alias_index(aliases), entities, types, records, aliases.select("entity_id", "value"))
     assert {r.subject: r.status for r in found.collect()} == {"one": "resolved", "both": "ambiguous"}
     assert [r.record_id for r in picks.collect()] == ["r1"]
+
+
+def test_exploded_tables_are_not_taken_for_small_ones(spark):
+    seen = Lake(spark, "/root/testdata/sf0.1").order_observations().select("entity_id", "observation_id", "recorded_at")
+    estimate = int(str(seen._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert estimate > 16 * seen.count()
