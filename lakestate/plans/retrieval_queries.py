@@ -147,20 +147,12 @@ def ambiguous_names(lake: Lake) -> DataFrame:
 def indexed_search_agrees(lake: Lake) -> DataFrame:
     """The n-gram join against a full check of each found and lost pair.
 
-    The scan side re-tests containment on the pairs that share any token, a
-    superset of all matches, so the comparison is complete without a cross join.
+    The scan side re-tests containment on a superset of all matches (``idn.scan_pairs``), so the
+    comparison is complete without a cross join.
     """
     index, queries = _index(lake), lake.identity_queries()
-    found = idn.untyped(queries, index)
-    tokens = tx.with_normalized(queries, "text", "qnorm")
-    by_first = tokens.select("query_id", "qnorm", F.explode(F.array_distinct(F.split("qnorm", " "))).alias("token"))
-    last = index.select("entity_id", "norm", F.element_at(F.split("norm", " "), -1).alias("token"))
-    scanned = (
-        by_first.join(last, "token")
-        .filter(F.concat(F.lit(" "), "qnorm", F.lit(" ")).contains(F.concat(F.lit(" "), "norm", F.lit(" "))))
-        .select("query_id", "entity_id")
-        .distinct()
-    )
+    found = pinned(idn.untyped(queries, index))
+    scanned = idn.scanned(queries, index)
     n_bad = ev.search_disagreements(found, scanned).agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
     return found.agg(F.count(F.lit(1)).alias("n_pairs")).select(n_bad.alias("n_differences"), "n_pairs")
 

@@ -120,3 +120,13 @@ def test_prior_ranking_pairs_named_queries_with_their_records_only(spark, monkey
     got = rt.prior_rank(queries, records, index).collect()
     assert {(r.query_id, r.record_id, r.score) for r in got} == {(f"q{i}", f"r{i}", 30 + 8 * 4 + 8 + 10 + 18) for i in range(n)}
     assert sum(sizes) <= 2 * n
+
+
+def test_scan_tests_few_pairs_and_finds_all(spark):
+    n = 30
+    names = spark.createDataFrame([(f"e{i}", f"kind{i} ring") for i in range(n)] + [("e", "old ring")], "entity_id string, value string")
+    index = idn.alias_index(names.withColumn("recorded_at", F.lit("1990-01-01").cast("timestamp")))
+    queries = spark.createDataFrame([(f"q{i}", f"the ring of kind{i} Ring or so") for i in range(n)], "query_id string, text string")
+    assert idn.scan_pairs(queries, index).count() <= 2 * n
+    pairs = {(r.query_id, r.entity_id) for r in idn.scanned(queries, index).collect()}
+    assert pairs == {(f"q{i}", f"e{i}") for i in range(n)} == {(r.query_id, r.entity_id) for r in idn.untyped(queries, index).collect()}
