@@ -42,18 +42,29 @@ class Slots(StatefulProcessor):
         self.open = handle.getMapState("open", "slot_key string, record_id string", "change_id string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        # Every call to the state goes through a socket: the open slots are read once and only what a batch
+        # leaves different is written. A resource without open slots and changes so far asks for neither.
+        known = self.seen.exists()
+        before = {tuple(slot): by[0] for slot, by in self.open.iterator()} if known else {}
+        held, taken = dict(before), set()
         for change in sorted(rows, key=lambda r: r["ord"]):
-            if self.seen.containsKey((change["change_id"],)):
+            ident = change["change_id"]
+            if ident in taken or (known and self.seen.containsKey((ident,))):
                 continue
-            self.seen.updateValue((change["change_id"],), (change["ord"],))
+            taken.add(ident)
+            self.seen.updateValue((ident,), (change["ord"],))
             now = {(s["slot_key"], s["record_id"]): s["value"] for s in change["slots"]}
-            held = {tuple(k) for k in self.open.keys()}
-            for slot in sorted(held - set(now)):
-                self.open.removeKey(slot)
+            for slot in sorted(held.keys() - now.keys()):
+                del held[slot]
                 yield self._row(key, "closed", slot, None, change)
-            for slot in sorted(set(now) - held):
-                self.open.updateValue(slot, (change["change_id"],))
+            for slot in sorted(now.keys() - held.keys()):
+                held[slot] = ident
                 yield self._row(key, "opened", slot, now[slot], change)
+        for slot in before.keys() - held.keys():
+            self.open.removeKey(slot)
+        for slot, by in held.items():
+            if before.get(slot) != by:
+                self.open.updateValue(slot, (by,))
 
     @staticmethod
     def _row(key, event: str, slot: tuple, value, change: Row) -> Row:

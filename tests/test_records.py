@@ -2,7 +2,9 @@
 
 import random
 from collections import Counter
+from types import SimpleNamespace
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lakestate.operators import append as ap
@@ -214,3 +216,56 @@ def test_transfer_batches_refuse_keys_that_disagree(spark):
     sent = sorted((r.batch, r.n, r.first_key) for r in found if r.rule is None)
     assert [n for _, n, _ in sent] == [7, 7, 7, 7, 7, 3] and [k for _, _, k in sent] == sorted(k for _, _, k in sent)
     assert sorted(r.first_key for r in found if r.rule == "collision") == ["entity:id3", "entity:id4"]
+
+
+class HeldMap(dict):
+    """A map state that counts how often it is asked."""
+
+    calls = 0
+
+    def _asked(self, value=None):
+        self.calls += 1
+        return value
+
+    def exists(self):
+        return self._asked(bool(self))
+
+    def containsKey(self, key):  # noqa: N802
+        return self._asked(key in self)
+
+    def updateValue(self, key, value):  # noqa: N802
+        self._asked()
+        self[key] = value
+
+    def removeKey(self, key):  # noqa: N802
+        self._asked()
+        del self[key]
+
+    def keys(self):
+        return self._asked(iter(list(super().keys())))
+
+    def iterator(self):
+        return self._asked(iter(list(super().items())))
+
+
+def test_slots_ask_their_state_once_a_change():
+    states = {"seen": HeldMap(), "open": HeldMap()}
+    slots = keyed.Slots()
+    slots.init(SimpleNamespace(getMapState=lambda name, *_: states[name]))
+    values = [i // 2 % 3 for i in range(200)]
+
+    def change(i):
+        now = [Row(slot_key="s", record_id=f"v{values[i]}", value=str(values[i]))] if i % 50 != 49 else []
+        return Row(change_id=f"c{i}", ord=i, slots=now, effective_at=None, recorded_at=None)
+
+    batches = [[change(i) for i in range(99, -1, -1)] + [change(3)], [change(i) for i in range(200)]]
+    got = [r for b in batches for r in slots.handleInputRows(("a", "b", "c"), iter(b), None)]
+    held, want = None, []
+    for i, value in enumerate(values):
+        now = None if i % 50 == 49 else f"v{value}"
+        if now != held:
+            want += [("closed", held, f"c{i}")] * (held is not None) + [("opened", now, f"c{i}")] * (now is not None)
+        held = now
+    assert [(r.event, r.record_id, r.change_id) for r in got] == want
+    assert set(states["seen"]) == {(f"c{i}",) for i in range(200)} and not states["open"]
+    assert sum(s.calls for s in states.values()) <= 100 + 200 + 100 + 10
