@@ -108,3 +108,15 @@ def test_published_batches_with_awkward_ids(spark):
     ap.append_batch(spark, root, "b:1/a b", batch)
     ap.append_batch(spark, root, "2024-01-01", other)
     assert sorted(r.record_id for r in ap.read_published(spark, root, batch.schema).collect()) == ["1", "2"]
+
+
+def test_a_page_numbers_no_more_rows_than_it_needs(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, f"{k}{i:03d}", f"e{i % 7}") for k in ap.KIND_ORDER for i in range(100)], "kind string, record_id string, primary_entity_id string").repartition(5)
+    whole = ap.emit_changes(rows, 1000).collect()
+    want = {after: sorted((r.seq, r.kind, r.record_id) for r in whole if after < r.seq <= max(after, 1000) + 30) for after in (900, 1000, 1120, 1490, 2000)}
+    numbered, emit = [], ap.emit_changes
+    monkeypatch.setattr(ap, "emit_changes", lambda df, last: numbered.append(df.count()) or emit(df, last))
+    for near in (ap.NEAR, 0):
+        monkeypatch.setattr(ap, "NEAR", near)
+        assert {after: [(r.seq, r.kind, r.record_id) for r in ap.emit_page(rows, 1000, after, 30).collect()] for after in want} == want
+    assert numbered == [30, 30, 150, 500, 500] + [500] * 5
