@@ -1,12 +1,14 @@
 """Work that several steps share is done once."""
 
-from datetime import UTC
+from datetime import UTC, datetime
+from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
 from lakestate.operators import capsule as cp
 from lakestate.operators import temporal as tp
 from lakestate.session import run_dir
+from lakestate.streaming import keyed
 from test_state import OBS, RET, RULES, day, text, world
 
 REL = (
@@ -71,3 +73,30 @@ def test_a_head_reads_the_relations_twice(spark):
         assert [r[f"n_{s}"] for s in ("state", "conflict", "relation", "retraction")] == [
             counts.get((r.entity_id, s), 0) for s in ("state", "conflict", "relation", "retraction")
         ]
+
+
+def test_a_boundary_costs_two_calls_to_the_state():
+    calls, timers = [], []
+
+    def said(name, do):
+        return lambda *a: (calls.append(name), do(*a))[1]
+
+    handle = SimpleNamespace(
+        listTimers=said("list", lambda: iter(list(timers))), registerTimer=said("register", timers.append), deleteTimer=said("delete", timers.remove)
+    )
+    watch = keyed.Boundaries()
+    watch.init(handle)
+    row = lambda boundary, at: {"boundary": boundary, "at": at}
+    one, two = datetime(2024, 1, 3, tzinfo=UTC), datetime(2024, 1, 5, tzinfo=UTC)
+    list(watch.handleInputRows(("a",), iter([row(one, one)]), None))
+    assert calls == ["list", "register"] and timers == [1704240000000]
+    list(watch.handleInputRows(("a",), iter([row(one, two)]), None))
+    assert timers == [1704240000000]
+    list(watch.handleInputRows(("a",), iter([row(two, two), row(one, one)]), None))
+    assert timers == [1704412800000]
+    list(watch.handleInputRows(("a",), iter([row(None, two)]), None))
+    assert timers == []
+    calls.clear()
+    list(watch.handleInputRows((keyed.TICK,), iter([row(None, two)]), None))
+    due = SimpleNamespace(getExpiryTimeInMs=lambda: 7)
+    assert [tuple(r) for r in watch.handleExpiredTimer(("a",), None, due)] == [("a", 7)] and calls == []
