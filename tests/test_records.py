@@ -269,3 +269,25 @@ def test_slots_ask_their_state_once_a_change():
     assert [(r.event, r.record_id, r.change_id) for r in got] == want
     assert set(states["seen"]) == {(f"c{i}",) for i in range(200)} and not states["open"]
     assert sum(s.calls for s in states.values()) <= 100 + 200 + 100 + 10
+
+
+def test_rows_meet_unknown_names_of_their_family_only(spark):
+    def check(entities, names, whole=None):
+        rows = [(f"r{i}", n) for i, n in enumerate(names)]
+        obs = spark.createDataFrame(rows, "observation_id string, entity_id string")
+        ali = spark.createDataFrame(rows[::2], "alias_id string, entity_id string")
+        path = run_dir(spark, "t-refs")
+        spark.createDataFrame([(r, n, entities[0]) for r, n in rows], "relation_id string, from_id string, to_id string").write.parquet(path)
+        rel = spark.read.schema("relation_id string, from_id string, to_id string").parquet(path)
+        out = ap.unknown_refs(obs, ali, rel, spark.createDataFrame([(e,) for e in entities], "entity_id string"))
+        lost = [(r, n) for r, n in rows if n not in entities]
+        want = [(r, n, "observation-entity") for r, n in lost] + [(r, n, "relation-from") for r, n in lost]
+        want += [(r, n, "alias-entity") for r, n in rows[::2] if n not in entities]
+        key = lambda r: tuple(x or "" for x in r)
+        assert sorted(map(tuple, out.collect()), key=key) == sorted(want, key=key)
+        return out._jdf.queryExecution().optimizedPlan().toString()
+
+    plan = check(["e://a/1", "e://b/1", "plain"], ["e://a/1", "e://a/2", "e://a/2", "e://b/1", "plain", "other", None, "e://c/x/1", ""])
+    # No row is read for ends that are all known.
+    assert "relation-to" not in plan and "relation-from" in plan
+    check(["e://a/1"], [f"e://{i}/1" for i in range(ap.FAMILIES + 9)] + ["e://a/1", None])
