@@ -46,16 +46,25 @@ def proposals(entities: DataFrame, moves: DataFrame, resolved: DataFrame, doubts
     mutations, with the revisions they build on, and of all candidates of its
     conflicts (``doubts``, in long form); clocks left out."""
     material = moves.select(
-        "entity_id",
+        "entity_id", F.lit(True).alias("moves"),
         vl.json_list(F.lit("mutation"), "provider", "external_id", "external", "property", "next_json", "previous_json", "base_revision").alias("text"),
-    ).unionByName(doubts.select("entity_id", vl.json_list(F.lit("conflict"), "property", "reason", "provider", "external_id", "value_json").alias("text")))
-    n_moves = moves.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n_mutations"))
+    ).unionByName(
+        doubts.select(
+            "entity_id", F.lit(False).alias("moves"),
+            vl.json_list(F.lit("conflict"), "property", "reason", "provider", "external_id", "value_json").alias("text"),
+        )
+    )
     n_doubts = resolved.filter("status = 'conflict'").groupBy("entity_id").agg(F.count(F.lit(1)).alias("n_conflicts"))
+    # The mutations are counted where they are digested: they are read once.
+    told = vl.group_digest(material, ["entity_id"], F.col("text"), counts={"n_mutations": F.col("moves")})
+    none = F.lit(0).cast("bigint")
     return (
         entities.select("entity_id").distinct()
-        .join(n_moves, "entity_id", "left").join(n_doubts, "entity_id", "left").na.fill(0)
-        .join(vl.group_digest(material, ["entity_id"], F.col("text")), "entity_id", "left")
-        .withColumn("digest", F.coalesce("digest", F.sha2(F.lit(""), 256)))
+        .join(told, "entity_id", "left").join(n_doubts, "entity_id", "left")
+        .select(
+            "entity_id", F.coalesce("n_mutations", none).alias("n_mutations"), F.coalesce("n_conflicts", none).alias("n_conflicts"),
+            F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("digest"),
+        )
         .withColumn(
             "status",
             F.when(F.col("n_conflicts") > 0, F.lit("blocked")).when(F.col("n_mutations") == 0, F.lit("noop")).otherwise(F.lit("ready")),
@@ -91,14 +100,16 @@ def stale_mutations(moves: DataFrame, snapshots: DataFrame) -> DataFrame:
     return moves.join(now, place).filter(~F.col("revision").eqNullSafe(F.col("base_revision"))).select(*place)
 
 
-def outcomes(before: DataFrame, left_over: DataFrame, drifted: DataFrame | None = None, dry_run: bool = False) -> DataFrame:
+def outcomes(before: DataFrame, left_over: DataFrame | None, drifted: DataFrame | None = None, dry_run: bool = False) -> DataFrame:
     """Blocked, noop, drifted, dry-run, converged or not-converged per entity.
 
     ``drifted`` has the entities whose plan no longer holds when it is to be
-    applied; ``left_over`` the mutations that a new plan still has.
+    applied; ``left_over`` the mutations that a new plan still has; a dry run does not ask for them.
     """
-    rest = left_over.groupBy("entity_id").agg(F.count(F.lit(1)).alias("rest"))
-    joined = before.join(rest, "entity_id", "left")
+    joined = before
+    if not dry_run:
+        rest = left_over.groupBy("entity_id").agg(F.count(F.lit(1)).alias("rest"))
+        joined = joined.join(rest, "entity_id", "left")
     if drifted is not None:
         joined = joined.join(drifted.select("entity_id", F.lit(True).alias("moved")), "entity_id", "left")
     else:

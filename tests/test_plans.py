@@ -120,3 +120,21 @@ def test_a_page_numbers_no_more_rows_than_it_needs(spark, monkeypatch):
         monkeypatch.setattr(ap, "NEAR", near)
         assert {after: [(r.seq, r.kind, r.record_id) for r in ap.emit_page(rows, 1000, after, 30).collect()] for after in want} == want
     assert numbered == [30, 30, 150, 500, 500] + [500] * 5
+
+
+def test_a_plan_reads_its_mutations_once_and_a_dry_run_plans_nothing_anew(spark):
+    from lakestate.session import run_dir
+
+    path = run_dir(spark, "t-moves")
+    move = ("e1", "crm", "1", "f", "p", '"n"', '"o"', "r1")
+    spark.createDataFrame([move, ("e1", "crm", "1", "g", *move[4:]), ("e3", *move[1:])], MOVES).write.parquet(path)
+    frame = spark.createDataFrame([(e,) for e in ("e1", "e2", "e3", "e3")], "entity_id string")
+    resolved = spark.createDataFrame([("e3", "q", "conflict"), ("e2", "q", "resolved")], "entity_id string, property string, status string")
+    doubts = spark.createDataFrame([("e3", "q", "ambiguous-freshest", "a", "1", '"x"'), ("e3", "q", "ambiguous-freshest", "b", "1", '"y"')], DOUBTS)
+    told = pl.proposals(frame, spark.read.schema(MOVES).parquet(path), resolved, doubts)
+    assert told.columns == ["entity_id", "n_mutations", "n_conflicts", "digest", "status"]
+    got = {r.entity_id: (r.n_mutations, r.n_conflicts, r.status) for r in told.collect()}
+    assert got == {"e1": (2, 0, "ready"), "e2": (0, 0, "noop"), "e3": (1, 1, "blocked")}
+    assert told._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+    dry = {r.entity_id: r.outcome for r in pl.outcomes(told, None, frame.limit(0), dry_run=True).collect()}
+    assert dry == {"e1": "dry-run", "e2": "noop", "e3": "blocked"}
