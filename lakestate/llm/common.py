@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,30 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakestate.session import prepare
+from lakestate.functions.values import spread  # noqa: F401
+from lakestate.session import prepare, ship
 
 #: Python workers see at most so many rows and about so many bytes of text at once.
 BATCH_ROWS = "2000"
 BATCH_BYTES = str(16 << 20)
 
 
-def ship(spark: SparkSession) -> None:
-    """Give Python workers this package, once per application, as a file that Spark distributes."""
-    context = spark.sparkContext
-    if getattr(context, "_lakestate_shipped", False):
-        return
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    above = os.path.dirname(package)
-    archive = os.path.join(tempfile.mkdtemp(), "lakestate_package.zip")
-    with zipfile.ZipFile(archive, "w") as file:
-        for folder, _, names in os.walk(package):
-            for name in sorted(names):
-                if name.endswith(".py"):
-                    file.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), above))
-    context.addPyFile(archive)
-    context._lakestate_shipped = True
-
-
 def settle(spark: SparkSession) -> SparkSession:
     """Session settings under which Python workers hold one bounded batch of text."""
     prepare(spark)
@@ -88,13 +69,6 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def spread(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Positions ``starts[i] .. starts[i] + lengths[i]`` of all i, one after the other."""
-    total = int(lengths.sum())
-    before = np.cumsum(lengths) - lengths
-    return np.repeat(starts - before, lengths) + np.arange(total, dtype=np.int64)
-
-
 def text_digest():
     """What tells the texts of one ``doc_id`` apart; a null text counts as empty."""
     return F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))

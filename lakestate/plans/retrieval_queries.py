@@ -321,8 +321,7 @@ def corpus_cost(lake: Lake) -> DataFrame:
     TEXT,
 )
 def rank_fusion(lake: Lake) -> DataFrame:
-    docs, queries = _docs(lake), lake.text_queries()
-    return rt.fuse([rt.bm25(queries, docs), rt.lexical(queries, docs)])
+    return rt.fuse_lexical(lake.text_queries(), _docs(lake))
 
 
 # -- state as text, as-of retrieval, evaluation --------------------------------

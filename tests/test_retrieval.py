@@ -1,5 +1,6 @@
 """Greedy budget, text rules, names, hidden rows."""
 
+import math
 import random
 import unicodedata
 
@@ -130,3 +131,36 @@ def test_scan_tests_few_pairs_and_finds_all(spark):
     assert idn.scan_pairs(queries, index).count() <= 2 * n
     pairs = {(r.query_id, r.entity_id) for r in idn.scanned(queries, index).collect()}
     assert pairs == {(f"q{i}", f"e{i}") for i in range(n)} == {(r.query_id, r.entity_id) for r in idn.untyped(queries, index).collect()}
+
+
+def test_pairs_are_scored_once_whatever_the_cells(spark, monkeypatch):
+    rng = random.Random(5)
+    words = ["the", "and", *(f"w{i}" for i in range(30))]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(0, 25))) for _ in range(60)]
+    docs = spark.createDataFrame([(f"r{i:02d}", f"e{i % 3}", 9 + i, t.split()) for i, t in enumerate(texts)], "record_id string, entity_id string, cost int, terms array<string>")
+    asked = {f"q{i}": " ".join(rng.choices(words, k=6)) for i in range(9)}
+    queries = spark.createDataFrame(list(asked.items()), "query_id string, text string")
+    n, avg = len(texts), sum(len(t.split()) for t in texts) / len(texts)
+    df = {w: sum(w in t.split() for t in texts) for w in words}
+    want, held = {}, {}
+    for q, text in asked.items():
+        for i, t in enumerate(t.split() for t in texts):
+            shared = set(text.split()) & set(t)
+            if shared:
+                held[q, f"r{i:02d}"] = float(len(shared))
+                want[q, f"r{i:02d}"] = sum(
+                    math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * t.count(w) * 2.2 / (t.count(w) + 1.2 * (0.25 + 0.75 * len(t) / avg)) for w in shared
+                )
+    for most in ({}, {"CELL_DOCS": 7, "CELL_QUERIES": 2, "CELL_HITS": 3}):
+        for name, value in most.items():
+            monkeypatch.setattr(rt, name, value)
+        got = {(r.query_id, r.record_id): r.score for r in rt.bm25(queries, docs).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+        assert {(r.query_id, r.record_id): r.score for r in rt.lexical(queries, docs).collect()} == held
+        both = rt.fuse_lexical(queries, docs)
+        plain = {(r.query_id, r.record_id): r.score for r in rt.fuse([rt.bm25(queries, docs), rt.lexical(queries, docs)]).collect()}
+        assert {(r.query_id, r.record_id): r.score for r in both.collect()} == plain
+        assert both._jdf.queryExecution().optimizedPlan().toString().count("FlatMapCoGroupsInArrow") == 1
+    twice = docs.unionByName(docs.filter("record_id = 'r03'"))
+    assert rt.lexical(queries, twice).groupBy("query_id", "record_id").count().filter("count > 1").isEmpty()
+    assert rt.bm25(queries, docs.limit(0)).isEmpty() and rt.bm25(queries.limit(0), docs).isEmpty()
