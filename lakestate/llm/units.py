@@ -23,12 +23,15 @@ from lakestate.llm.common import spread
 
 #: Distinct units a worker remembers before it starts anew.
 REMEMBERED = 500_000
-#: Characters of joined units that go to the tokenizer at once.
-JOINED = 100_000
+#: Bytes of joined units, about, that go to the tokenizer as one text. Its cost a byte grows with longer ones.
+JOINED = 2_000
 _MARK = "\x01"
 # White space as Unicode has it, and the four separators Python counts besides, before a space.
 _BLANK_THEN_SPACE = r"[\t-\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
 _CUT = re.compile(r"(?<=\S)(?= )")
+# Letters every version of Unicode has, and signs that no token shares with them; a line break alone after one of either.
+_LETTER, _SIGN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff", r".,;:!?&#$%*"
+_WORD_THEN_SIGN, _LINE_THEN_WORD = rf"([{_LETTER}])([{_SIGN}\n])", rf"([{_LETTER}{_SIGN}])\n([{_LETTER}])"
 
 
 class UnitEncoder:
@@ -59,7 +62,7 @@ class UnitEncoder:
     def _flat(self, units: pa.Array, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all units in order, and how many of them each text has."""
         coded = units.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         found = list(map(self.known.get, distinct))
         if missing := [unit for unit, at in zip(distinct, found, strict=True) if at is None]:
             self._learn(missing)
@@ -73,26 +76,32 @@ class UnitEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the number of ids of each text."""
-        if len(self.known) > self.remembered:
-            self._forget()
+        self.tidy()
         texts = pc.fill_null(texts.cast(pa.string()), "")
         hard = pc.or_(pc.match_substring_regex(texts, _BLANK_THEN_SPACE), pc.match_substring(texts, _MARK))
         hard = hard.to_numpy(zero_copy_only=False).astype(bool)
-        easy = np.flatnonzero(~hard)
-        parts = pc.split_pattern(pc.replace_substring(texts.take(pa.array(easy)), " ", _MARK + " "), _MARK)
-        ids, counts = self._flat(parts.flatten(), pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64))
-        if not hard.any():
-            return ids, counts
-        rest = np.flatnonzero(hard)
-        cut = [_CUT.split(text) for text in texts.take(pa.array(rest)).to_pylist()]
-        more, more_counts = self._flat(pa.array([u for units in cut for u in units], pa.string()), np.array([len(u) for u in cut], dtype=np.int64))
-        number = np.empty(len(texts), dtype=np.int64)
-        number[easy], number[rest] = counts, more_counts
-        starts = np.cumsum(number) - number
-        whole = np.empty(int(number.sum()), dtype=np.uint32)
-        whole[spread(counts, starts[easy])] = ids
-        whole[spread(more_counts, starts[rest])] = more
-        return whole, number
+        if hard.any():
+            # Texts that Arrow's patterns cannot cut take their places among the others, unit by unit.
+            easy, rest = np.flatnonzero(~hard), np.flatnonzero(hard)
+            cut = pa.array([_CUT.split(text) for text in texts.take(pa.array(rest)).to_pylist()], pa.list_(pa.string()))
+            parts = pa.concat_arrays([self._cut(texts.take(pa.array(easy))), cut]).take(pa.array(np.argsort(np.concatenate([easy, rest]))))
+        else:
+            parts = self._cut(texts)
+        return self.of_parts(parts)
+
+    def tidy(self) -> None:
+        """Start anew where too much is remembered."""
+        if len(self.known) > self.remembered:
+            self._forget()
+
+    def of_parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` of texts that are lists of units."""
+        return self._flat(parts.flatten(), pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64))
+
+    @staticmethod
+    def _cut(texts: pa.Array) -> pa.Array:
+        """Units of texts without a space after white space."""
+        return pc.split_pattern(pc.replace_substring(texts, " ", _MARK + " "), _MARK)
 
 
 def library_units(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
@@ -113,31 +122,41 @@ def library_units(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarr
     for token, at in vocabulary.items():
         width[at] = len(token)  # a byte-level token spells each byte with one character
 
-    def encode(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        joined = [i for i, u in enumerate(units) if u[:1] == " " and not u[-1].isspace()]
-        chosen = set(joined)
-        single = [i for i in range(len(units)) if i not in chosen]
-        groups: list[list[int]] = []
-        size = JOINED
-        for i in joined:
-            if size >= JOINED:
-                groups.append([])
-                size = 0
-            groups[-1].append(i)
-            size += len(units[i])
-        batch = ["".join([units[i] for i in group]) for group in groups] + [units[i] for i in single]
+    def ids_of(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
         coded = [np.array(e.ids, dtype=np.uint32) for e in tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
-        pieces: list[np.ndarray] = [np.empty(0, np.uint32)] * len(units)
-        for group, ids in zip(groups, coded, strict=False):
-            ends = np.cumsum(width[ids])
-            stops = np.searchsorted(ends, np.cumsum([len(units[i].encode()) for i in group])) + 1
-            begin = 0
-            for i, stop in zip(group, stops.tolist(), strict=True):
-                pieces[i] = ids[begin:stop]
-                begin = stop
-        for i, ids in zip(single, coded[len(groups) :], strict=True):
-            pieces[i] = ids
-        return np.concatenate(pieces) if pieces else np.empty(0, np.uint32), np.array([len(p) for p in pieces], dtype=np.int64)
+        return np.concatenate([np.empty(0, np.uint32), *coded]), np.array([len(ids) for ids in coded], dtype=np.int64)
+
+    def encode(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        joint = np.array([u[:1] == " " and not u[-1].isspace() for u in units], dtype=bool)
+        joined, single = np.flatnonzero(joint), np.flatnonzero(~joint)
+        chosen = [units[i] for i in joined.tolist()]
+        ends = np.cumsum(pc.binary_length(pa.array(chosen, pa.string())).to_numpy(zero_copy_only=False), dtype=np.int64)
+        group = (ends - 1) // JOINED
+        starts = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(chosen)).tolist()
+        together, _ = ids_of(["".join(chosen[a:b]) for a, b in zip(starts, starts[1:], strict=False)])
+        alone, alone_lengths = ids_of([units[i] for i in single.tolist()])
+        stops = np.searchsorted(np.cumsum(width[together]), ends) + 1
+        lengths = np.empty(len(units), dtype=np.int64)
+        lengths[joined], lengths[single] = np.diff(stops, prepend=0), alone_lengths
+        found = np.empty(len(units), dtype=np.int64)
+        found[joined], found[single] = stops - lengths[joined], len(together) + np.cumsum(alone_lengths) - alone_lengths
+        return np.concatenate([together, alone])[spread(lengths, found)], lengths
+
+    return encode
+
+
+def word_units(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+    """``library_units`` of the words and signs that units are made of: a word is encoded once, whatever follows it."""
+    words = UnitEncoder(library_units(path))
+
+    def encode(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        words.tidy()
+        marked = pa.array(units, pa.string())
+        if not pc.any(pc.match_substring(marked, _MARK)).as_py():
+            for pattern, cut in ((_WORD_THEN_SIGN, f"\\1{_MARK}\\2"), (_LINE_THEN_WORD, f"\\1\n{_MARK}\\2")):
+                marked = pc.replace_substring_regex(marked, pattern, cut)
+            return words.of_parts(pc.split_pattern(marked, _MARK))
+        return words.of_parts(pa.array([[u] for u in units], pa.list_(pa.string())))
 
     return encode
 
@@ -145,7 +164,7 @@ def library_units(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarr
 @functools.lru_cache(maxsize=4)
 def library_encoder(path: str) -> UnitEncoder:
     """The worker's encoder for a tokenizer file; a reused worker keeps what it has learnt."""
-    return UnitEncoder(library_units(path))
+    return UnitEncoder(word_units(path))
 
 
 def byte_alphabet() -> dict[str, int]:

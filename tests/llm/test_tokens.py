@@ -190,3 +190,20 @@ def test_packing_of_odd_rows(odd, none, task):
             end += length
         assert end <= 64
     assert packing.pack(none, PATH).count() == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("ab ezÉß.,;!?#%*<|\n\t '’s9日\x01"), max_size=30), min_size=1, max_size=5))
+def test_words_beside_signs_are_cut_safely(texts):
+    ids, counts = units.library_encoder(PATH).encode(pa.array(texts, pa.string()))
+    assert split(ids, counts) == [expected(t) for t in texts]
+
+
+def test_a_word_is_encoded_once_whatever_follows(monkeypatch):
+    seen = []
+    plain = units.library_units(PATH)
+    monkeypatch.setattr(units, "library_units", lambda path: lambda words: seen.extend(words) or plain(words))
+    text = "One wordly, wordly. wordly wordly;\nwordly: wordly$$$ wordly!\nAnd wordly"
+    ids, _ = units.UnitEncoder(units.word_units(PATH)).encode(pa.array([text]))
+    assert ids.tolist() == expected(text)
+    assert sum("wordly" in word for word in seen) == 2  # with and without the space
