@@ -138,3 +138,14 @@ def test_a_plan_reads_its_mutations_once_and_a_dry_run_plans_nothing_anew(spark)
     assert told._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
     dry = {r.entity_id: r.outcome for r in pl.outcomes(told, None, frame.limit(0), dry_run=True).collect()}
     assert dry == {"e1": "dry-run", "e2": "noop", "e3": "blocked"}
+
+
+def test_a_feed_sorts_one_kind_at_a_time(spark, monkeypatch):
+    kinds = ["retraction", None, "alias", "other", "entity", "alias"]
+    rows = spark.createDataFrame([(k, f"r{i % 3}", f"e{i}") for i, k in enumerate(kinds)], "kind string, record_id string, primary_entity_id string")
+    sorted_at_once, number = [], ap.with_sequence
+    monkeypatch.setattr(ap, "with_sequence", lambda df, *a: sorted_at_once.append({r.kind for r in df.collect()} - {None, "other"}) or number(df, *a))
+    got = sorted((r.seq, r.kind, r.record_id, r.primary_entity_id) for r in ap.emit_changes(rows, 7).collect())
+    # Kinds without a place in the order come first.
+    assert got == [(8, "other", "r0", "e3"), (9, None, "r1", "e1"), (10, "entity", "r1", "e4"), (11, "alias", "r2", "e2"), (12, "alias", "r2", "e5"), (13, "retraction", "r0", "e0")]
+    assert all(len(kinds) <= 1 for kinds in sorted_at_once)
