@@ -103,6 +103,24 @@ def test_timeline_equals_probes(spark):
         assert answers(seen) == plain_state(obs, ret, rules, day(v), day(45))
 
 
+def test_timeline_summaries_carry_no_names(spark, monkeypatch):
+    """Blocks of all keys are numbered, so that neither names nor a key's hot rows are shuffled with them."""
+    obs, ret, rules = world(3, 60)
+    seen, per_provider = [], rs._per_provider
+    monkeypatch.setattr(rs, "_per_provider", lambda df, keys: seen.append(set(df.columns)) or per_provider(df, keys))
+    rs.state_timeline(*frames(spark, obs, ret, rules), text(45))
+    assert seen and not seen[0] & {"entity_id", "property"}
+
+
+def test_a_property_with_two_rules_counts_under_both(spark):
+    base = ("entity://e/1", "P.0")
+    obs = [("a", *base, "1", "s", "x", None, day(0), None, day(0)), ("b", *base, "2", "t", "x", None, day(3), None, day(1)), ("c", *base, "3", "u", "x", None, day(5), None, day(2))]
+    twice = [(*base, "provider", ["s", "t"]), (*base, "provider", ["t", "s"])]
+    o, t, r = frames(spark, obs, [("z", "observation", "zz", day(0), day(0))], twice)
+    got = sorted((row.start.day, row.status, row.value_json, row.n_candidates) for row in rs.state_timeline(o, t, r, text(9)).collect())
+    assert got == [(1, "resolved", "1", 1), (4, "resolved", "2", 1), (6, "resolved", "2", 1)]
+
+
 def test_late_record_is_seen_only_by_later_knowledge(spark):
     base = ("entity://e/1", "P.0")
     obs = [("a", *base, "1", "s", "x", None, day(0), None, day(0)), ("b", *base, "2", "s", "x", None, day(0), None, day(30))]
