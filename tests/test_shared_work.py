@@ -1,14 +1,19 @@
 """Work that several steps share is done once."""
 
+import hashlib
+import os
 from datetime import UTC, datetime
 from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
+from lakestate.functions import values as vl
 from lakestate.operators import capsule as cp
 from lakestate.operators import retrieve as rt
 from lakestate.operators import temporal as tp
-from lakestate.session import run_dir
+from lakestate.plans.catalog import QUERIES
+from lakestate.session import run_dir, shared_dir
+from lakestate.sources.adapters import SCHEMAS
 from lakestate.streaming import keyed
 from test_state import OBS, RET, RULES, day, text, world
 
@@ -113,3 +118,43 @@ def test_terms_are_counted_in_their_row(spark):
     own = {"r1": [], "r2": [], "r3": [], "r4": [("yy", 1), ("zz", 3)]}
     want = sorted((r, t, n, 2 + sum(c for _, c in own[r])) for r in own for t, n in [("aa", 1), ("ee", 1), *own[r]])
     assert got == want
+
+
+def test_hashes_of_material_travel_as_bytes_and_applied_retractions_are_written(spark, monkeypatch):
+    labels, write = [], cp.written
+    monkeypatch.setattr(cp, "written", lambda df, label: labels.append(label) or write(df, label))
+    rows, head = cp.materialize(tables(spark)[0], text(20))
+    assert "applied" in labels and "unhex(sha2(" in head._jdf.queryExecution().optimizedPlan().toString()
+    # Digests are those of the rows' hashes in digits, sorted by strand.
+    sha, of = lambda t: hashlib.sha256(t.encode()).hexdigest(), {}
+    for r in rows.select("entity_id", vl.json_list("section", "text").alias("t")).collect():
+        of.setdefault(r.entity_id, []).append(sha(r.t))
+    for r in head.collect():
+        strands = {}
+        for h in sorted(of[r.entity_id]):
+            strands.setdefault(h[:4], []).append(h)
+        assert r.material_digest == sha("".join(sha("".join(strands[k])) for k in sorted(strands)))
+
+
+def test_retractions_that_are_at_hand_are_not_joined_again(spark, monkeypatch):
+    t = tables(spark)[0]
+    only = spark.createDataFrame([("entity://e/0",), ("entity://e/3",), ("entity://e/9",)], "entity_id string")
+    want = sorted(cp.materialize(t, text(20), only=only)[1].collect())
+    ended = tp.retracted(t["observations"], t["relations"], t["retractions"])
+    monkeypatch.setattr(tp, "retracted", None)
+    assert sorted(cp.materialize(t, text(20), only=only, ended=ended)[1].collect()) == want and len(want) == 2
+
+
+def test_a_refresh_leaves_the_tables_of_its_last_build_alone(spark, tmp_path):
+    """Of three builds, only the last one's retractions are on disk at the end."""
+    own = {
+        "region": [(0, "R")], "nation": [(0, "N", 0)], "customer": [(1, "C", 0, 1.0, "BUILDING")], "supplier": [(1, "S", 0, 1.0)],
+        "part": [(1, "P", "B", "T", 1, 1.0)], "orders": [(1, 1, "F", 5.0, datetime(1999, 1, 1), "1-URGENT")],
+        "lineitem": [(1, 1, 1, 1, 1.0, 1.0, 0.0, 0.0, "R", "F", datetime(2000, 6, 1))], "events": [(1, datetime(1999, 2, 1), 1, "view", 1.0, "{}")],
+    }
+    for name, rows in own.items():
+        spark.createDataFrame(rows, SCHEMAS[name]).write.parquet(str(tmp_path / f"{name}.parquet"))
+    kept = lambda: [f for f in os.listdir(shared_dir(spark).removeprefix("file:")) if f.startswith("ended-")]
+    before = len(kept())
+    got = QUERIES["capsule_refresh"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == [(0, 6)] and len(kept()) - before == 2
