@@ -21,7 +21,7 @@ from lakestate.plans.retrieval_queries import GRAPH, _direct, _edge_texts
 from lakestate.sources import feeds as fd
 from lakestate.sources import files as fl
 from lakestate.sources.adapters import SCHEMAS, Lake
-from lakestate.session import pinned, run_dir
+from lakestate.session import passing, pinned, run_dir, written
 from lakestate.operators import capsule as cp
 from lakestate.streaming import jobs, keyed
 
@@ -763,11 +763,15 @@ BOUNDARIES = {
     BOUNDARIES,
 )
 def stream_boundary_refresh(lake: Lake) -> DataFrame:
-    """Capsules rebuilt at two clocks because their time had come; no record arrives in between."""
+    """Capsules rebuilt at two clocks because their time had come; no record arrives in between.
+
+    Relations are derived, and retractions meet their targets, once for all clocks."""
     spark, tables = lake.spark, _tables(lake)
+    tables["relations"] = written(tables["relations"].drop("evidence_refs"), "relations")
+    ended = tp.retracted(tables["observations"], tables["relations"], tables["retractions"])
     out, feed = run_dir(spark, "boundaries"), run_dir(spark, "heads")
     at = F.lit(AT).cast("timestamp")
-    first = tp.next_boundary(tables["aliases"], tables["observations"], tables["relations"], tables["retractions"], at)
+    first = tp.next_boundary(tables["aliases"], tables["observations"], tables["relations"], tables["retractions"], at, ended)
     first.select("entity_id", F.col("next_boundary").alias("boundary"), at.alias("at")).write.parquet(f"{feed}/0")
     heads = spark.readStream.schema("entity_id string, boundary timestamp, at timestamp").parquet(f"{feed}/*")
     ticks = spark.readStream.schema("at timestamp").parquet(f"{out}/ticks/*")
@@ -778,8 +782,9 @@ def stream_boundary_refresh(lake: Lake) -> DataFrame:
 
         def refresh(due: DataFrame, batch_id: int, clock: str = clock, now=now) -> None:
             none = spark.createDataFrame([], jobs.HEAD_SCHEMA)
-            fresh = none if due.isEmpty() else cp.materialize(tables, clock, only=due)[1].select(*none.columns)
-            fresh.withColumn("clock", F.unix_millis(now)).write.mode("overwrite").parquet(f"{out}/capsules/batch={batch_id}")
+            with passing(spark):
+                fresh = none if due.isEmpty() else cp.materialize(tables, clock, only=due, ended=ended)[1].select(*none.columns)
+                fresh.withColumn("clock", F.unix_millis(now)).write.mode("overwrite").parquet(f"{out}/capsules/batch={batch_id}")
 
         spark.range(1).select(now.alias("at")).write.parquet(f"{out}/ticks/{turn}")
         keyed.boundary_stream(spark, heads, ticks, refresh, out).awaitTermination()
